@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from veilframe.functions.labels import ledger_type  # noqa: F401  (re-exported for callers)
 from veilframe.functions.language import script_language
 from veilframe.functions.quality import (
     RECEIPT_LIMIT_BYTES, payload_bytes, receipt_risk_level, receipt_risk_score,
