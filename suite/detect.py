@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from suite import data as d, sqlgen as g
 from suite.registry import query
+from veilframe.columns import pinned
 from veilframe.functions import (
     checksums as ck, entropy as en, labels as lb, language as lg, quality as ql,
 )
@@ -33,7 +34,8 @@ def joined(array):
 def raw_rows(df, rules, keep=("doc_id",)):
     """Every checked match, before overlaps are resolved."""
     df, view, _ = add_view(df, "text", rules)
-    return span_rows(df.withColumn("spans", find_spans(view, rules)), list(keep)).select(
+    df = df.withColumn("spans", pinned(find_spans(view, rules)))
+    return span_rows(df, list(keep)).select(
         *keep, "type", "value", F.col("start").alias("s"), F.col("end").alias("e"))
 
 

@@ -17,6 +17,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def pinned(value: Column) -> Column:
+    """A costly expression that Spark must compute once, where it stands.
+
+    Spark pushes a filter on a computed column below the projection by copying the
+    expression, here all regular expressions of a catalogue. It never copies an
+    expression with a random part; ``rand`` is never negative, so the value is unchanged.
+    Filters on other columns are not pushed below it either: filter before scanning.
+    """
+    # A bare comparison of rand with a constant would be folded away.
+    return F.when(F.rand(0) + F.lit(1.0) >= F.lit(1.0), value)
+
+
 def empty_like(array: Column) -> Column:
     """An empty array with the element type of ``array``."""
     return F.slice(array, 1, 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from veilframe.columns import any_of
+from veilframe.columns import any_of, let
 
 RECEIPT_LIMIT_BYTES = 2048
 REQUEST_LIMIT_BYTES = 64 * 1024
@@ -27,8 +27,8 @@ def near_keyword(text: Column, start: Column, length: Column, keywords,
 
 def offsets_hold(text: Column, spans: Column) -> Column:
     """Every span's offsets cut exactly its value out of the text."""
-    return F.forall(spans, lambda s: F.substring(
-        text, s["start"] + 1, s["end"] - s["start"]) == s["value"])
+    return let(text, lambda t: F.forall(spans, lambda s: F.substring(
+        t, s["start"] + 1, s["end"] - s["start"]) == s["value"]))
 
 
 def payload_bytes(*columns: Column | str) -> Column:

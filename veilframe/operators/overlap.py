@@ -78,11 +78,11 @@ def overlaps_any(span: Column, others: Column) -> Column:
 
 def drop_overlapping(spans: Column, others: Column) -> Column:
     """Spans that touch none of ``others``."""
-    return F.filter(spans, lambda s: ~overlaps_any(s, others))
+    return let(others, lambda o: F.filter(spans, lambda s: ~overlaps_any(s, o)))
 
 
 def drop_known_entities(contextual: Column, model: Column) -> Column:
     """Contextual entities that no model entity equals, or contains with the same type."""
-    return F.filter(contextual, lambda c: ~F.exists(model, lambda m: (
+    return let(model, lambda known: F.filter(contextual, lambda c: ~F.exists(known, lambda m: (
         ((m["start"] == c["start"]) & (m["end"] == c["end"]))
-        | ((m["start"] <= c["start"]) & (m["end"] >= c["end"]) & (m["type"] == c["type"])))))
+        | ((m["start"] <= c["start"]) & (m["end"] >= c["end"]) & (m["type"] == c["type"]))))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from veilframe.columns import let
+from veilframe.columns import let, pinned
 from veilframe.functions.checksums import digits_only
 from veilframe.functions.entropy import is_high_entropy
 from veilframe.functions.labels import entity_label, token_prefix
@@ -19,15 +19,18 @@ from veilframe.rules.model import SIGNALS, TextView, java_regex
 def splice(text: Column, spans: Column, label: Callable[[Column], Column]) -> Column:
     """Text with each span replaced; spans must be in text order and must not overlap.
 
-    ``text`` and ``spans`` should be plain columns.
+    Text and spans are bound first: Spark may put the expressions behind them into the
+    lambda, where they would be computed again for every span.
     """
-    def build(ss):
+    def build(both):
+        text, ss = both["text"], both["spans"]
         edges = F.concat(F.array(F.lit(0)), F.transform(ss, lambda s: s["end"]))
         pieces = F.zip_with(ss, edges, lambda s, edge: F.when(
             s.isNull(), F.substring(text, edge + 1, F.length(text))
         ).otherwise(F.concat(F.substring(text, edge + 1, s["start"] - edge), label(s))))
         return F.array_join(pieces, "")
-    return F.when(F.size(spans) == 0, text).otherwise(let(spans, build))
+    return let(F.struct(text.alias("text"), spans.alias("spans")), lambda both: F.when(
+        F.size(both["spans"]) == 0, both["text"]).otherwise(build(both)))
 
 
 def redact_with_labels(text: Column, spans: Column) -> Column:
@@ -72,7 +75,7 @@ def token_map(spans: Column, prefix: Callable[[Column], Column] = token_prefix,
 
 def redact_with_tokens(text: Column, spans: Column, tokens: Column) -> Column:
     """Every span becomes the placeholder of its value."""
-    return splice(text, spans, lambda s: tokens[s["value"]])
+    return let(tokens, lambda t: splice(text, spans, lambda s: t[s["value"]]))
 
 
 def placeholder_map(tokens: Column) -> Column:
@@ -95,12 +98,13 @@ def sequential_counter(df, text: str, stages, out: str = "sanitized"):
         explanation = stage[3] if len(stage) > 3 else None
         now = F.col(out)
         df = df.withColumn("_lowered", F.lower(now) if rule.fold_case else now)
-        df = df.withColumn("_found", find_spans(TextView(now, F.col("_lowered")), (rule,)))
+        df = df.withColumn("_found", pinned(find_spans(
+            TextView(now, F.col("_lowered")), (rule,))))
         found = F.transform(F.col("_found"), lambda s, i: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
             F.concat(F.lit(f"[{prefix}_REDACTED_"),
                      (F.col("n_items") + i + 1).cast("string"), F.lit("]")).alias("label")))
-        df = df.withColumn("_found", found)
+        df = df.withColumn("_found", pinned(found))
         items = F.transform(F.col("_found"), lambda s: F.struct(
             F.lit(type_).alias("type"), s["value"].alias("original"),
             s["label"].alias("placeholder"), F.lit(explanation).cast("string")

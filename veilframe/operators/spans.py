@@ -141,12 +141,10 @@ def entropy_spans(view: TextView, keep, digits: int | None) -> Column:
 
 
 def client_entropy_spans(view: TextView, found: Column) -> Column:
-    """High-entropy tokens that do not start inside a span already found.
-
-    ``found`` should be a plain column: it is looked at once per token.
-    """
-    return entropy_spans(view, lambda p: is_high_entropy(p["value"]) & ~F.exists(
-        found, lambda s: (p["start"] >= s["start"]) & (p["start"] < s["end"])), 3)
+    """High-entropy tokens that do not start inside a span already found."""
+    return let(found, lambda known: entropy_spans(
+        view, lambda p: is_high_entropy(p["value"]) & ~F.exists(
+            known, lambda s: (p["start"] >= s["start"]) & (p["start"] < s["end"])), 3))
 
 
 def gateway_entropy_spans(view: TextView, threshold: float = 3.8) -> Column:

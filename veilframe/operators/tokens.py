@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veilframe.columns import pinned
 from veilframe.functions.labels import ledger_type
 from veilframe.operators.redact import splice
 
@@ -88,6 +89,6 @@ def apply_placeholders(df: DataFrame, tokens: DataFrame, key: Sequence[str],
              .groupBy(*key)
              .agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder")))
                   .alias("_places")))
-    placed = dirty.join(named, list(key)).withColumn(
-        out, splice(body, F.col("_places"), lambda s: s["placeholder"])).drop("_places")
+    placed = dirty.join(named, list(key)).withColumn(out, pinned(
+        splice(body, F.col("_places"), lambda s: s["placeholder"]))).drop("_places")
     return clean.unionByName(placed.select(*clean.columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veilframe.columns import let, text_or_empty
+from veilframe.columns import let, pinned, text_or_empty
 from veilframe.functions.labels import entity_label, entity_risk
 from veilframe.operators.overlap import longest_first
 from veilframe.operators.redact import redact_with_labels
@@ -35,13 +35,13 @@ def with_client_spans(df: DataFrame, text: str = "text", rules=CLIENT_RULES,
     if external is not None:
         df = df.withColumn("_external", external)
     df, view, added = add_view(df, text, (*rules, ENTROPY_RULE) if entropy else rules)
-    df = df.withColumn("_ruled", find_spans(view, rules))
+    df = df.withColumn("_ruled", pinned(find_spans(view, rules)))
     parts = [F.col("_ruled")]
     if entropy:
         parts.append(client_entropy_spans(view, F.col("_ruled")))
     if external is not None:
         parts.append(F.filter("_external", lambda s: s["end"] > s["start"]))
-    df = df.withColumn(out, longest_first(F.concat(*parts)))
+    df = df.withColumn(out, pinned(longest_first(F.concat(*parts))))
     return df.drop("_ruled", *added, *extra)
 
 
@@ -60,7 +60,8 @@ def with_entities(df: DataFrame, text: str = "text", rules=ENTITY_RULES,
                   out: str = "entities") -> DataFrame:
     """Add the resolved contextual entities, in text order."""
     df, view, added = add_view(df, text, rules)
-    return df.withColumn(out, longest_first(entity_spans(view, rules))).drop(*added)
+    found = pinned(longest_first(entity_spans(view, rules)))
+    return df.withColumn(out, found).drop(*added)
 
 
 def entities_as_spans(entities: Column, custom_labels: dict[str, str] | None = None) -> Column:

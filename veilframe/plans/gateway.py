@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veilframe.columns import text_or_empty
+from veilframe.columns import let, literal_map, pinned, text_or_empty
 from veilframe.functions.labels import token_prefix
 from veilframe.functions.language import guess_language, with_instruction
 from veilframe.operators.overlap import leftmost
@@ -47,20 +47,22 @@ def with_gateway_spans(df: DataFrame, text: str = "text", profile: str = BALANCE
     if external is not None:
         parts.append(F.filter("_external", lambda s: (s["start"] >= 0) & (s["end"] > s["start"])
                               & (s["end"] <= F.length(view.text))))
-    df = df.withColumn(out, leftmost(F.concat(*parts)))
+    df = df.withColumn(out, pinned(leftmost(F.concat(*parts))))
     return df.drop(*added, *extra)
 
 
 def _tokenise(df: DataFrame, text: str, prefix=token_prefix) -> DataFrame:
     body = text_or_empty(text)
-    df = df.withColumn("_tokens", token_map(F.col("spans"), prefix))
+    df = df.withColumn("_tokens", pinned(token_map(F.col("spans"), prefix)))
     return (df
             .withColumn("sanitized_text",
                         redact_with_tokens(body, F.col("spans"), F.col("_tokens")))
             .withColumn("token_map", placeholder_map(F.col("_tokens")))
-            .withColumn("matches", F.transform("spans", lambda s: F.struct(
-                s["type"].alias("type"), F.col("_tokens")[s["value"]].alias("placeholder"),
-                s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"))))
+            .withColumn("matches", let(F.col("_tokens"), lambda t: F.transform(
+                "spans", lambda s: F.struct(
+                    s["type"].alias("type"), t[s["value"]].alias("placeholder"),
+                    s["value"].alias("value"), s["start"].alias("start"),
+                    s["end"].alias("end")))))
             .withColumn("pii_types", F.array_sort(F.array_distinct(
                 F.transform("spans", lambda s: s["type"]))))
             .withColumn("n_values", F.size("_tokens"))
@@ -86,9 +88,8 @@ LEFTMOST_PREFIXES = {"CREDIT_CARD": "CARD", "DB_CONNECTION_STRING": "DB_CONN",
 
 def leftmost_scan(df: DataFrame, text: str = "text", profile: str = BALANCED) -> DataFrame:
     """The smaller client-side sanitiser: leftmost start wins, numbered placeholders."""
-    from veilframe.columns import literal_map
-
     rules = LEFTMOST_SECRETS + (LEFTMOST_PERSONAL if profile != "PERMISSIVE" else ())
     df, view, added = add_view(df, text, rules)
-    df = df.withColumn("spans", leftmost(find_spans(view, rules), longest=False)).drop(*added)
+    found = pinned(leftmost(find_spans(view, rules), longest=False))
+    df = df.withColumn("spans", found).drop(*added)
     return _tokenise(df, text, lambda t: F.coalesce(literal_map(LEFTMOST_PREFIXES)[t], t))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from veilframe.columns import pinned
 from veilframe.operators.overlap import drop_overlapping, in_text_order
 from veilframe.operators.substrings import check_outgoing
 from veilframe.operators.tokens import apply_placeholders, assign_placeholders, span_rows
@@ -22,7 +23,8 @@ def intercept_spans(df: DataFrame, text: str = "text", rules=CLIENT_RULES,
         return df
     df = with_entities(df, text, entity_rules, out="_entities")
     free = drop_overlapping(F.col("_entities"), F.col("spans"))
-    return df.withColumn("spans", in_text_order(F.concat(F.col("spans"), free))).drop("_entities")
+    return df.withColumn("spans", pinned(in_text_order(F.concat(F.col("spans"), free)))).drop(
+        "_entities")
 
 
 def intercept(df: DataFrame, key: Sequence[str], scope: Sequence[str], order: str,
