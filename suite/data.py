@@ -230,7 +230,7 @@ def ocr_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tagged model tokens from line items: one text per order.
 TAG_COLUMNS = {
     "doc_id": "l_orderkey",
-    "pos": "cast(l_linenumber as int)",
+    "pos": "l_linenumber * 1000000 + l_suppkey",
     "word": "CASE WHEN l_partkey % 4 = 0 THEN concat('##', cast(l_partkey as string)) "
             "ELSE concat('N', cast(l_partkey as string)) END",
     "entity": "concat(CASE WHEN l_suppkey % 3 = 0 THEN 'B-' ELSE 'I-' END, "

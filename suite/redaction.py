@@ -462,15 +462,16 @@ def j5_row(spark, sf):
     return df.select("doc_id", left.alias("n")).filter("n > 0")
 
 
-FREE_ENTITIES = ("NOT EXISTS (SELECT 1 FROM ck WHERE ck.doc_id = k.doc_id AND k.k.s < ck.k.e AND "
-                 "k.k.e > ck.k.s)")
+FREE_ENTITIES = ("NOT EXISTS (SELECT 1 FROM ck WHERE ck.doc_id = en.doc_id AND en.k.s < ck.k.e AND "
+                 "en.k.e > ck.k.s)")
 BOTH = (f"{CLIENT_CTES.replace(', k AS MATERIALIZED', ', ck AS MATERIALIZED')}, "
         + ENTITY_CTES[len(CORPUS) + 2:].replace("a AS MATERIALIZED", "ea AS MATERIALIZED", 1)
         .replace("FROM a GROUP", "FROM ea GROUP"))
 
 
 @query("j6_entities_off_rules",
-       f"{BOTH} SELECT doc_id, k.type AS type, k.v AS value, k.s AS s FROM k WHERE {FREE_ENTITIES}")
+       f"{BOTH} SELECT doc_id, en.k.type AS type, en.k.v AS value, en.k.s AS s FROM k en WHERE "
+       f"{FREE_ENTITIES}")
 def j6(spark, sf):
     df = with_entities(with_client_spans(d.corpus(spark, sf)))
     entities = span_rows(df, ["doc_id"], "entities")
@@ -501,8 +502,8 @@ def a2(spark, sf):
 
 
 @query("a3_types_per_conversation",
-       f"{CHAT} SELECT conv_id, array_to_string(list_sort(list(DISTINCT k.k.type) FILTER "
-       "(k.k.type IS NOT NULL)), ';') AS pii_types FROM chat c LEFT JOIN k ON k.doc_id = c.doc_id "
+       f"{CHAT} SELECT conv_id, coalesce(array_to_string(list_sort(list(DISTINCT k.k.type) FILTER "
+       "(k.k.type IS NOT NULL)), ';'), '') AS pii_types FROM chat c LEFT JOIN k ON k.doc_id = c.doc_id "
        "GROUP BY conv_id")
 def a3(spark, sf):
     return types_per_scope(scan_messages(d.chat(spark, sf)), ["conv_id"]).select(
@@ -568,7 +569,7 @@ def c3(spark, sf):
 
 
 C4_ROWS = (f"SELECT q.doc_id, c.session, q.k.s AS s, q.k.e AS e, q.k.v AS v, q.k.type AS type FROM "
-           f"(SELECT doc_id, k FROM ck UNION ALL SELECT doc_id, k FROM k WHERE {FREE_ENTITIES}) q "
+           f"(SELECT doc_id, k FROM ck UNION ALL SELECT en.doc_id, en.k FROM k en WHERE {FREE_ENTITIES}) q "
            "JOIN corpus c ON c.doc_id = q.doc_id")
 
 
@@ -610,11 +611,11 @@ def threat_sql(exposed: str, injected: str, any_type: str) -> dict[str, str]:
 
 
 FACTS = ("x AS MATERIALIZED (SELECT c.doc_id, c.text, coalesce(bool_or(k.k.type IN ('SECRET_KEY', "
-         "'API_KEY', 'DB_CONNECTION_STRING')), false) AS exposed, count(k.doc_id) > 0 AS some, "
+         "'API_KEY', 'DB_CONNECTION_STRING')), false) AS exposed, count(k.doc_id) > 0 AS has_any, "
          f"{injected_sql('c.text')} AS injected, coalesce(string_agg(DISTINCT k.k.type, ';' ORDER "
          "BY k.k.type), '') AS types, count(DISTINCT k.k.v) AS n_values FROM corpus c LEFT JOIN k "
          "ON k.doc_id = c.doc_id GROUP BY c.doc_id, c.text)")
-T = threat_sql("exposed", "injected", "some")
+T = threat_sql("exposed", "injected", "has_any")
 
 
 @query("c5_threat",
@@ -642,7 +643,7 @@ CHAT_FACTS = (
     "any_value(coalesce(ty.types, [])) AS types FROM m1 LEFT JOIN ty ON ty.conv_id = m1.conv_id "
     "GROUP BY m1.conv_id), "
     "g2 AS MATERIALIZED (SELECT *, len(list_filter(types, lambda q: q IN ('SECRET_KEY', "
-    "'DB_CONNECTION_STRING'))) > 0 AS exposed, len(types) > 0 AS some FROM g1)")
+    "'DB_CONNECTION_STRING'))) > 0 AS exposed, len(types) > 0 AS has_any FROM g1)")
 DECISION = (
     f"SELECT conv_id, n_messages, ns AS n_spans, CASE WHEN blocked THEN 'BLOCKED' ELSE "
     f"{T['action']} END AS action, CASE WHEN NOT blocked THEN {T['level']} END AS risk_level, "
@@ -714,9 +715,9 @@ def c7(spark, sf):
        f"({d.SQL_CORPUS}) q), {gateway_ctes()}, {FACTS}, b AS (SELECT *, contains(lower(text), "
        "'projectmanhattan') AS blocked FROM x) SELECT doc_id, CASE WHEN text = '' THEN "
        f"'NO_TEXT_DETECTED' WHEN blocked THEN 'BLOCKED' WHEN exposed OR injected THEN {T['action']} "
-       "WHEN some THEN 'REDACTED_AND_STRUCTURED' ELSE 'CLEAN_DOCUMENT' END AS action, CASE WHEN "
+       "WHEN has_any THEN 'REDACTED_AND_STRUCTURED' ELSE 'CLEAN_DOCUMENT' END AS action, CASE WHEN "
        "text = '' THEN '' WHEN blocked THEN 'CONFIDENTIAL_BLACK_KEYWORD;OCR_DOCUMENT' WHEN exposed "
-       f"OR injected THEN ltrim(types || ';OCR_THREAT_' || {T['level']}, ';') WHEN some THEN types "
+       f"OR injected THEN ltrim(types || ';OCR_THREAT_' || {T['level']}, ';') WHEN has_any THEN types "
        "|| ';OCR_DOCUMENT' ELSE 'OCR_DOCUMENT' END AS types, CASE WHEN text = '' OR blocked THEN 0 "
        "ELSE n_values END AS tokens_redacted_count FROM b")
 def c8(spark, sf):

@@ -15,17 +15,18 @@ def group_tags(tokens: DataFrame, key: Sequence[str]) -> DataFrame:
     ``B-`` or a change of type starts an entity; ``##`` marks a continued word. The
     confidence is the mean score (0.95 where missing) in percent, to one digit.
     """
-    w = Window.partitionBy(*key).orderBy("pos")
+    w = Window.partitionBy(*key).orderBy("pos", "word")
     t = (tokens
          .withColumn("_type", F.upper(F.regexp_replace("entity", "^[BI]-", "")))
          .withColumn("_starts", F.col("entity").startswith("B-")
                      | F.coalesce(F.lag("_type").over(w) != F.col("_type"), F.lit(True)))
-         .withColumn("_island", F.sum(F.col("_starts").cast("int")).over(w))
+         .withColumn("_island", F.sum(F.col("_starts").cast("int")).over(
+             w.rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("_piece", F.regexp_replace("word", "^##", "")))
     score = F.coalesce(F.when(F.col("score") != 0, F.col("score")), F.lit(0.95))
     grouped = t.groupBy(*key, "_island").agg(
         F.min("pos").alias("first_pos"), F.first("_type").alias("type"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_piece"))),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word", "_piece"))),
                                  lambda p: p["_piece"]), "").alias("text"),
         F.round(F.avg(score) * 100, 1).alias("confidence"))
     return grouped.withColumn("label", entity_name(F.col("type"))).drop("_island")

@@ -16,11 +16,12 @@ def reading_order(tokens: DataFrame, key: Sequence[str] = ("image_id",),
     A token starts a new line when it stands more than ``gap`` pixels below the one
     before. The unit is one image, so a window never holds more than one page.
     """
-    by_y = Window.partitionBy(*key).orderBy("bbox.y", "bbox.x")
-    by_line = Window.partitionBy(*key).orderBy("line", "bbox.x", "bbox.y")
+    by_y = Window.partitionBy(*key).orderBy("bbox.y", "bbox.x", "text")
+    by_line = Window.partitionBy(*key).orderBy("line", "bbox.x", "bbox.y", "text")
     down = F.coalesce(F.col("bbox.y") - F.lag("bbox.y").over(by_y) > gap, F.lit(False))
     return (tokens.withColumn("_down", down.cast("int"))
-            .withColumn("line", F.sum("_down").over(by_y)).drop("_down")
+            .withColumn("line", F.sum("_down").over(by_y.rowsBetween(
+                Window.unboundedPreceding, 0))).drop("_down")
             .withColumn("rank", F.row_number().over(by_line)))
 
 
