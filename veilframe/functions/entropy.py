@@ -9,18 +9,25 @@ from veilframe.columns import let
 
 def shannon_entropy(value: Column, digits: int | None = None) -> Column:
     """Bits per character; ``digits`` rounds the result (the client rounds to 3)."""
-    def of(chars):
-        n = F.size(chars).cast("double")
+    def of(text):
+        n = F.length(text).cast("double")
 
         def add(total, ch):
-            p = F.size(F.filter(chars, lambda c: c == ch)).cast("double") / n
+            # Removing a character and comparing lengths counts it without a lambda per place.
+            p = (n - F.length(F.replace(text, ch, F.lit("")))) / n
             return total - p * F.log2(p)
-        return F.aggregate(F.array_distinct(chars), F.lit(0.0), add)
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    bits = F.when(F.length(value) > 0, let(chars, of)).otherwise(F.lit(0.0))
+        chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+        return F.aggregate(chars, F.lit(0.0), add)
+    bits = F.when(F.length(value) > 0, let(value, of)).otherwise(F.lit(0.0))
     return bits if digits is None else F.round(bits, digits)
 
 
+def secret_shape(value: Column, min_length: int = 16) -> Column:
+    """Long, with a letter and a digit, and no placeholder."""
+    return ((F.length(value) >= min_length) & value.rlike("[a-zA-Z]") & value.rlike("[0-9]")
+            & ~(value.startswith("[") & value.endswith("]")))
+
+
 def is_high_entropy(value: Column, threshold: float = 3.7, min_length: int = 16,
                     strict: bool = False, digits: int | None = 3) -> Column:
     """Long, holds a letter and a digit, is no placeholder, and reaches the threshold.
@@ -29,7 +36,5 @@ def is_high_entropy(value: Column, threshold: float = 3.7, min_length: int = 16,
     rounded. Extension: ``strict`` and ``> 3.7``.
     """
     bits = shannon_entropy(value, digits)
-    shape = ((F.length(value) >= min_length) & value.rlike("[a-zA-Z]") & value.rlike("[0-9]")
-             & ~(value.startswith("[") & value.endswith("]")))
     enough = bits > threshold if strict else bits >= threshold
-    return F.when(shape, enough).otherwise(F.lit(False))
+    return F.when(secret_shape(value, min_length), enough).otherwise(F.lit(False))

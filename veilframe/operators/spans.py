@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from veilframe.columns import any_of, append, let, trim_blank
 from veilframe.functions.checksums import VALIDATORS
-from veilframe.functions.entropy import is_high_entropy, shannon_entropy
+from veilframe.functions.entropy import secret_shape, shannon_entropy
 from veilframe.functions.quality import window_around
 from veilframe.rules.client import ENTROPY_RULE
 from veilframe.rules.gateway import KNOWLEDGE_TOKEN
@@ -126,16 +126,21 @@ def find_spans(view: TextView, rules, source: str = "DETERMINISTIC",
     return F.flatten(F.transform(matched, lambda m: spans_of(m, _catalogue(rules, source))))
 
 
-def entropy_spans(view: TextView, keep, digits: int | None) -> Column:
+def entropy_spans(view: TextView, free, threshold: float, strict: bool,
+                  digits: int | None) -> Column:
+    """High-entropy tokens; the entropy of a token is worked out once."""
     rule = ENTROPY_RULE
-    places = F.filter(locate(view.text, rule.regex), keep)
-    found = F.transform(places, lambda p: F.struct(
+    candidates = F.filter(locate(view.text, rule.regex),
+                          lambda p: secret_shape(p["value"]) & free(p))
+    measured = F.transform(candidates, lambda p: F.struct(
         p["start"].alias("start"), p["end"].alias("end"), F.lit(rule.id).alias("type"),
         p["value"].alias("value"), F.lit(rule.label).alias("label"),
         F.lit(rule.confidence).alias("confidence"), F.lit(rule.risk).alias("risk"),
         F.array(F.lit("SHANNON_ENTROPY")).alias("methods"),
         shannon_entropy(p["value"], digits).alias("entropy"),
         F.lit("ENTROPY").alias("source")))
+    found = F.filter(measured, lambda s: (
+        s["entropy"] > threshold if strict else s["entropy"] >= threshold))
     return F.when(view.signals.get("long", view.text.rlike(SIGNALS["long"])), found
                   ).otherwise(no_spans())
 
@@ -143,13 +148,12 @@ def entropy_spans(view: TextView, keep, digits: int | None) -> Column:
 def client_entropy_spans(view: TextView, found: Column) -> Column:
     """High-entropy tokens that do not start inside a span already found."""
     return let(found, lambda known: entropy_spans(
-        view, lambda p: is_high_entropy(p["value"]) & ~F.exists(
-            known, lambda s: (p["start"] >= s["start"]) & (p["start"] < s["end"])), 3))
+        view, lambda p: ~F.exists(known, lambda s: (
+            (p["start"] >= s["start"]) & (p["start"] < s["end"]))), 3.7, False, 3))
 
 
 def gateway_entropy_spans(view: TextView, threshold: float = 3.8) -> Column:
-    return entropy_spans(view, lambda p: is_high_entropy(
-        p["value"], threshold, strict=True, digits=None), None)
+    return entropy_spans(view, lambda p: F.lit(True), threshold, True, None)
 
 
 def entity_spans(view: TextView, rules) -> Column:
