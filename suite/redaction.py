@@ -10,6 +10,7 @@ from suite.detect import (
 )
 from suite.registry import query
 from veilframe.functions.labels import token_prefix
+from veilframe.lineage import cut_lineage
 from veilframe.operators import entities as ent, external as ext
 from veilframe.operators.counts import redactions_per_type, types_per_scope
 from veilframe.operators.keywords import keyword_hits, matched_keywords
@@ -132,7 +133,7 @@ SESSION_KEPT = ("sk AS MATERIALIZED (SELECT w.doc_id, struct_pack(s := w.s, e :=
 
 
 def session_tokens(spark, sf):
-    df = with_client_spans(d.corpus(spark, sf))
+    df = cut_lineage(with_client_spans(d.corpus(spark, sf)))
     rows = span_rows(df, ["doc_id", "session"])
     return df, assign_placeholders(rows, ["session"], "doc_id", slice_width=500)
 
@@ -230,6 +231,7 @@ def r9(spark, sf):
     df, tokens = session_tokens(spark, sf)
     out = apply_placeholders(df, tokens, ["doc_id"], ["session"]).select(
         "doc_id", "session", "sanitized_text")
+    out, tokens = cut_lineage(out), cut_lineage(tokens)
     return rehydrate(out, tokens, ["doc_id"], ["session"], "sanitized_text").select(
         "doc_id", "rehydrated")
 
@@ -290,7 +292,8 @@ def r11_maps(spark, sf):
 def r12(spark, sf):
     df, tokens = session_tokens(spark, sf)
     texts = df.select("doc_id", "session", F.lower("text").alias("text"))
-    return find_leaks(texts, tokens, ["doc_id"], ["session"]).select("doc_id", "original")
+    return find_leaks(texts, cut_lineage(tokens), ["doc_id"], ["session"]).select(
+        "doc_id", "original")
 
 
 @query("r12_outgoing_check",
@@ -303,6 +306,7 @@ def r12_check(spark, sf):
     df, tokens = session_tokens(spark, sf)
     out = apply_placeholders(df, tokens, ["doc_id"], ["session"]).select(
         "doc_id", "session", "sanitized_text")
+    out, tokens = cut_lineage(out), cut_lineage(tokens)
     return check_outgoing(out, tokens, ["doc_id"], ["session"], "sanitized_text").select(
         "doc_id", "safe", "leaked_token")
 
@@ -677,7 +681,7 @@ PROMPTS_OUT = (f"o AS ({g.splice('corpus', 'sk')}), pr AS (SELECT c.conv_id, str
        "prompt ELSE coalesce(prompt, '[Pre-Sanitized Client Prompt]') END AS sanitized_prompt FROM "
        "de LEFT JOIN pr ON pr.conv_id = de.conv_id")
 def c6_audit(spark, sf):
-    scanned = scan_messages(d.chat(spark, sf))
+    scanned = cut_lineage(scan_messages(d.chat(spark, sf)))
     sanitized, _ = number_messages(scanned)
     pages = prompt_pages(sanitized, text="sanitized_text")
     return audit_records(decide(scanned), pages).select(

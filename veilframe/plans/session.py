@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from veilframe.columns import pinned
+from veilframe.lineage import cut_lineage
 from veilframe.operators.overlap import drop_overlapping, in_text_order
 from veilframe.operators.substrings import check_outgoing
 from veilframe.operators.tokens import apply_placeholders, assign_placeholders, span_rows
@@ -32,12 +33,12 @@ def intercept(df: DataFrame, key: Sequence[str], scope: Sequence[str], order: st
               **options) -> tuple[DataFrame, DataFrame]:
     """Sanitised texts with session placeholders, and the session token table.
 
-    ``spanned``: the frame already carries its ``spans``, from a written table or
-    :func:`veilframe.lineage.cut_lineage`; do this at scale, since the spans are read
-    once for numbering and once for replacing. ``check`` adds the leak check.
+    The spans are needed for numbering and again for replacing, so the scan's result is
+    checkpointed; ``spanned`` says that the frame already carries its ``spans`` from a
+    written table. ``check`` adds the leak check.
     """
     if not spanned:
-        df = intercept_spans(df, text, **options)
+        df = cut_lineage(intercept_spans(df, text, **options))
     rows = span_rows(df, list(dict.fromkeys([*key, *scope, order])))
     tokens = assign_placeholders(rows, scope, order)
     out = apply_placeholders(df, tokens, key, scope, text)
@@ -45,5 +46,6 @@ def intercept(df: DataFrame, key: Sequence[str], scope: Sequence[str], order: st
     out = out.withColumn("redacted_count", F.size("spans")).withColumn(
         "is_safe", (F.size("spans") == 0) | (F.col("sanitized_text") != body))
     if check:
+        out, tokens = cut_lineage(out), cut_lineage(tokens)
         out = check_outgoing(out, tokens, key, scope, "sanitized_text")
     return out, tokens
