@@ -13,6 +13,7 @@ def spark():
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g")
                .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -66,12 +66,10 @@ def type_breakdown(df: DataFrame, cap: int | None = None) -> DataFrame:
 def type_shares(df: DataFrame, cap: int | None = None) -> DataFrame:
     """Requests per type and their rounded percentage of all redacted tokens."""
     kept = newest(df, cap)
-    total = kept.agg(F.coalesce(F.sum("tokens_redacted_count"), F.lit(0)).alias("_total"))
-    # One row against the few types: the aggregate has exactly one row.
-    counts = type_breakdown(kept)
-    return counts.join(F.broadcast(total)).select(
+    total = kept.agg(F.coalesce(F.sum("tokens_redacted_count"), F.lit(0)).alias("t")).scalar()
+    return type_breakdown(kept).select(
         "pii_type", "n",
-        F.round(F.col("n") * 100 / F.greatest(F.lit(1), F.col("_total")), 0)
+        F.round(F.col("n") * 100 / F.greatest(F.lit(1), total), 0)
         .cast("bigint").alias("percent"))
 
 

@@ -45,6 +45,8 @@ def substring_hits(texts: DataFrame, needles: DataFrame, key: Sequence[str],
              .groupBy(*scope, "_k", F.substring("_needle", F.lit(1), F.col("_k")).alias("_head"))
              .agg(F.collect_set(F.length("_needle")).alias("_lengths")))
     sizes = distinct.groupBy(*scope).agg(F.collect_set("_k").alias("_ks"))
+    if scope == ["_scope"]:
+        sizes = F.broadcast(sizes)  # a single row
     bodies = texts.select(*dict.fromkeys([*key, *scope]), F.col(text).alias("_text"))
     grams = F.flatten(F.transform("_ks", lambda k: F.when(
         F.size("_chars") >= k, F.transform(
