@@ -97,7 +97,7 @@ def s3(spark, sf):
 
 @query("s6_audit_append",
        f"{AUDIT} SELECT strftime(created_at, '%Y-%m-%d') AS audit_date, "
-       "count(*) AS n, sum(tokens_redacted_count) AS tokens FROM a GROUP BY 1")
+       "count(*) AS n, CAST(sum(tokens_redacted_count) AS BIGINT) AS tokens FROM a GROUP BY 1")
 def s6(spark, sf):
     path = scratch(spark)
     half = d.audit(spark, sf)
@@ -176,14 +176,14 @@ def a13(spark, sf):
 
 
 @query("a5_totals",
-       f"{AUDIT} SELECT count(*) AS total_requests, sum(tokens_redacted_count) AS "
+       f"{AUDIT} SELECT count(*) AS total_requests, CAST(sum(tokens_redacted_count) AS BIGINT) AS "
        "total_tokens_redacted, round(avg(proxy_latency_ms), 1) AS avg_latency_ms FROM a")
 def a5(spark, sf):
     return a.totals(d.audit(spark, sf))
 
 
 @query("a5_totals_newest",
-       f"{AUDIT} SELECT count(*) AS total_requests, sum(tokens_redacted_count) AS "
+       f"{AUDIT} SELECT count(*) AS total_requests, CAST(sum(tokens_redacted_count) AS BIGINT) AS "
        "total_tokens_redacted, round(avg(proxy_latency_ms), 1) AS avg_latency_ms FROM (SELECT * FROM "
        "a ORDER BY created_at DESC, id LIMIT 1000) q")
 def a5_newest(spark, sf):
@@ -247,7 +247,7 @@ def a11(spark, sf):
 
 
 @query("a12_compliance_summary",
-       f"{AUDIT} SELECT count(*) AS prompts, sum(tokens_redacted_count) AS tokens, "
+       f"{AUDIT} SELECT count(*) AS prompts, CAST(sum(tokens_redacted_count) AS BIGINT) AS tokens, "
        "round(avg(coalesce(nullif(proxy_latency_ms, 0), 0.4)), 4) AS avg_latency_ms FROM a")
 def a12(spark, sf):
     return a.compliance_summary(d.audit(spark, sf)).withColumn(

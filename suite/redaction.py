@@ -602,8 +602,8 @@ def injected_sql(text):
 def threat_sql(exposed: str, injected: str, any_type: str) -> dict[str, str]:
     """score, level, action and reasons as SQL over two flags and one more."""
     return {
-        "score": f"CASE WHEN {exposed} AND {injected} THEN 1.0 WHEN {injected} THEN 0.6 WHEN "
-                 f"{exposed} THEN 0.5 ELSE 0.0 END",
+        "score": f"CAST(CASE WHEN {exposed} AND {injected} THEN 1.0 WHEN {injected} THEN 0.6 "
+                 f"WHEN {exposed} THEN 0.5 ELSE 0.0 END AS DOUBLE)",
         "level": f"CASE WHEN {exposed} AND {injected} THEN 'CRITICAL' WHEN {injected} OR {exposed} "
                  "THEN 'HIGH' ELSE 'LOW' END",
         "action": f"CASE WHEN {exposed} AND {injected} THEN 'QUARANTINED' WHEN {injected} OR "
