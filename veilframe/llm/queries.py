@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe, jaccard
+from veilframe.llm import bpe, jaccard, langid, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -46,3 +46,28 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shingle count and near-duplicate component of every document: five words, similarity 0.8."""
     return jaccard.components_of(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: counts and a digest of those in the text itself, and all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    return found.select("doc_id", *map(number, secrets.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"),
+                        F.size(F.filter("secrets", lambda s: ~s["base"])).cast("long").alias("n_decoded"))
+
+
+def held_out() -> Column:
+    """The documents that language models are not learned from; a null doc_id counts as not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("lang_spans").cast("long").alias("n_spans"))
