@@ -6,17 +6,18 @@ their first n - ceil(percent * n / 100) + 1. The orders here are pseudo-random p
 which the most frequent shingles of the corpus come last, so that passages that many texts
 share do not gather these texts; any order is exact, frequency only saves work.
 
-1. Count frequent shingles: each task counts blocks of texts and reports those that recur in a
-   block; the `FREQUENT` largest sums (a bounded list) close every order.
+1. Count, over all texts, the shingles near the front of the first order; the `FREQUENT` most
+   frequent ones (a bounded list) close every order.
 2. Equal sets become one class. Each class posts its prefix under the first order.
-3. Every posting list links its members to its least member, if the sizes allow it and the
-   pair shares prefix shingles under all other orders, and the exact similarity is reached.
-   Groups of near copies thereby join at linear cost.
+3. Every posting list pairs its members with its least member, so that groups of near copies
+   join at linear cost. A pair must have sizes that allow the link, enough common shingles in
+   the prefix, and common prefix shingles under all other orders; then the sets are compared.
 4. Lists that still hold several components give the pairs across components, through the same
    filters and the same check. Pairs inside a component are never made.
 
 All links between different components are thus tested; components are exact. Sets are compared
-as 64-bit hashes; classes are named by a 64-bit hash of their set.
+as 64-bit hashes; classes are named by a 64-bit hash of their set. Postings are shuffled in
+packed form, by the leading bits of the shingle's key.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilframe.llm.common import map_texts, slices, written
 from veilframe.llm.graph import components
@@ -34,72 +35,103 @@ from veilframe.llm.shingles import mixed, shingle_sets
 
 #: Frequent shingles that close each order: a bounded list, sent to every task.
 FREQUENT = 1 << 16
-#: Texts counted together; a shingle is reported if at least 8 of them, and one in 1,024, hold it.
-COUNT_TEXTS = 8192
-COUNT_SHINGLES = 2_000_000
+#: Fewer texts than this do not make a shingle frequent.
+OFTEN = 16
+#: The count covers this multiple of the prefix: what may move up when frequent shingles leave it.
+AHEAD = 1.5
+#: Postings that a task holds before it passes them on, and the parts that keys are dealt to.
+BLOCK = 1_000_000
+BUCKETS = 4096
 #: Fixed odd factors; each gives another order.
 ORDERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)
 #: Classes that a task remembers, so that near-by copies post their prefix once.
 KNOWN = 200_000
+_LAST = np.uint64(1 << 63)
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
 
 
-class Frequent:
-    """The bounded list of frequent shingles, most frequent last."""
+def first_key(values: np.ndarray) -> np.ndarray:
+    """The place of a shingle in the first order, before frequent ones are put last; also its identity."""
+    return mixed(values * np.uint64(ORDERS[0])) >> np.uint64(1)
 
-    def __init__(self, shingles: np.ndarray) -> None:
-        self.order = np.argsort(shingles, kind="stable")
-        self.sorted = shingles[self.order]
+
+class Order:
+    """The orders, given the keys of frequent shingles, rarest first."""
+
+    def __init__(self, frequent: np.ndarray) -> None:
+        self.rank = np.argsort(frequent, kind="stable")
+        self.sorted = frequent[self.rank]
 
     def keys(self, values: np.ndarray, factor: int) -> np.ndarray:
-        """Sort keys of shingles under one order."""
-        key = mixed(values * np.uint64(factor)) >> np.uint64(1)
+        identity = first_key(values)
+        key = identity if factor == ORDERS[0] else mixed(values * np.uint64(factor)) >> np.uint64(1)
         if len(self.sorted) and len(values):
-            at = np.minimum(np.searchsorted(self.sorted, values), len(self.sorted) - 1)
-            found = self.sorted[at] == values
-            key[found] = (np.uint64(1) << np.uint64(63)) + self.order[at[found]].astype(np.uint64)
+            at = np.minimum(np.searchsorted(self.sorted, identity), len(self.sorted) - 1)
+            found = self.sorted[at] == identity
+            key = key.copy()
+            key[found] = _LAST + self.rank[at[found]].astype(np.uint64)
         return key
 
-    def prefixes(self, values: np.ndarray, ends: np.ndarray, percent: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
-        """The prefix keys of each set under one order, and where each set's begin."""
+    def prefixes(self, values: np.ndarray, ends: np.ndarray, lengths: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first keys of each set under one order, and where each set's begin."""
         n = np.diff(ends)
         doc = np.repeat(np.arange(len(n)), n)
         key = self.keys(values, factor)
         order = np.lexsort((key, doc))
         place = np.arange(len(doc)) - np.repeat(ends[:-1], n)
-        kept = place < np.repeat(prefix_length(n, percent), n)
-        return key[order][kept], np.concatenate(([0], np.cumsum(prefix_length(n, percent))))
+        return key[order][place < np.repeat(lengths, n)], np.concatenate(([0], np.cumsum(lengths)))
 
 
-def frequent_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """At most FREQUENT shingles that recur in many texts, rarest first."""
+def _dealt(keys: np.ndarray, nodes: np.ndarray | None) -> pa.RecordBatch:
+    """Postings in packed form, a row for each bucket of keys."""
+    bucket = (keys >> np.uint64(51)).astype(np.int64) % BUCKETS
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys = bucket[order], keys[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(cuts, len(keys))
+    blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+    columns = [pa.array(bucket[cuts], pa.int64()), blobs(keys)] + ([] if nodes is None else [blobs(nodes[order])])
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes"][: len(columns)])
+
+
+def _column(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    """All packed columns of a partition, each as one array."""
+    held: list[list[np.ndarray]] = [[] for _ in names]
+    for batch in batches:
+        for blobs, name in zip(held, names):
+            blobs.extend(np.frombuffer(x, np.uint64) for x in batch.column(name).to_pylist())
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in held]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        texts = 0
 
-        def counted() -> pa.RecordBatch:
-            nonlocal held, texts
-            values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= max(8, texts // 1024)
-            held, texts = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
+def frequent_keys(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
+    """At most FREQUENT keys of shingles that stand in many texts, rarest first."""
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, held, size = Order(np.zeros(0, np.uint64)), [], 0
         for batch in batches:
             for part in slices(batch, "t"):
-                values, _ = shingle_sets(part.column("t").to_pylist(), k)
-                held.append(values)
-                texts += part.num_rows
-                if texts >= COUNT_TEXTS or sum(map(len, held)) >= COUNT_SHINGLES:
-                    yield counted()
-        yield counted()
+                values, ends = shingle_sets(part.column("t").to_pylist(), k)
+                n = np.diff(ends)
+                lengths = np.minimum(n, np.ceil(prefix_length(n, percent) * AHEAD).astype(np.int64))
+                held.append(order.prefixes(values, ends, lengths, ORDERS[0])[0])
+                size += len(held[-1])
+                if size > BLOCK:
+                    yield _dealt(np.concatenate(held), None)
+                    held, size = [], 0
+        if held:
+            yield _dealt(np.concatenate(held), None)
 
-    found = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(count, "shingle long, n long")
-    top = found.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
-    return top["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(_column(batches, "keys")[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], names=["key", "n"])
+
+    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(deal, "bucket long, keys binary")
+    counts = packed.repartition("bucket").select("keys").mapInArrow(count, "key long, n long")
+    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    return top["key"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -118,12 +150,11 @@ def posted(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, p
     fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
 
     def make():
-        order, known = Frequent(frequent), set()
+        order, known = Order(frequent), set()
 
         def work(texts: list) -> list[pa.Array]:
             values, ends = shingle_sets(texts, k)
             nodes = _names(values, ends)
-            keys, at = order.prefixes(values, ends, percent, ORDERS[0])
             fresh = np.zeros(len(texts), bool)
             for i, node in enumerate(nodes):
                 if node is not None and node not in known:
@@ -131,51 +162,109 @@ def posted(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, p
                     known.add(node)
             if len(known) > KNOWN:
                 known.clear()
-            lengths = np.diff(at)
-            kept = keys[np.repeat(fresh, lengths)]
-            at = np.concatenate(([0], np.cumsum(np.where(fresh, lengths, 0))))
-            return [pa.array(np.diff(ends)), pa.array(nodes, pa.int64()), _lists(kept, at)]
+            keys, at = order.prefixes(values, ends, np.where(fresh, prefix_length(np.diff(ends), percent), 0), ORDERS[0])
+            return [pa.array(np.diff(ends)), pa.array(nodes, pa.int64()), _lists(keys, at)]
 
         return work
 
     return map_texts(docs, (key,), text, fields, make)
 
 
-def sets_of(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(node, shingles, then a prefix for each other order) of each row with shingles."""
-    others = [f"p{i}" for i in range(1, len(ORDERS))]
+def posting_lists(rows: DataFrame) -> DataFrame:
+    """(token, node, leader) for each member of each list of several classes; the leader is its least member."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, nodes = batch.column("prefix"), batch.column("node").to_numpy(zero_copy_only=False)
+            for at in range(0, len(lists), 2048):
+                part = lists.slice(at, 2048)
+                lengths = np.diff(part.offsets.to_numpy())
+                yield _dealt(part.flatten().to_numpy().view(np.uint64), np.repeat(nodes[at:at + 2048], lengths))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = _column(batches, "keys", "nodes")
+        nodes = nodes.view(np.int64)
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        kept = new.copy()
+        kept[1:] |= nodes[1:] != nodes[:-1]  # a class posts once for each task that met it
+        keys, nodes, new = keys[kept], nodes[kept], new[kept]
+        group = np.cumsum(new) - 1
+        size = np.bincount(group)
+        several = size[group] > 1 if len(group) else np.zeros(0, bool)
+        leader = nodes[np.flatnonzero(new)][group] if len(group) else nodes
+        for at in range(0, int(several.sum()), 100_000):
+            cut = np.flatnonzero(several)[at:at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(nodes[cut]), pa.array(leader[cut])], names=["token", "node", "leader"])
+
+    packed = rows.where(F.size("prefix") > 0).select("node", "prefix").mapInArrow(deal, "bucket long, keys binary, nodes binary")
+    return packed.repartition("bucket").select("keys", "nodes").mapInArrow(lists, "token long, node long, leader long")
+
+
+def fitting(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and common prefix shingles allow the similarity.
+
+    Of two prefixes, the one that ends first in the order holds all common shingles up to there; so
+    the sets have in common at most what the prefixes have, and what lies beyond one of them.
+    """
+    sides = [shared.select(*(F.col(c).alias(f"{side}_{c}" if c != "node" else side) for c in shared.columns)) for side in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b")
+    met = met.where(F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n"))
+    beyond = F.greatest(*(F.floor(F.col(f"{s}_n") * percent / 100) for s in "ab"))
+    return met.where((F.size(F.array_intersect("a_tokens", "b_tokens")) + beyond) * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those that share prefixes under the other orders and reach the similarity.
+
+    One text of each class is cut into shingles again; its set goes to each pair it is in, by a,
+    after the set of a itself. Sets are compared as they stream by.
+    """
+    roles = pairs.select(F.col("b").alias("node"), F.col("a").alias("at")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("at"))).distinct()
+    roles = written(roles.groupBy("node").agg(F.collect_set("at").alias("ats")).join(classes.select("node", "doc"), "node"), "roles")
+    texts = docs.select(F.col(f"`{key}`").alias("its"), F.col(f"`{text}`").alias("t")).join(roles, F.col("its").eqNullSafe(F.col("doc")))
     kind = T.ArrayType(T.LongType())
-    fields = [T.StructField("node", T.LongType()), T.StructField("shingles", kind), *(T.StructField(x, kind) for x in others)]
 
     def make():
-        order = Frequent(frequent)
-
         def work(texts: list) -> list[pa.Array]:
             values, ends = shingle_sets(texts, k)
-            prefixes = [_lists(*order.prefixes(values, ends, percent, f)) for f in ORDERS[1:]]
-            return [pa.array(_names(values, ends), pa.int64()), _lists(values, ends), *prefixes]
+            return [pa.array(_names(values, ends), pa.int64()), _lists(values, ends)]
 
         return work
 
-    return map_texts(docs, (key,), text, fields, make).drop(key).where("node IS NOT NULL").dropDuplicates(["node"])
+    sets = map_texts(texts, ("node", "ats"), "t", [T.StructField("made", T.LongType()), T.StructField("shingles", kind)], make)
+    sets = sets.where("made = node").select(F.explode("ats").alias("a"), F.col("node").alias("b"), "shingles")
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, current, left, prefixes = Order(frequent), None, None, []
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, those that pass the filters of the other orders and reach the similarity."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(classes, "node").select(F.col("doc").alias("wanted")).distinct()
-    texts = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("body"))
-    texts = texts.join(wanted, F.col("doc").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = written(sets_of(texts, frequent, "doc", "body", k, percent), "sets")
-    left = sets.select([F.col(c).alias("a" if c == "node" else f"a_{c}") for c in sets.columns])
-    right = sets.select([F.col(c).alias("b" if c == "node" else f"b_{c}") for c in sets.columns])
-    met = pairs.join(left, "a").join(right, "b")
-    for c in sets.columns[2:]:
-        met = met.where(F.arrays_overlap(f"a_{c}", f"b_{c}"))
-    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    return (met.withColumn("common", common)
-            .where(F.col("common") * 100 >= percent * (F.size("a_shingles") + F.size("b_shingles") - F.col("common")))
-            .select("a", "b"))
+        def prefix(values: np.ndarray, factor: int) -> np.ndarray:
+            n = np.array([len(values)])
+            return order.prefixes(values, np.array([0, len(values)]), prefix_length(n, percent), factor)[0]
+
+        for batch in batches:
+            found = []
+            lists = batch.column("shingles")
+            flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                values = flat[ends[i]:ends[i + 1]]
+                if a == b:
+                    if a != current:
+                        current, left = a, values.copy()
+                        prefixes = [prefix(left, f) for f in ORDERS[1:]]
+                    continue
+                if current != a:
+                    raise ValueError("a class whose text is not there")
+                if not all(np.isin(prefix(values, f), p, assume_unique=True).any() for f, p in zip(ORDERS[1:], prefixes)):
+                    continue
+                common = len(np.intersect1d(left, values, assume_unique=True))
+                if common * 100 >= percent * (len(left) + len(values) - common):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return sets.repartition("a").sortWithinPartitions("a", F.col("b") != F.col("a"), "b").mapInArrow(compare, "a long, b long")
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -184,43 +273,36 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     Null texts and texts without words have no shingles and link with nothing: their component is
     their own key. Rows with equal sets are in one component, also repeated rows. Null keys take
     part; a component's id is null only if all its keys are. Other columns are ignored, and an
-    empty table gives no rows. Sizes that any run has beside its postings: FREQUENT shingles on
-    the driver and in each task.
+    empty table gives no rows. What any run has beside its postings: FREQUENT keys on the driver
+    and in each task.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent is above 0 and at most 100")
-    frequent = frequent_shingles(docs, text, k)
+    frequent = frequent_keys(docs, text, k, percent)
     rows = written(posted(docs, frequent, key, text, k, percent), "posted").withColumnRenamed(key, "doc")
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc").alias("doc"), F.min("n").alias("n"), F.max_by("prefix", F.size("prefix")).alias("prefix"))
-    classes = written(classes, "classes")
-    lists = classes.select(F.explode("prefix").alias("token"), "node", "n")
-    by_token = Window.partitionBy("token")
-    lists = lists.withColumns({"members": F.count("*").over(by_token), "least": F.min(F.struct("node", "n")).over(by_token)})
-    lists = lists.where("members > 1").select("token", "node", "n", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n"))
-    lists = written(lists, "lists")
-    fits = lambda x, y: (F.least(x, y) * 100 >= percent * F.greatest(x, y))
-    stars = lists.where((F.col("node") != F.col("leader")) & fits("n", "leader_n")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(stars, "stars")
+    classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n")), "classes")
+    lists = written(posting_lists(rows), "lists")
+    # at most a prefix of tokens for each class
+    shared = written(lists.groupBy("node").agg(F.collect_list("token").alias("tokens")).join(classes.select("node", "n"), "node"), "shared")
     args = (classes, docs, frequent, key, text, k, percent)
-    links = written(verified(stars, *args), "links")
+    stars = written(lists.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = written(verified(written(fitting(stars, shared, percent), "fitting"), *args), "links")
     roots = written(components(links), "roots")
-    named = lists.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed_lists = named.withColumns({"low": F.min("root").over(by_token), "high": F.max("root").over(by_token)}).where("low <> high").drop("low", "high")
-    mixed_lists = written(mixed_lists, "mixed")
-    other = mixed_lists.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "root")))
-    across = mixed_lists.join(other, "token").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & fits("n", "n2"))
-    across = across.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    across = written(across, "across")
-    if across.isEmpty():
-        final = roots
-    else:
-        final = components(links.unionByName(verified(across, *args)))
+    named = lists.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+    several = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    named = written(named.join(several, "token", "left_semi"), "named")
+    other = named.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "root")))
+    across = named.join(other, "token").where("node < node2 AND root <> root2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    across = written(fitting(across.join(stars, ["a", "b"], "left_anti"), shared, percent), "across")
+    final = roots
+    if not across.isEmpty():
+        more = written(verified(across, *args), "more")
+        if not more.isEmpty():
+            final = written(components(links.unionByName(more)), "roots")
     final = final.join(classes.select("node", "doc"), "node").select("node", "root", "doc")
-    ids = final.groupBy("root").agg(F.min("doc").alias("component_id")).join(final.select("node", "root"), "root").select("node", "component_id")
-    ids = written(ids, "ids")
-    own = classes.select("node", F.col("doc").alias("class_doc"))
-    known = own.join(ids, "node", "left").select("node", F.coalesce("component_id", "class_doc").alias("component_id"))
+    least = final.groupBy("root").agg(F.min("doc").alias("component_id"))
+    ids = final.select("node", "root").join(least, "root").select("node", "component_id")
+    known = written(classes.select("node", "doc").join(ids, "node", "left").select("node", F.coalesce("component_id", "doc").alias("component_id")), "known")
     # rows without shingles get a key of their own, so that they do not meet in one task
     lone = F.xxhash64("doc", F.lit("no shingles"))
     return (rows.select("doc", "n", F.coalesce("node", lone).alias("node"))
