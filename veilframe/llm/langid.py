@@ -198,10 +198,8 @@ def _label(text: str | None, scorer: _Scorer) -> tuple[str, float, list[dict]]:
     langs = scorer.model.langs
     if not words or not langs:
         return "und", 0.0, []
-    scores = scorer.matrix[[scorer[w] for w in words]] if len(words) < 64 else None
-    if scores is None:
-        at = np.fromiter(map(scorer.__getitem__, words), np.int64, len(words))
-        scores = scorer.matrix[at]
+    at = np.fromiter(map(scorer.__getitem__, words), np.int64, len(words))
+    scores = scorer.matrix[at]  # after the look-ups, which may replace the matrix
     path = viterbi(scores)
     letters = np.fromiter(map(len, words), np.int64, len(words))
     cover = np.bincount(path, letters, len(langs))
