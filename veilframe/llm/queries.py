@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe, jaccard, langid, secrets
+from veilframe.llm import bpe, decontaminate, jaccard, langid, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -71,3 +71,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~held_out()))
     found = langid.identify(docs, model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("lang_spans").cast("long").alias("n_spans"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds, as pairs."""
+    docs = table(spark, sf_dir, "documents")
+    index = decontaminate.build(table(spark, sf_dir, "benchmark"), docs)
+    return decontaminate.leaks(docs, index).withColumnRenamed("item", "item_id")
