@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe, decontaminate, jaccard, langid, secrets
+from veilframe.llm import bpe, decontaminate, html, jaccard, langid, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -79,3 +79,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = decontaminate.build(table(spark, sf_dir, "benchmark"), docs)
     return decontaminate.leaks(docs, index).withColumnRenamed("item", "item_id")
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html.extract(table(spark, sf_dir, "pages"), out="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
