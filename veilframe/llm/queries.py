@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe, decontaminate, html, jaccard, langid, secrets
+from veilframe.llm import bpe, decontaminate, html, jaccard, langid, media, secrets
+from veilframe.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -86,3 +87,14 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = html.extract(table(spark, sf_dir, "pages"), out="text")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's payload, stored, read back and measured."""
+    docs = table(spark, sf_dir, "documents")
+    index = media.with_headers(media.store(docs))
+    index = media.read_back(index).select("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    rows = media.with_references(docs)
+    return rows.join(written(index, "read"), "digest").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
