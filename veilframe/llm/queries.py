@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe, decontaminate, html, jaccard, langid, media, secrets
+from veilframe.llm import bpe, chat, decontaminate, html, jaccard, langid, media, secrets
 from veilframe.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,14 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.with_references(docs)
     return rows.join(written(index, "read"), "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings: to records, canonical turns and text, and read back."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                    F.lit("</s>[INST] ok [/INST]").alias("text"))
+    records = chat.canonical(chat.records_of(given.unionByName(control)), ("conv_id", "part"))
+    segments = chat.formatted(chat.turns_table(records)).select("conv_id", "part", "place", "segment", "mask_start", "mask_end")
+    return chat.digests(chat.read_back(segments), "conv_id", ["part", "place"])
