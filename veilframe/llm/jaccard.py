@@ -9,8 +9,8 @@ share do not gather these texts; any order is exact, frequency only saves work.
 1. Count, over all texts, the shingles near the front of the first order; the `FREQUENT` most
    frequent ones (a bounded list) close every order.
 2. Equal sets become one class. Each class posts its prefix under the first order.
-3. Every posting list pairs its members with its least member, so that groups of near copies
-   join at linear cost. A pair must have sizes that allow the link, enough common shingles in
+3. Every posting list pairs its members with one of them, so that groups of near copies join at
+   linear cost; a few such rounds follow, with lists that still hold several components. A pair must have sizes that allow the link, enough common shingles in
    the prefix, and common prefix shingles under all other orders; then the sets are compared.
 4. Lists that still hold several components give the pairs across components, through the same
    filters and the same check. Pairs inside a component are never made.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veilframe.llm.common import map_texts, slices, written
 from veilframe.llm.graph import components
@@ -44,6 +44,10 @@ BLOCK = 1_000_000
 BUCKETS = 4096
 #: Fixed odd factors; each gives another order.
 ORDERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)
+#: Rounds of pairing each list with one of its members, before pairs across components are made.
+ROUNDS = 3
+#: Bits of the map of texts that are compared: a fixed size, sent to every task; if it fills, more texts are joined.
+SIEVE_BITS = 1 << 23
 #: Classes that a task remembers, so that near-by copies post their prefix once.
 KNOWN = 200_000
 _LAST = np.uint64(1 << 63)
@@ -171,7 +175,7 @@ def posted(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, p
 
 
 def posting_lists(rows: DataFrame) -> DataFrame:
-    """(token, node, leader) for each member of each list of several classes; the leader is its least member."""
+    """(token, node) for each member of each list of several classes."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,13 +198,12 @@ def posting_lists(rows: DataFrame) -> DataFrame:
         group = np.cumsum(new) - 1
         size = np.bincount(group)
         several = size[group] > 1 if len(group) else np.zeros(0, bool)
-        leader = nodes[np.flatnonzero(new)][group] if len(group) else nodes
         for at in range(0, int(several.sum()), 100_000):
             cut = np.flatnonzero(several)[at:at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(nodes[cut]), pa.array(leader[cut])], names=["token", "node", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(nodes[cut])], names=["token", "node"])
 
     packed = rows.where(F.size("prefix") > 0).select("node", "prefix").mapInArrow(deal, "bucket long, keys binary, nodes binary")
-    return packed.repartition("bucket").select("keys", "nodes").mapInArrow(lists, "token long, node long, leader long")
+    return packed.repartition("bucket").select("keys", "nodes").mapInArrow(lists, "token long, node long")
 
 
 def fitting(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
@@ -216,29 +219,58 @@ def fitting(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     return met.where((F.size(F.array_intersect("a_tokens", "b_tokens")) + beyond) * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, those that share prefixes under the other orders and reach the similarity.
+def _nodes_with_partners(pairs: DataFrame) -> DataFrame:
+    """(node, ats): the a of each pair that a class is in, and its own name if it is an a."""
+    both = pairs.select(F.col("b").alias("node"), F.col("a").alias("at")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("at")))
+    return both.distinct().groupBy("node").agg(F.collect_list("at").alias("ats"))
 
-    One text of each class is cut into shingles again; its set goes to each pair it is in, by a,
-    after the set of a itself. Sets are compared as they stream by.
-    """
-    roles = pairs.select(F.col("b").alias("node"), F.col("a").alias("at")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("at"))).distinct()
-    roles = written(roles.groupBy("node").agg(F.collect_set("at").alias("ats")).join(classes.select("node", "doc"), "node"), "roles")
-    texts = docs.select(F.col(f"`{key}`").alias("its"), F.col(f"`{text}`").alias("t")).join(roles, F.col("its").eqNullSafe(F.col("doc")))
-    kind = T.ArrayType(T.LongType())
 
-    def make():
-        def work(texts: list) -> list[pa.Array]:
-            values, ends = shingle_sets(texts, k)
-            return [pa.array(_names(values, ends), pa.int64()), _lists(values, ends)]
+def sieve(keys: DataFrame) -> bytes:
+    """A bitmap of SIEVE_BITS in which the bit of each key's hash is set; made in the tasks, of fixed size."""
+    chunk = 1 << 14
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE_BITS >> 3, np.uint8)
+        for batch in batches:
+            at = batch.column("bit").to_numpy(zero_copy_only=False)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        used = [i for i in range(0, len(bits), chunk) if bits[i:i + chunk].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([bits[i:i + chunk].tobytes() for i in used], pa.binary())], names=["at", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, raw in zip(batch.column("at").to_pylist(), batch.column("bits").to_pylist()):
+                held[at] = held[at] | np.frombuffer(raw, np.uint8) if at in held else np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "bits"])
+
+    marked = keys.select(_bit(F.col(keys.columns[0])).alias("bit")).mapInArrow(mark, "at long, bits binary")
+    out = bytearray(SIEVE_BITS >> 3)
+    for row in marked.repartition("at").mapInArrow(join, "at long, bits binary").collect():  # SIEVE_BITS in all
+        out[row["at"]:row["at"] + chunk] = row["bits"]
+    return bytes(out)
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
 
-        return work
 
-    sets = map_texts(texts, ("node", "ats"), "t", [T.StructField("made", T.LongType()), T.StructField("shingles", kind)], make)
-    sets = sets.where("made = node").select(F.explode("ats").alias("a"), F.col("node").alias("b"), "shingles")
+def passes(key: Column, bitmap: bytes) -> Column:
+    """Whether a key may be one of those that the bitmap was made of."""
+    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.shiftright(_bit(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (F.shiftright(byte, 0) / F.pow(F.lit(2), _bit(key) % 8)).cast("int") % 2 == 1
+
+
+def _compared(sets: DataFrame, column: str, width: type, percent: int, frequent: np.ndarray) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity; sets come sorted by a, that of a first.
+
+    Sets in full width must also share prefixes under all other orders. Truncated hashes can only have
+    more in common than the shingles, so what they reject is no link.
+    """
+    full = width is np.uint64
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, current, left, prefixes = Order(frequent), None, None, []
+        order, current, left, size, prefixes = Order(frequent), None, None, 0, []
 
         def prefix(values: np.ndarray, factor: int) -> np.ndarray:
             n = np.array([len(values)])
@@ -246,25 +278,63 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np
 
         for batch in batches:
             found = []
-            lists = batch.column("shingles")
-            flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-                values = flat[ends[i]:ends[i + 1]]
+            for a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set"))):
+                values = np.frombuffer(raw, width)
                 if a == b:
                     if a != current:
-                        current, left = a, values.copy()
-                        prefixes = [prefix(left, f) for f in ORDERS[1:]]
+                        current, size = a, len(values)
+                        left = values if full else np.unique(values, return_counts=True)
+                        prefixes = [prefix(values, f) for f in ORDERS[1:]] if full else []
                     continue
                 if current != a:
                     raise ValueError("a class whose text is not there")
-                if not all(np.isin(prefix(values, f), p, assume_unique=True).any() for f, p in zip(ORDERS[1:], prefixes)):
-                    continue
-                common = len(np.intersect1d(left, values, assume_unique=True))
-                if common * 100 >= percent * (len(left) + len(values) - common):
+                if full:
+                    if not all(np.isin(prefix(values, f), p, assume_unique=True).any() for f, p in zip(ORDERS[1:], prefixes)):
+                        continue
+                    common = len(np.intersect1d(left, values, assume_unique=True))
+                else:
+                    right = np.unique(values, return_counts=True)
+                    _, i, j = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
+                    common = int(np.minimum(left[1][i], right[1][j]).sum())
+                if common * (100 + percent) >= percent * (size + len(values)):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return sets.repartition("a").sortWithinPartitions("a", F.col("b") != F.col("a"), "b").mapInArrow(compare, "a long, b long")
+    dealt = sets.select(F.explode("ats").alias("a"), F.col("node").alias("b"), F.col(column).alias("set"))
+    return dealt.repartition("a").sortWithinPartitions("a", F.col("b") != F.col("a"), "b").mapInArrow(compare, "a long, b long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those that share prefixes under the other orders and reach the similarity.
+
+    One text of each class is cut into shingles again; a bitmap keeps other texts out of the join.
+    Sets go to each pair they are in, first as 16-bit hashes, then, for what these leave, in full.
+    """
+    roles = written(_nodes_with_partners(pairs).join(classes.select("node", "doc"), "node"), "roles")
+    bitmap = sieve(roles.select("doc"))
+    texts = docs.select(F.col(f"`{key}`").alias("its"), F.col(f"`{text}`").alias("t"))
+    texts = texts.where(passes(F.col("its"), bitmap)).join(roles, F.col("its").eqNullSafe(F.col("doc")))
+
+    def make():
+        def work(texts: list) -> list[pa.Array]:
+            values, ends = shingle_sets(texts, k)
+            cut = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+            short = (values >> np.uint64(48)).astype("<u2")
+            return [pa.array(_names(values, ends), pa.int64()), pa.array([short[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())]
+
+        return work
+
+    fields = [T.StructField("made", T.LongType()), T.StructField("short", T.BinaryType()), T.StructField("full", T.BinaryType())]
+    sets = written(map_texts(texts, ("node", "ats"), "t", fields, make).where("made = node").drop("made"), "sets")
+    left = written(_compared(sets.select("node", "ats", "short"), "short", np.uint16, percent, frequent).distinct(), "left")
+    return _compared(sets.select("node", "full").join(_nodes_with_partners(left), "node"), "full", np.uint64, percent, frequent).distinct()
+
+
+def _several(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, node, root) of the lists whose members are in several components."""
+    named = lists.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+    tokens = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return named.join(tokens, "token", "left_semi")
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -285,15 +355,22 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     # at most a prefix of tokens for each class
     shared = written(lists.groupBy("node").agg(F.collect_list("token").alias("tokens")).join(classes.select("node", "n"), "node"), "shared")
     args = (classes, docs, frequent, key, text, k, percent)
-    stars = written(lists.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = written(verified(written(fitting(stars, shared, percent), "fitting"), *args), "links")
-    roots = written(components(links), "roots")
-    named = lists.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    several = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    named = written(named.join(several, "token", "left_semi"), "named")
+    tested = links = roots = None
+    for turn in range(ROUNDS):
+        named = lists.select("token", "node", F.col("node").alias("root")) if roots is None else _several(lists, roots)
+        lead = named.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("lead"))
+        pairs = named.join(lead, "token").where("root <> lead.root").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "stars")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        more = written(verified(written(fitting(pairs, shared, percent), "fitting"), *args), "links")
+        if turn and more.isEmpty():
+            break
+        links = more if links is None else links.unionByName(more)
+        roots = written(components(links), "roots")
+    named = written(_several(lists, roots), "named")
     other = named.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "root")))
     across = named.join(other, "token").where("node < node2 AND root <> root2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    across = written(fitting(across.join(stars, ["a", "b"], "left_anti"), shared, percent), "across")
+    across = written(fitting(across.join(tested, ["a", "b"], "left_anti"), shared, percent), "across")
     final = roots
     if not across.isEmpty():
         more = written(verified(across, *args), "more")
