@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe, chat, decontaminate, html, jaccard, langid, media, secrets
+from veilframe.llm import bpe, chat, decontaminate, html, jaccard, langid, media, secrets, surrogates
 from veilframe.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = chat.canonical(chat.records_of(given.unionByName(control)), ("conv_id", "part"))
     segments = chat.formatted(chat.turns_table(records)).select("conv_id", "part", "place", "segment", "mask_start", "mask_end")
     return chat.digests(chat.read_back(segments), "conv_id", ["part", "place"])
+
+
+@query
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data."""
+    made = surrogates.with_surrogates(table(spark, sf_dir, "documents"), key="key of the registered query")
+    return made.select("doc_id", "text", "n_mentions")
