@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe, chat, decontaminate, html, jaccard, langid, media, secrets, surrogates
+from veilframe.llm import bpe, chat, counts, decontaminate, html, jaccard, langid, media, secrets, surrogates
 from veilframe.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -116,3 +117,11 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates in place of personal data."""
     made = surrogates.with_surrogates(table(spark, sf_dir, "documents"), key="key of the registered query")
     return made.select("doc_id", "text", "n_mentions")
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token count of every document, with the pieces and scores of PIECES taken as a unigram vocabulary."""
+    import public_tokenizers
+
+    return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
