@@ -1,27 +1,69 @@
-"""The pipeline over documents: each stage applies one operator of veilframe.llm."""
+"""The pipeline over documents: each stage applies one operator of veilframe.llm.
+
+Each stage works on all that the one before kept; what it returns is written and read again. All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe
+from veilframe.llm import bpe, decontaminate, jaccard, langid, secrets
 from veilframe.llm.common import written
-from veilframe.llm.queries import bpe_files
+from veilframe.llm.queries import bpe_files, table
+
+#: Documents whose language is less sure than this are rejected, as are those without letters.
+LEAST_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that are in no language that the labels know."""
+    names = docs.columns
+    found = langid.identify(docs, langid.fit(docs), tuple(names), "text")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*names)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near duplicates."""
+    return jaccard.one_of_each(docs, k=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a benchmark item."""
+    return decontaminate.clean(docs, decontaminate.build(table(spark, sf_dir, "benchmark"), docs))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret, encoded ones too; n_chars follows the text."""
+    names = docs.columns
+    made = secrets.mask(docs, tuple(n for n in names if n != "text"), out="text")
+    if "n_chars" in names:
+        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return made.select(*names)
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the token ids of each text."""
+    """The token ids of each text, and whether they decode to it again."""
     ranks, pattern = bpe_files()
-    return bpe.encode(docs, ranks, pattern)
+    texts = docs.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    back = bpe.decode(bpe.encode(texts, ranks, pattern, ("doc_id", "sha256")), ranks, ("doc_id", "sha256", "ids"))
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha256")).alias("round_trip"))
 
 
-STAGES = [("byte_bpe", byte_pairs)]
+STAGES = [
+    ("language_id", language),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secret_scan", without_secrets),
+    ("byte_bpe", byte_pairs),
+]
+#: SQL can't express the language model or the latent space; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs

@@ -386,3 +386,23 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
             .join(known, "node", "left")
             .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows without those whose component has a lesser key, and without repeated rows.
+
+    A key names a document: rows of one key stay or go together. Texts are not shuffled, but for
+    those that a bitmap of the keys that go, or are repeated, lets through.
+    """
+    rows = written(components_of(docs, key, text, k, percent), "components")
+    going = rows.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("going")).distinct()
+    repeated = rows.groupBy(key).agg(F.count("*").alias("times")).where("times > 1").select(F.col(key).alias("going"))
+    going, repeated = written(going, "going"), written(repeated, "repeated")
+    bitmap = sieve(going.unionByName(repeated))
+    own = F.col(f"`{key}`")
+    apart = docs.where(passes(own, bitmap)).join(going, own.eqNullSafe(F.col("going")), "left_anti")
+    twice = apart.join(repeated, own.eqNullSafe(F.col("going")), "left_semi")
+    once = apart.join(repeated, own.eqNullSafe(F.col("going")), "left_anti")
+    mark = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+    single = twice.withColumn("__mark", mark).dropDuplicates([key, "__mark"]).drop("__mark")
+    return docs.where(~passes(own, bitmap)).unionByName(once).unionByName(single)
