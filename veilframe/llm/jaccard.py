@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from veilframe.llm.common import map_texts, slices, written
+from veilframe.llm.common import map_texts, most_frequent, slices, written
 from veilframe.llm.graph import components
 from veilframe.llm.shingles import mixed, shingle_sets
 
@@ -134,8 +134,8 @@ def frequent_keys(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarra
 
     packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(deal, "bucket long, keys binary")
     counts = packed.repartition("bucket").select("keys").mapInArrow(count, "key long, n long")
-    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    return top["key"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    top = most_frequent(written(counts, "counts"), FREQUENT).toPandas().sort_values(["n", "key"])
+    return top["key"].to_numpy(np.int64).view(np.uint64)
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from veilframe.llm.common import map_texts, slices, written
+from veilframe.llm.common import map_texts, most_frequent, slices, written
 
 VOCABULARY = 40_000
 TRIGRAMS = 40_000
@@ -102,12 +102,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Languages, and log-likelihoods of the bounded word and trigram lists for each."""
+    """Languages, and log-likelihoods of the bounded word and trigram lists for each (a row for each token).
+
+    The last row for trigrams is that of all others.
+    """
 
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    trigrams: dict[str, np.ndarray] = field(default_factory=dict)
-    unseen: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    words: dict[str, int] = field(default_factory=dict)
+    word_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    trigrams: dict[str, int] = field(default_factory=dict)
+    trigram_scores: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
     scripts: dict[str, np.ndarray] = field(default_factory=dict)
 
 
@@ -123,42 +127,52 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     if not langs:
         return Model([])
 
-    def listed(kind: str, size: int) -> dict[str, np.ndarray]:
-        top = counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(size).collect()
+    def listed(kind: str, size: int) -> tuple[dict[str, int], np.ndarray]:
         total = np.array([math.log(totals[kind][x] + SMOOTHING * size) for x in langs])
-        return {r["token"]: np.log([r["by"].get(x, 0) + SMOOTHING for x in langs]) - total for r in top}
+        top = most_frequent(counts.where(F.col("kind") == kind), size).collect()
+        rows = [[r["by"].get(x, 0) for x in langs] for r in top] + [[0] * len(langs)]
+        return {r["token"]: i for i, r in enumerate(top)}, np.log(np.array(rows) + SMOOTHING) - total
 
     letters = counts.where("kind = 's'").collect()  # one row for each script
     scripts = {r["token"]: np.array([r["by"].get(x, 0) >= SCRIPT_SHARE * totals["s"][x] for x in langs]) for r in letters}
-    unseen = math.log(SMOOTHING) - np.array([math.log(totals["t"][x] + SMOOTHING * TRIGRAMS) for x in langs])
-    return Model(langs, listed("w", VOCABULARY), listed("t", TRIGRAMS), unseen, {s: x for s, x in scripts.items() if x.any()})
+    return Model(langs, *listed("w", VOCABULARY), *listed("t", TRIGRAMS), {s: x for s, x in scripts.items() if x.any()})
 
 
-class _Scorer(dict):
-    """word -> place of its scores in a matrix; keeps the words met of late."""
+class _Scorer:
+    """The scores of words; keeps those met of late as rows of a matrix."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model = model
-        self.matrix = np.zeros((1024, len(model.langs)))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.matrix):
-            self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
-        self.matrix[at] = self.scores(word)
-        self[word] = at
-        return at
-
-    def scores(self, word: str) -> np.ndarray:
-        low = word.lower()
-        score = self.model.words.get(low)
-        if score is None:
-            score = sum((self.model.trigrams.get(t, self.model.unseen) for t in _trigrams(low)), np.zeros(len(self.model.langs)))
-        allowed = self.model.scripts.get(script_of(word))
-        if allowed is not None:
-            score = np.where(allowed, score, -np.inf)
-        return np.maximum(score - score.max(), -WORD_LIMIT)
+        self.model, self.places, self.matrix = model, {}, np.zeros((0, len(model.langs)))
+
+    def learn(self, lists: list[list[str]]) -> None:
+        """Make rows for the new words of a block of texts."""
+        if len(self.places) > CACHE_WORDS:
+            self.places, self.matrix = {}, self.matrix[:0]
+        new = [w for w in set().union(*lists) if w not in self.places]
+        if not new:
+            return
+        model = self.model
+        other = len(model.trigrams)
+        scores = np.empty((len(new), len(model.langs)))
+        flat: list[int] = []
+        starts, rare = [], []
+        for i, word in enumerate(new):
+            low = word.lower()
+            at = model.words.get(low)
+            if at is None:
+                rare.append(i)
+                starts.append(len(flat))
+                padded = f"^{low}$"
+                flat += [model.trigrams.get(padded[j:j + 3], other) for j in range(len(padded) - 2)]
+            else:
+                scores[i] = model.word_scores[at]
+        if rare:
+            scores[rare] = np.add.reduceat(model.trigram_scores[flat], starts)
+        every = np.ones(len(model.langs), bool)
+        allowed = np.stack([model.scripts.get(script_of(w), every) for w in new])
+        scores = np.where(allowed, scores, -np.inf)
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        self.matrix = np.concatenate((self.matrix, np.maximum(scores - scores.max(1, keepdims=True), -WORD_LIMIT)))
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -193,13 +207,11 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 _ARROW_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
 
-def _label(text: str | None, scorer: _Scorer) -> tuple[str, float, list[dict]]:
-    words = words_of(text) if text else []
+def _label(text: str | None, words: list[str], scorer: _Scorer) -> tuple[str, float, list[dict]]:
     langs = scorer.model.langs
     if not words or not langs:
         return "und", 0.0, []
-    at = np.fromiter(map(scorer.__getitem__, words), np.int64, len(words))
-    scores = scorer.matrix[at]  # after the look-ups, which may replace the matrix
+    scores = scorer.matrix[np.fromiter(map(scorer.places.__getitem__, words), np.int64, len(words))]
     path = viterbi(scores)
     letters = np.fromiter(map(len, words), np.int64, len(words))
     cover = np.bincount(path, letters, len(langs))
@@ -207,6 +219,8 @@ def _label(text: str | None, scorer: _Scorer) -> tuple[str, float, list[dict]]:
     total = scores[path == top].sum(0)
     sure = 1 / np.exp(np.maximum(total - total[top], -50)).sum()
     changes = np.flatnonzero(path[1:] != path[:-1]) + 1
+    if not len(changes):  # no word runs on at its ends, so the first and last words are where their letters are first and last
+        return langs[top], float(sure), [{"start": text.index(words[0]), "end": text.rindex(words[-1]) + len(words[-1]), "lang": langs[top]}]
     places = [m.span() for m in WORD.finditer(text) if any(map(str.isalpha, m.group()))]
     cuts = [0, *changes.tolist(), len(words)]
     spans = [{"start": places[a][0], "end": places[b - 1][1], "lang": langs[path[a]]} for a, b in zip(cuts, cuts[1:])]
@@ -226,9 +240,10 @@ def identify(df: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",), t
         scorer = _Scorer(model)
 
         def work(texts: list) -> list[pa.Array]:
-            made = [_label(t, scorer) for t in texts]
-            if len(scorer) > CACHE_WORDS:
-                scorer.clear()
+            lists = [words_of(t) if t else [] for t in texts]
+            if model.langs:
+                scorer.learn(lists)
+            made = [_label(t, words, scorer) for t, words in zip(texts, lists)]
             return [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.list_(_ARROW_SPAN))]
 
         return work
