@@ -48,6 +48,7 @@ ORDERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)
 ROUNDS = 3
 #: Bits of the map of texts that are compared: a fixed size, sent to every task; if it fills, more texts are joined.
 SIEVE_BITS = 1 << 23
+SIEVE_ROW = 1 << 11
 #: Classes that a task remembers, so that near-by copies post their prefix once.
 KNOWN = 200_000
 _LAST = np.uint64(1 << 63)
@@ -225,17 +226,19 @@ def _nodes_with_partners(pairs: DataFrame) -> DataFrame:
     return both.distinct().groupBy("node").agg(F.collect_list("at").alias("ats"))
 
 
-def sieve(keys: DataFrame) -> bytes:
-    """A bitmap of SIEVE_BITS in which the bit of each key's hash is set; made in the tasks, of fixed size."""
-    chunk = 1 << 14
+def sieve(keys: DataFrame) -> DataFrame:
+    """(at, bits): a bitmap of SIEVE_BITS, in rows of SIEVE_ROW bytes, in which the bit of each key's hash is set.
+
+    Tasks make bitmaps of their keys, and these are joined row by row; the size is fixed.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(SIEVE_BITS >> 3, np.uint8)
         for batch in batches:
             at = batch.column("bit").to_numpy(zero_copy_only=False)
             np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        used = [i for i in range(0, len(bits), chunk) if bits[i:i + chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([bits[i:i + chunk].tobytes() for i in used], pa.binary())], names=["at", "bits"])
+        used = [i for i in range(len(bits) // SIEVE_ROW) if bits[i * SIEVE_ROW:(i + 1) * SIEVE_ROW].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([bits[i * SIEVE_ROW:(i + 1) * SIEVE_ROW].tobytes() for i in used], pa.binary())], names=["at", "bits"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -245,20 +248,24 @@ def sieve(keys: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "bits"])
 
     marked = keys.select(_bit(F.col(keys.columns[0])).alias("bit")).mapInArrow(mark, "at long, bits binary")
-    out = bytearray(SIEVE_BITS >> 3)
-    for row in marked.repartition("at").mapInArrow(join, "at long, bits binary").collect():  # SIEVE_BITS in all
-        out[row["at"]:row["at"] + chunk] = row["bits"]
-    return bytes(out)
+    return written(marked.repartition("at").mapInArrow(join, "at long, bits binary"), "sieve")
 
 
 def _bit(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
 
 
-def passes(key: Column, bitmap: bytes) -> Column:
-    """Whether a key may be one of those that the bitmap was made of."""
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.shiftright(_bit(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (F.shiftright(byte, 0) / F.pow(F.lit(2), _bit(key) % 8)).cast("int") % 2 == 1
+def sifted(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be one of those that a sieve was made of, and those whose key is none.
+
+    The bitmap is broadcast: at most SIEVE_BITS, whatever the data.
+    """
+    own = F.broadcast(bitmap.select(F.col("at").alias("__at"), F.col("bits").alias("__bits")))
+    bit = _bit(F.col(f"`{key}`"))
+    met = df.join(own, F.floor(bit / (8 * SIEVE_ROW)) == F.col("__at"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) % SIEVE_ROW + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1, F.lit(False))
+    return met.where(is_set).select(*df.columns), met.where(~is_set).select(*df.columns)
 
 
 def _compared(sets: DataFrame, column: str, width: type, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -311,9 +318,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np
     Sets go to each pair they are in, first as 16-bit hashes, then, for what these leave, in full.
     """
     roles = written(_nodes_with_partners(pairs).join(classes.select("node", "doc"), "node"), "roles")
-    bitmap = sieve(roles.select("doc"))
     texts = docs.select(F.col(f"`{key}`").alias("its"), F.col(f"`{text}`").alias("t"))
-    texts = texts.where(passes(F.col("its"), bitmap)).join(roles, F.col("its").eqNullSafe(F.col("doc")))
+    texts = sifted(texts, "its", sieve(roles.select("doc")))[0].join(roles, F.col("its").eqNullSafe(F.col("doc")))
 
     def make():
         def work(texts: list) -> list[pa.Array]:
@@ -398,11 +404,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     going = rows.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("going")).distinct()
     repeated = rows.groupBy(key).agg(F.count("*").alias("times")).where("times > 1").select(F.col(key).alias("going"))
     going, repeated = written(going, "going"), written(repeated, "repeated")
-    bitmap = sieve(going.unionByName(repeated))
     own = F.col(f"`{key}`")
-    apart = docs.where(passes(own, bitmap)).join(going, own.eqNullSafe(F.col("going")), "left_anti")
+    maybe, clear = sifted(docs, key, sieve(going.unionByName(repeated)))
+    apart = maybe.join(going, own.eqNullSafe(F.col("going")), "left_anti")
     twice = apart.join(repeated, own.eqNullSafe(F.col("going")), "left_semi")
     once = apart.join(repeated, own.eqNullSafe(F.col("going")), "left_anti")
     mark = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
     single = twice.withColumn("__mark", mark).dropDuplicates([key, "__mark"]).drop("__mark")
-    return docs.where(~passes(own, bitmap)).unionByName(once).unionByName(single)
+    return clear.unionByName(once).unionByName(single)
