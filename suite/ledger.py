@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession, functions as F
 
 from suite import data as d, sqlgen as g
 from suite.detect import CLIENT_CTES, CORPUS, joined
 from suite.redaction import FACTS, GATEWAY, T
 from suite.registry import query
+from veilframe.lineage import shared_folder
 from veilframe.functions.language import vendor_of
 from veilframe.functions.checksums import luhn_valid, register_validator
 from veilframe.operators import audit as a, entities as ent, ocr
@@ -31,9 +29,8 @@ def clock(column):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for written tables: in the shared folder where the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/veilframe-{uuid.uuid4().hex}"
+    """A new folder for written tables, which all machines share."""
+    return shared_folder(spark)
 
 
 @query("s1_text_input", f"{CORPUS} SELECT doc_id AS id, length(text) AS n_chars FROM corpus "
