@@ -1,13 +1,6 @@
 import pytest
 
 
-@pytest.fixture(scope="session", autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    """Local runs name a folder for what operators write."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
-
-
 @pytest.fixture
 def frame(spark):
     def make(rows, schema="doc_id long, text string", parts=3):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from veilframe.lineage import shared_folder
 
 #: Rows and characters that Python works on at once; a single longer text is a batch of its own.
 BATCH_ROWS = 512
@@ -58,18 +59,10 @@ def map_texts(
     return picked.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a table to the shared folder, under a name that tells what it is, and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
+    path = f"{shared_folder(spark, 'llm')}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,8 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from veilframe.llm.common import shared_folder, slices, written
+from veilframe.lineage import shared_folder
+from veilframe.llm.common import slices, written
 
 WIDTH = 192
 TAIL = 16
