@@ -56,7 +56,7 @@ def main() -> None:
             span_rows(gateway_scan(docs), ["doc_id", "session"]), ["session"], "doc_id"),
         "conversation_decisions": lambda: decide(scan_messages(chat)),
         "audit_totals": lambda: audit.totals(ledger),
-        "audit_timeline": lambda: audit.timeline(ledger, cap=None, unit="hour"),
+        "audit_timeline": lambda: audit.timeline(ledger, unit="hour"),
     }
     # One run over the smallest input compiles the shared code; it is not counted.
     gateway_scan(chat.limit(10)).write.format("noop").mode("overwrite").save()

@@ -66,9 +66,9 @@ def s2(spark, sf):
        f"WITH c AS ({d.SQL_CHAT}) SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS prompt "
        "FROM c WHERE role = 'user' GROUP BY conv_id")
 def s2_prompts(spark, sf):
-    from veilframe.plans.conversation import prompt_pages
+    from veilframe.plans.conversation import joined_prompts
 
-    return prompt_pages(d.chat(spark, sf)).select("conv_id", F.col("text").alias("prompt"))
+    return joined_prompts(d.chat(spark, sf)).select("conv_id", F.col("text").alias("prompt"))
 
 
 def event_lines(texts, key="stream_id"):
@@ -89,7 +89,7 @@ def s3(spark, sf):
     chunks = event_lines(texts).select("stream_id", "seq", F.concat("line", F.lit("\n\n"))
                                        .alias("chunk"))
     lines = chat_source.event_lines(chunks)
-    return chat_source.reply_pages(lines).filter(F.col("text") != "").select("stream_id", "text")
+    return chat_source.reply_texts(lines).filter(F.col("text") != "").select("stream_id", "text")
 
 
 @query("s6_audit_append",
@@ -208,7 +208,7 @@ def a7(spark, sf):
        f"{AUDIT} SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS time, "
        "count(*) AS n FROM a GROUP BY 1")
 def a8(spark, sf):
-    return a.timeline(d.audit(spark, sf), cap=None, unit="hour").select(
+    return a.timeline(d.audit(spark, sf), unit="hour").select(
         clock("time").alias("time"), "n")
 
 
@@ -216,7 +216,7 @@ def a8(spark, sf):
        f"{AUDIT} SELECT strftime(created_at, '%H:%M') AS time, count(*) AS n FROM (SELECT * FROM a "
        "ORDER BY created_at DESC, id LIMIT 30) q GROUP BY 1")
 def a8_newest(spark, sf):
-    return a.timeline(d.audit(spark, sf))
+    return a.timeline(d.audit(spark, sf), cap=30, by_clock=True)
 
 
 RECEIPTS = f"WITH r AS MATERIALIZED ({d.SQL_RECEIPTS})"

@@ -8,9 +8,9 @@ from suite import data as d, sqlgen as g
 from suite.detect import (
     CLIENT_CTES, CORPUS, ENTITY_CTES, KIND_SQL, PREFIX_SQL, gateway_ctes, gateway_found, joined,
 )
-from suite.registry import query
+from suite.registry import CHECKS, query
 from veilframe.functions.labels import token_prefix
-from veilframe.lineage import cut_lineage
+from veilframe.lineage import cut_lineage, shared_folder
 from veilframe.operators import entities as ent, external as ext
 from veilframe.operators.counts import redactions_per_type, types_per_scope
 from veilframe.operators.keywords import keyword_hits, matched_keywords
@@ -29,7 +29,8 @@ from veilframe.operators.tokens import (
 )
 from veilframe.plans.client import client_scan, combined_scan, with_client_spans, with_entities
 from veilframe.plans.conversation import (
-    audit_records, decide, number_each_message, number_messages, prompt_pages, scan_messages,
+    audit_records, decide, joined_prompts, ledger_records, number_each_message, number_messages,
+    scan_messages,
 )
 from veilframe.plans.documents import image_text_gate
 from veilframe.plans.gateway import gateway_scan, leftmost_scan, with_gateway_spans
@@ -37,6 +38,8 @@ from veilframe.plans.session import intercept
 from veilframe.rules import CLIENT_RULES, COUNTER_STAGES, EXPLAINED_STAGES, ENTITY_RULES, fallback_rules
 from veilframe.rules.local import LEFTMOST_PERSONAL, LEFTMOST_SECRETS
 from veilframe.rules.model import add_view
+from veilframe.sources.chat import chat_options, explode_chat
+from veilframe.sources.ledger import append_audit
 from veilframe.sources.lists import load_knowledge, load_keywords
 
 GATEWAY = f"{CORPUS}, {gateway_ctes()}"
@@ -390,9 +393,23 @@ MODEL_TYPE = ("CASE label WHEN 'PERSON_NAME' THEN 'PHI_NAME' WHEN 'API_KEY' THEN
               "'CREDIT_CARD_NUMBER' THEN 'CREDIT_CARD' ELSE 'DB_CONNECTION_STRING' END")
 
 
+OTHERS_OUT = " AND m.label <> 'OTHER'"
+EVERY_TYPE = "CASE label WHEN 'OTHER' THEN 'PHI_NAME'"
+
+
 @query("j3_model_spans",
        f"{CORPUS}, {MODEL_KEPT} SELECT doc_id, s, e, v AS value, {MODEL_TYPE} AS type FROM p")
 def j3(spark, sf):
+    df = ext.with_model_spans(d.corpus(spark, sf), d.model_spans(spark, sf), ["doc_id"],
+                              labels=ext.MODEL_LABELS)
+    return kept_rows(df, "external")
+
+
+@query("j3_all_labels",
+       f"{CORPUS}, {MODEL_KEPT.replace(OTHERS_OUT, '')} SELECT doc_id, s, e, v AS value, "
+       f"{MODEL_TYPE.replace('CASE label', EVERY_TYPE)} AS type FROM p")
+def j3_all(spark, sf):
+    """Without a list of labels every prediction is kept; unknown labels are names."""
     df = ext.with_model_spans(d.corpus(spark, sf), d.model_spans(spark, sf), ["doc_id"])
     return kept_rows(df, "external")
 
@@ -556,7 +573,8 @@ def c2(spark, sf):
        f"({g.resolve('a', 'leftmost')}), {numbered(PREFIX_SQL)}, o AS ({g.splice('corpus', 'z')}) "
        "SELECT doc_id, out AS sanitized_text FROM o")
 def c2_model(spark, sf):
-    df = ext.with_model_spans(d.corpus(spark, sf), d.model_spans(spark, sf), ["doc_id"])
+    df = ext.with_model_spans(d.corpus(spark, sf), d.model_spans(spark, sf), ["doc_id"],
+                              labels=ext.MODEL_LABELS)
     return gateway_scan(df, external=F.col("external")).select("doc_id", "sanitized_text")
 
 
@@ -683,8 +701,19 @@ PROMPTS_OUT = (f"o AS ({g.splice('corpus', 'sk')}), pr AS (SELECT c.conv_id, str
 def c6_audit(spark, sf):
     scanned = cut_lineage(scan_messages(d.chat(spark, sf)))
     sanitized, _ = number_messages(scanned)
-    pages = prompt_pages(sanitized, text="sanitized_text")
-    return audit_records(decide(scanned), pages).select(
+    prompts = joined_prompts(sanitized, text="sanitized_text")
+    return audit_records(decide(scanned), prompts).select(
+        "conv_id", "action", joined("pii_types_detected").alias("types"),
+        "tokens_redacted_count", "sanitized_prompt")
+
+
+@query("c6_late_turns", CHECKS["c6_audit_records"])
+def c6_late(spark, sf):
+    """The same conversations with turn numbers from 5,000 on: one record each, as before."""
+    late = d.chat(spark, sf).withColumn("turn", F.col("turn") + 5000)
+    scanned = cut_lineage(scan_messages(late))
+    sanitized, _ = number_messages(scanned)
+    return audit_records(decide(scanned), joined_prompts(sanitized, text="sanitized_text")).select(
         "conv_id", "action", joined("pii_types_detected").alias("types"),
         "tokens_redacted_count", "sanitized_prompt")
 
@@ -713,6 +742,36 @@ def c7(spark, sf):
         "tokens_redacted_count")
 
 
+@query("c6_end_to_end",
+       f"SELECT *, concat('model-', conv_id % 3) AS upstream_model FROM ({CHECKS['c7_zero_knowledge']}) q")
+def c6_whole(spark, sf):
+    """Request bodies to messages, decisions with the body's own flag, and full ledger records.
+
+    The records are appended to a ledger and read back from it.
+    """
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    bodies = d.chat(spark, sf).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(message)).alias("m")).select("conv_id", F.to_json(F.struct(
+            F.concat(F.lit("model-"), F.col("conv_id") % 3).alias("model"),
+            (F.col("conv_id") % 2 == 0).alias("zeroKnowledgeMode"),
+            F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+            .alias("messages"))).alias("body"))
+    bodies = cut_lineage(bodies)
+    options = chat_options(bodies)
+    messages = explode_chat(bodies).join(options.select("conv_id", "zero_knowledge"), "conv_id")
+    scanned = cut_lineage(scan_messages(messages))
+    sanitized, _ = number_messages(scanned)
+    records = audit_records(decide(scanned, zero_knowledge=F.col("zero_knowledge")),
+                            joined_prompts(sanitized, text="sanitized_text"))
+    path = shared_folder(spark)
+    append_audit(ledger_records(records, options), path)
+    written = spark.read.parquet(path)
+    return records.select("conv_id", F.md5(F.concat_ws(":", F.lit("audit"), F.col("conv_id").cast("string")))
+                          .alias("id"), "action").join(written, "id").select(
+        "conv_id", "action", joined("pii_types_detected").alias("types"),
+        F.col("tokens_redacted_count").cast("bigint").alias("tokens_redacted_count"), "upstream_model")
+
+
 @query("c8_image_text_gate",
        "WITH corpus AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '' ELSE "
        "regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS text FROM "

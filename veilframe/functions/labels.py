@@ -49,9 +49,9 @@ def token_prefix(type_: Column) -> Column:
 
 
 def ledger_type(type_: Column) -> Column:
-    """Upper case, no NER_ prefix, blanks and dashes to underscores, four renames."""
+    """Upper case, no NER_ prefix, blanks, dashes and brackets to underscores, four renames."""
     name = F.upper(F.when(type_.isNull() | (type_ == ""), "SECRET").otherwise(type_))
-    name = F.regexp_replace(F.regexp_replace(name, "^NER_", ""), r"[\s\-]+", "_")
+    name = F.regexp_replace(F.regexp_replace(name, "^NER_", ""), r"[\s\-\[\]]+", "_")
     return F.coalesce(literal_map(LEDGER_RENAMES)[name], name)
 
 

@@ -73,14 +73,14 @@ def type_shares(df: DataFrame, cap: int | None = None) -> DataFrame:
         .cast("bigint").alias("percent"))
 
 
-def timeline(df: DataFrame, cap: int | None = 30, unit: str = "minute") -> DataFrame:
-    """Records per minute, oldest first; the newest 30 by default, all with ``cap=None``.
+def timeline(df: DataFrame, cap: int | None = None, unit: str = "minute",
+             by_clock: bool = False) -> DataFrame:
+    """Records per ``unit`` of calendar time, oldest first; ``cap`` looks at the newest only.
 
-    By the minute of the day (HH:mm) for the capped dashboard view, by calendar time
-    (``unit``) for the whole ledger.
+    ``by_clock`` counts by the minute of the day (HH:mm), as the dashboard does.
     """
     kept = newest(df, cap)
-    if cap is not None:
+    if by_clock:
         bucket = F.date_format("created_at", "HH:mm")
         return (kept.groupBy(bucket.alias("time"))
                 .agg(F.count("*").alias("n"), F.min("created_at").alias("_first"))

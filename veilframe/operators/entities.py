@@ -26,24 +26,36 @@ def group_tags(tokens: DataFrame, key: Sequence[str]) -> DataFrame:
     score = F.coalesce(F.when(F.col("score") != 0, F.col("score")), F.lit(0.95))
     grouped = t.groupBy(*key, "_island").agg(
         F.min("pos").alias("first_pos"), F.first("_type").alias("type"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word", "_piece"))),
-                                 lambda p: p["_piece"]), "").alias("text"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "word", "_piece"))),
+                    lambda p: p["_piece"]).alias("words"),
         F.round(F.avg(score) * 100, 1).alias("confidence"))
+    grouped = grouped.withColumn("text", F.array_join("words", ""))
     return grouped.withColumn("label", entity_name(F.col("type"))).drop("_island")
 
 
 def place_entities(entities: DataFrame, texts: DataFrame, key: Sequence[str],
                    text: str = "text") -> DataFrame:
-    """Offsets of grouped entities: the first place their joined words occur."""
+    """Offsets of grouped entities: the first place where their words stand one after the other.
+
+    Blanks may stand between the words. Where they do not stand so, the first place of the first
+    word, in any case of letters, with the length of the joined words; else the text's start.
+    """
+    def quoted(word):
+        return F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     joined = entities.withColumnRenamed("text", "_name").join(
-        texts.select(*key, F.col(text).alias("_body")), list(key))
-    at = F.instr("_body", F.col("_name")) - 1
-    start = F.greatest(at, F.lit(0))
-    return (joined.withColumn("start", start)
-            .withColumn("end", start + F.length("_name"))
+        texts.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_body")), list(key))
+    whole = F.array_join(F.transform("words", quoted), r"\s*")
+    first = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), quoted(F.get("words", F.lit(0))))
+    joined = joined.withColumn("_found", F.regexp_substr("_body", whole))
+    at = F.when(F.col("_found").isNotNull(), F.instr("_body", F.col("_found"))).otherwise(
+        F.length(F.regexp_extract("_body", F.concat(F.lit("(?s)^(.*?)"), first), 1))
+        + F.regexp_like("_body", first).cast("int"))
+    start = F.greatest(at - 1, F.lit(0))
+    end = start + F.length(F.coalesce("_found", "_name"))
+    return (joined.withColumns({"start": start, "end": end})
             .withColumn("text", F.substring("_body", F.col("start") + 1,
                                             F.col("end") - F.col("start")))
-            .drop("_name", "_body"))
+            .drop("_name", "_body", "_found"))
 
 
 def count_classes(entities: DataFrame, key: Sequence[str] = ()) -> DataFrame:

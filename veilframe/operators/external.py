@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from veilframe.functions.labels import entity_label, entity_risk, type_of_model_label
 from veilframe.operators.spans import SPANS, no_spans
 
-# Thresholds and labels of the two callers.
+# Thresholds of the two callers, and the labels that the service asks for.
 SERVICE_THRESHOLD = 0.22
 GATEWAY_THRESHOLD = 0.35
 MODEL_LABELS = (
@@ -30,16 +30,17 @@ def with_model_spans(df: DataFrame, predictions: DataFrame, key: Sequence[str],
                      labels: Sequence[str] | None = None, out: str = "external") -> DataFrame:
     """Attach model predictions (key..., label, text, start, end, score) as spans.
 
-    Kept: score at or above the threshold, a wanted label, offsets inside the text.
-    Without predictions a text simply has none.
+    Kept: score at or above the threshold, offsets inside the text and, where ``labels``
+    are named, one of these. Without predictions a text simply has none.
     """
-    wanted = [label.upper() for label in (labels or MODEL_LABELS)]
     p = predictions.select(
         *key, F.upper("label").alias("_label"), F.col("text").alias("_value"),
         F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
-        F.round(F.col("score"), 3).alias("_score"))
-    p = p.filter((F.col("_score") >= threshold) & F.col("_label").isin(*wanted)
-                 & (F.col("start") >= 0) & (F.col("end") > F.col("start")))
+        F.round(F.col("score"), 3).alias("_score"), F.col("score").alias("_raw"))
+    p = p.filter((F.col("_raw") >= threshold) & (F.col("start") >= 0)
+                 & (F.col("end") > F.col("start")))
+    if labels is not None:
+        p = p.filter(F.col("_label").isin(*[label.upper() for label in labels]))
     span = F.struct(
         F.col("start").alias("start"), F.col("end").alias("end"),
         type_of_model_label(F.col("_label")).alias("type"), F.col("_value").alias("value"),

@@ -16,14 +16,7 @@ from veilframe.operators.tokens import (
 from veilframe.plans.gateway import with_gateway_spans
 from veilframe.plans.policy import Policy
 
-# Every type the gateway can report, so a conversation's set of types is
-# built from one flag per type and needs no collecting.
-GATEWAY_TYPES = (
-    "CREDIT_CARD", "DB_CONNECTION_STRING", "EMAIL", "HIGH_ENTROPY_SECRET",
-    "KNOWLEDGE_BASE_MATCH", "PHI_NAME", "PHONE", "PRIVATE_KEY", "SECRET_KEY", "SSN",
-)
 PRE_SANITIZED = "[Pre-Sanitized Client Prompt]"
-PAGE_TURNS = 4096
 
 
 def scan_messages(messages: DataFrame, policy: Policy = Policy(), text: str = "text",
@@ -72,24 +65,22 @@ def decide(scanned: DataFrame, policy: Policy = Policy(), conv: str = "conv_id",
            zero_knowledge: Column | None = None) -> DataFrame:
     """One decision per conversation.
 
-    Only flags, counts and a few booleans per type and keyword are aggregated, all of
-    them combined before the shuffle, so a conversation of any length is cheap.
+    Only counts, a boolean per keyword and the set of the types found are aggregated, all
+    of them combined before the shuffle, so a conversation of any length is cheap. Types
+    are whatever the spans say, those of outside spans too; there are few of them.
     """
     zk = F.lit(False) if zero_knowledge is None else F.coalesce(zero_knowledge, F.lit(False))
-    flags = [F.bool_or(F.array_contains("pii_types", t)).alias(f"_t{i}")
-             for i, t in enumerate(GATEWAY_TYPES)]
     words = [F.bool_or(F.array_contains("keywords", k)).alias(f"_k{i}")
              for i, k in enumerate(policy.blocked_keywords)]
     g = scanned.groupBy(conv).agg(
         F.count("*").alias("n_messages"), F.bool_or("injection").alias("injection"),
         F.sum("n_values").alias("n_values"), F.sum("n_spans").alias("n_spans"),
-        F.bool_or(zk).alias("zero_knowledge"), *flags, *words)
+        F.bool_or(zk).alias("zero_knowledge"), F.collect_set("pii_types").alias("_types"), *words)
     empty = F.array().cast("array<string>")
     keywords = F.array_compact(F.array(*[
         F.when(F.col(f"_k{i}"), F.lit(k)) for i, k in enumerate(policy.blocked_keywords)
     ])) if words else empty
-    found = F.array_compact(F.array(*[
-        F.when(F.col(f"_t{i}"), F.lit(t)) for i, t in enumerate(GATEWAY_TYPES)]))
+    found = F.array_sort(F.array_distinct(F.flatten("_types")))
     g = g.withColumn("keywords", keywords).withColumn("_found", F.when(
         F.col("zero_knowledge"), F.array(F.lit("CLIENT_SIDE_ENCRYPTED"))).otherwise(found))
     t = threat(F.col("injection"), F.col("_found"))
@@ -112,31 +103,24 @@ def decide(scanned: DataFrame, policy: Policy = Policy(), conv: str = "conv_id",
         types.alias("pii_types_detected"), count.cast("bigint").alias("tokens_redacted_count"))
 
 
-def prompt_pages(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
-                 role: str = "role", text: str = "text",
-                 page_turns: int = PAGE_TURNS) -> DataFrame:
-    """User turns joined by line breaks, in order: (conv, page, text).
+def joined_prompts(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
+                   role: str = "role", text: str = "text") -> DataFrame:
+    """User turns joined by line breaks, in order: (conv, text), one row for a conversation.
 
-    A page holds the turns of one stretch of ``page_turns``, so no group is larger than
-    that. A conversation of usual length is one page; longer ones have several, and the
-    pages in order hold the whole prompt.
+    A joined prompt is one value, so a conversation's user texts must fit in a task.
     """
-    page = F.floor(F.col(turn) / F.lit(page_turns))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"),
                                                    F.col(text).alias("text"))))
-    return (messages.filter(F.col(role) == "user")
-            .groupBy(conv, page.alias("page"))
+    return (messages.filter(F.col(role) == "user").groupBy(conv)
             .agg(F.array_join(F.transform(ordered, lambda t: t["text"]), "\n").alias("text")))
 
 
-def audit_records(decisions: DataFrame, pages: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Audit rows: each decision with its sanitised prompt, one row per prompt page.
+def audit_records(decisions: DataFrame, prompts: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """Audit rows: each decision with its sanitised prompt, one row for a conversation.
 
-    The prompt of a blocked conversation is the sanitised one, never the raw one. The
-    counts stand on the first page only.
+    The prompt of a blocked conversation is the sanitised one, never the raw one.
     """
-    d = decisions.join(pages.withColumnRenamed("text", "_prompt"), conv, "left")
-    first = F.coalesce(F.col("page"), F.lit(0)) == 0
+    d = decisions.join(prompts.withColumnRenamed("text", "_prompt"), conv, "left")
     prompt = F.coalesce(F.col("_prompt"), F.lit(""))
     blocked, stopped = F.size("keywords") > 0, F.col("action") != "FORWARDED"
     head = (F.when(blocked, F.concat(
@@ -146,9 +130,27 @@ def audit_records(decisions: DataFrame, pages: DataFrame, conv: str = "conv_id")
                 F.lit("[BLOCKED BY THREAT ENGINE: "), F.array_join("reasons", ", "),
                 F.lit("] "), prompt))
             .when(prompt == "", F.lit(PRE_SANITIZED)).otherwise(prompt))
-    return d.select(
-        conv, F.coalesce("page", F.lit(0)).alias("page"), "action", "risk_level",
-        "pii_types_detected",
-        F.when(first, F.col("tokens_redacted_count")).otherwise(0)
-        .alias("tokens_redacted_count"),
-        F.when(first, head).otherwise(prompt).alias("sanitized_prompt"))
+    return d.select(conv, "action", "risk_level", "pii_types_detected", "tokens_redacted_count",
+                    head.alias("sanitized_prompt"))
+
+
+def ledger_records(records: DataFrame, options: DataFrame, conv: str = "conv_id",
+                   client: str = "anonymous") -> DataFrame:
+    """Audit rows with all columns of the ledger, from records and request options.
+
+    ``options`` has the model of each request and, if known, ``client_identifier`` and
+    ``proxy_latency_ms``; the id is made of the conversation, the time is that of writing.
+    """
+    known = {c: F.col(c) for c in ("client_identifier", "proxy_latency_ms") if c in options.columns}
+    chosen = options.select(
+        conv, F.col("model").alias("upstream_model"),
+        F.coalesce(known.get("client_identifier", F.lit(None).cast("string")), F.lit(client))
+        .alias("client_identifier"),
+        F.coalesce(known.get("proxy_latency_ms", F.lit(None)).cast("double"), F.lit(0.0))
+        .alias("proxy_latency_ms"))
+    return records.join(chosen, conv, "left").select(
+        F.md5(F.concat_ws(":", F.lit("audit"), F.col(conv).cast("string"))).alias("id"),
+        F.current_timestamp().alias("created_at"),
+        F.coalesce("client_identifier", F.lit(client)).alias("client_identifier"),
+        "pii_types_detected", F.col("tokens_redacted_count").cast("int").alias("tokens_redacted_count"),
+        "proxy_latency_ms", "sanitized_prompt", "upstream_model")
