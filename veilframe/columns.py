@@ -38,6 +38,44 @@ def append(array: Column, item: Column) -> Column:
     return F.concat(array, F.array(item))
 
 
+#: Items that are folded at once; a fold copies its growing result at each step.
+BLOCK = 256
+
+
+def in_blocks(array: Column) -> Column:
+    """The array cut into arrays of BLOCK items."""
+    n = F.ceil(F.size(array) / F.lit(BLOCK)).cast("int")
+    return F.transform(
+        F.filter(F.sequence(F.lit(0), n), lambda b: b < n),
+        lambda b: F.slice(array, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def fold_in_blocks(array: Column, start: Column, step: Callable[[Column, Column], Column],
+                   item: Callable[[Column, Column], Column], empty: Column,
+                   keep: Callable[[Column, Column], Column] | None = None) -> Column:
+    """A fold that gives an item for each step: ``item(state, x)`` before ``step(state, x)``.
+
+    Where ``keep(state, x)`` is false neither happens; ``empty`` is an empty array of items. The items of a block are gathered
+    first and blocks put together last, so the work is about linear in the array.
+    """
+    def one(acc, x):
+        moved = F.struct(step(acc["state"], x).alias("state"),
+                         append(acc["out"], item(acc["state"], x)).alias("out"))
+        return moved if keep is None else F.when(keep(acc["state"], x), moved).otherwise(acc)
+
+    def block(acc, xs):
+        done = F.aggregate(xs, F.struct(acc["state"].alias("state"), empty.alias("out")), one)
+        return let(done, lambda r: F.struct(r["state"].alias("state"),
+                                            append(acc["blocks"], r["out"]).alias("blocks")))
+    def blocks(xs):
+        return F.flatten(F.aggregate(
+            in_blocks(xs), F.struct(start.alias("state"), empty_like(F.array(empty)).alias("blocks")),
+            block, lambda acc: acc["blocks"]))
+    return let(array, lambda xs: F.when(F.size(xs) <= BLOCK, F.aggregate(
+        xs, F.struct(start.alias("state"), empty.alias("out")), one, lambda acc: acc["out"]))
+        .otherwise(blocks(xs)))
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -48,8 +48,7 @@ def place_entities(entities: DataFrame, texts: DataFrame, key: Sequence[str],
     first = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), quoted(F.get("words", F.lit(0))))
     joined = joined.withColumn("_found", F.regexp_substr("_body", whole))
     at = F.when(F.col("_found").isNotNull(), F.instr("_body", F.col("_found"))).otherwise(
-        F.length(F.regexp_extract("_body", F.concat(F.lit("(?s)^(.*?)"), first), 1))
-        + F.regexp_like("_body", first).cast("int"))
+        F.coalesce(F.instr("_body", F.regexp_substr("_body", first)), F.lit(0)))
     start = F.greatest(at - 1, F.lit(0))
     end = start + F.length(F.coalesce("_found", "_name"))
     return (joined.withColumns({"start": start, "end": end})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from veilframe.columns import append, empty_like, let
+from veilframe.columns import append, empty_like, fold_in_blocks, let
 
 
 def in_text_order(spans: Column) -> Column:
@@ -16,20 +16,14 @@ def in_text_order(spans: Column) -> Column:
 def leftmost(spans: Column, longest: bool = True) -> Column:
     """Greedy from the left; at one start the longest wins, then detector order.
 
-    ``longest=False`` looks at the start only. One sort and one pass: linear in the
-    number of spans after the sort.
+    ``longest=False`` looks at the start only. One sort, and one pass in blocks.
     """
     def resolve(ss):
         keyed = F.array_sort(F.transform(ss, lambda s, i: F.struct(
             s["start"].alias("a"), (s["start"] - s["end"] if longest else F.lit(0)).alias("b"),
             i.alias("c"), s.alias("s"))))
-        return F.aggregate(
-            keyed, F.struct(F.lit(0).alias("edge"), empty_like(ss).alias("kept")),
-            lambda acc, k: F.when(
-                k["s"]["start"] >= acc["edge"],
-                F.struct(k["s"]["end"].alias("edge"), append(acc["kept"], k["s"]).alias("kept"))
-            ).otherwise(acc),
-            lambda acc: acc["kept"])
+        return fold_in_blocks(keyed, F.lit(0), lambda edge, k: k["s"]["end"], lambda edge, k: k["s"],
+                              empty_like(ss), lambda edge, k: k["s"]["start"] >= edge)
     return let(spans, lambda ss: F.when(F.size(ss) <= 1, ss).otherwise(resolve(ss)))
 
 
@@ -37,7 +31,7 @@ def longest_first(spans: Column) -> Column:
     """Greedy by length, ties in detector order; result in text order.
 
     Spans are first cut into groups that touch each other, so the pairwise test runs
-    inside small groups only, however many spans the text has.
+    inside groups only; its work is quadratic in the spans that overlap in one chain.
     """
     def greedy(group):
         ranked = F.array_sort(F.transform(group, lambda k: F.struct(
@@ -54,19 +48,15 @@ def longest_first(spans: Column) -> Column:
             s["start"].alias("a"), i.alias("b"), s.alias("s"))))
 
         def groups(ks):
-            def add(acc, k):
-                touching = k["a"] < acc["reach"]
-                return F.when(touching, F.struct(
-                    F.greatest(acc["reach"], k["s"]["end"]).alias("reach"),
-                    acc["closed"].alias("closed"), append(acc["open"], k).alias("open"))
-                ).otherwise(F.struct(
-                    k["s"]["end"].alias("reach"),
-                    append(acc["closed"], acc["open"]).alias("closed"),
-                    F.array(k).alias("open")))
-            start = F.struct(F.lit(-1).alias("reach"),
-                             empty_like(F.array(ks)).alias("closed"),
-                             empty_like(ks).alias("open"))
-            return F.aggregate(ks, start, add, lambda acc: append(acc["closed"], acc["open"]))
+            reach = fold_in_blocks(ks, F.lit(-1), lambda r, k: F.greatest(r, k["s"]["end"]),
+                                   lambda r, k: r, F.array().cast("array<int>"))
+
+            def cut(rs):
+                firsts = F.filter(F.sequence(F.lit(0), F.size(ks) - 1),
+                                  lambda i: F.get(ks, i)["a"] >= F.get(rs, i))
+                return let(firsts, lambda fs: F.transform(fs, lambda f, j: F.slice(
+                    ks, f + 1, F.coalesce(F.get(fs, j + 1), F.size(ks)) - f)))
+            return let(reach, cut)
         return F.flatten(F.transform(let(keyed, groups), lambda g: F.when(
             F.size(g) <= 1, F.transform(g, lambda k: k["s"])).otherwise(greedy(g))))
     return let(spans, lambda ss: F.when(F.size(ss) <= 1, ss).otherwise(resolve(ss)))

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from veilframe.columns import let, pinned
-from veilframe.functions.checksums import digits_only
+from veilframe.columns import in_blocks, let, pinned
 from veilframe.functions.entropy import is_high_entropy
 from veilframe.functions.labels import entity_label, token_prefix
 from veilframe.operators.spans import find_spans, locate
@@ -19,16 +18,28 @@ from veilframe.rules.model import SIGNALS, TextView, java_regex
 def splice(text: Column, spans: Column, label: Callable[[Column], Column]) -> Column:
     """Text with each span replaced; spans must be in text order and must not overlap.
 
-    Text and spans are bound first: Spark may put the expressions behind them into the
-    lambda, where they would be computed again for every span.
+    The text is cut once for a block of spans and then inside the cut, since Spark counts
+    characters from the start. Text and spans are bound first: Spark may put the expressions
+    behind them into the lambda, where they would be computed again for every span.
     """
     def build(both):
         text, ss = both["text"], both["spans"]
-        edges = F.concat(F.array(F.lit(0)), F.transform(ss, lambda s: s["end"]))
-        pieces = F.zip_with(ss, edges, lambda s, edge: F.when(
-            s.isNull(), F.substring(text, edge + 1, F.length(text))
-        ).otherwise(F.concat(F.substring(text, edge + 1, s["start"] - edge), label(s))))
-        return F.array_join(pieces, "")
+
+        def block(part, base):
+            """The text from ``base`` to the end of the block's last span, replaced."""
+            def pieces(cut):
+                edges = F.concat(F.array(base), F.transform(part, lambda s: s["end"]))
+                return F.array_join(F.zip_with(part, F.slice(edges, F.lit(1), F.size(part)), lambda s, edge: F.concat(
+                    F.substring(cut, edge - base + 1, s["start"] - edge), label(s))), "")
+            return let(F.substring(text, base + 1, F.get(part, F.size(part) - 1)["end"] - base), pieces)
+
+        def whole(parts):
+            done = F.transform(parts, lambda part, i: let(
+                F.when(i == 0, 0).otherwise(F.element_at(F.get(parts, i - 1), -1)["end"]),
+                lambda base: block(part, base)))
+            return F.concat(F.array_join(done, ""), F.substring(
+                text, F.element_at(ss, -1)["end"] + 1, F.length(text)))
+        return let(in_blocks(ss), whole)
     return let(F.struct(text.alias("text"), spans.alias("spans")), lambda both: F.when(
         F.size(both["spans"]) == 0, both["text"]).otherwise(build(both)))
 
@@ -57,9 +68,13 @@ def token_map(spans: Column, prefix: Callable[[Column], Column] = token_prefix,
             (s["type"] if by_type else prefix(s["type"])).alias("counter")))
 
         def distinct(ns):
-            values = F.transform(ns, lambda n: n["value"])
-            return let(values, lambda vs: F.filter(
-                ns, lambda n, i: F.array_position(vs, n["value"]) == i + 1))
+            # Equal spans are one; only if a value has several types is its first place looked up.
+            def first_of(us):
+                values = F.transform(us, lambda n: n["value"])
+                return let(values, lambda vs: F.when(
+                    F.size(F.array_distinct(vs)) == F.size(vs), us).otherwise(F.filter(
+                        us, lambda n, i: F.array_position(vs, n["value"]) == i + 1)))
+            return let(F.array_distinct(ns), first_of)
 
         def numbered(us):
             counters = F.array_distinct(F.transform(us, lambda u: u["counter"]))
@@ -163,6 +178,3 @@ def repair_ocr_digits(text: Column) -> Column:
     return let(text, lambda t: F.when(
         t.rlike(core), let(locate(t, java_regex(core, "word", "word")),
                            lambda ss: splice(t, ss, fixed))).otherwise(t))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["digits_only"]

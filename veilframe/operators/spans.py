@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, functions as F
 
-from veilframe.columns import any_of, append, let, trim_blank
+from veilframe.columns import any_of, fold_in_blocks, let, trim_blank
 from veilframe.functions.checksums import VALIDATORS
 from veilframe.functions.entropy import secret_shape, shannon_entropy
 from veilframe.functions.quality import window_around
@@ -32,14 +32,12 @@ def offsets(hits: Column, gaps: Column) -> Column:
     steps = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(
         F.length(g).alias("gap"), F.length(h).alias("len"), h.alias("value")))
 
-    def advance(acc, s):
-        start = acc["at"] + s["gap"]
-        end = start + s["len"]
-        return F.struct(end.alias("at"), append(acc["out"], F.struct(
-            start.alias("start"), end.alias("end"), s["value"].alias("value"))).alias("out"))
-    return F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), F.array().cast(PLACE).alias("out")),
-        advance, lambda acc: acc["out"])
+    def place(at, s):
+        start = at + s["gap"]
+        return F.struct(start.alias("start"), (start + s["len"]).alias("end"),
+                        s["value"].alias("value"))
+    return fold_in_blocks(steps, F.lit(0), lambda at, s: at + s["gap"] + s["len"], place,
+                          F.array().cast(PLACE))
 
 
 def _inner(place: Column, part: Column) -> Column:
@@ -77,7 +75,7 @@ def _matches(view: TextView, rule: Rule, index: int) -> Column:
         F.lit(index).alias("rule"),
         F.regexp_extract_all(view.text, pattern, F.lit(0)).alias("hits"),
         F.split(view.text, rule.regex, -1).alias("gaps"),
-        (F.regexp_extract_all(view.text, pattern, F.lit(rule.group)) if rule.group
+        (F.regexp_extract_all(view.text, pattern, F.lit(rule.span_group)) if rule.span_group
          else F.lit(None).cast("array<string>")).alias("parts"))
     condition = rule.may_match(view)
     return found if condition is None else F.when(condition, found)
@@ -101,7 +99,7 @@ def find_spans(view: TextView, rules, source: str = "DETERMINISTIC",
     def spans_of(m, known):
         info = F.get(known, m["rule"])
         places = offsets(m["hits"], m["gaps"])
-        if any(r.group for r in rules):
+        if any(r.span_group for r in rules):
             places = F.when(m["parts"].isNull(), places).otherwise(
                 F.zip_with(places, m["parts"], _inner))
         if min_length > 1:

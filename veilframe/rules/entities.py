@@ -3,7 +3,7 @@
 Fixed values: patterns, confidences and name lists. Gates are ours.
 """
 
-from veilframe.rules.model import Rule
+from veilframe.rules.model import EDGE, Rule
 
 KNOWN_PERSONS = (
     r"Rajesh\s+Kumar|Sundar\s+Pichai|Satya\s+Nadella|Alice\s+Johnson|Bob\s+Smith|"
@@ -32,6 +32,13 @@ COMPANY_ENDS = (
     r"Enterprises|Solutions")
 
 
+# A run of capitalised words up to its last company end is the span; a run without one is passed
+# over as a whole, so that no place in it is tried again. Possessive groups run as loops.
+_ITEM, _END = r"[A-Z][A-Za-z0-9]++", f"(?:{COMPANY_ENDS}){EDGE}"
+_NAME_RUN = (rf"(?<!\w)(?:({_ITEM}(?:(?:\s++(?!{_END}){_ITEM})*+\s++{_END})++)"
+             rf"|{_ITEM}(?:\s++{_ITEM})*+)")
+
+
 def _words(alternatives: str) -> tuple[str, ...]:
     """First word of every alternative: a literal that must occur."""
     return tuple(dict.fromkeys(a.split(r"\s+")[0] for a in alternatives.split("|")))
@@ -57,7 +64,8 @@ def entity_rules(strict_case: bool = False):
              confidence=99.2, words=_words(KNOWN_PERSONS)),
         Rule("PER_TITLE", r"(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)",
              "word", "word", type="PER", label="PERSON", confidence=99.2, group=1,
-             words=("Mr", "Mrs", "Ms", "Dr", "Prof")),
+             words=("Mr", "Mrs", "Ms", "Dr", "Prof"),
+             jvm=r"(?<!\w)(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.)\s++([A-Z][a-z]++(?:\s++[A-Z][a-z]++(?!\w))++)"),
         Rule("LOC_STREET",
              r"\d{1,5}\s+(?:[A-Z][a-z]+\s+)?(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|"
              r"Ln|Drive|Dr|Way|Marg|Nagar|Colony|Sector\s+\d+)",
@@ -91,7 +99,8 @@ def entity_rules(strict_case: bool = False):
              r"[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+)*\s+" + f"(?:{COMPANY_ENDS})",
              "word", "edge", type="ORG", label="ORGANIZATION", confidence=99.4,
              words=("Inc", "LLC", "Corp", "Corporation", "Ltd", "Limited", "Pvt", "GmbH", "AG",
-                    "SA", "Holdings", "Technologies", "Enterprises", "Solutions")),
+                    "SA", "Holdings", "Technologies", "Enterprises", "Solutions"),
+             jvm=_NAME_RUN, jvm_group=1),
     )
 
 

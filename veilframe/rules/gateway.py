@@ -101,7 +101,8 @@ STANDARD_RULES = (
 
 HEALTH_RULES = (
     Rule("PATIENT_NAME", r"Patient(?:\s+Name)?[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)",
-         "word", "word", type="PHI_NAME", any_literal=("Patient",)),
+         "word", "word", type="PHI_NAME", any_literal=("Patient",),
+         jvm=r"(?<!\w)Patient(?:\s+Name)?[:\s]+([A-Z][a-z]++(?:\s++[A-Z][a-z]++(?!\w))++)"),
     Rule("MEDICAL_RECORD", r"(?i)MRN[-:\s]*\d{6,10}", "word", "word", type="PHI_NAME",
          any_literal=("mrn",), fold_case=True, gate=r"\d{6}"),
 )

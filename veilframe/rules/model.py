@@ -46,6 +46,8 @@ class Rule:
     gate: str = ""            # cheap gate: this unanchored pattern occurs
     signal: str = ""          # cheap gate shared with other rules, see TextView
     words: tuple[str, ...] = ()  # cheap gate: one of these capitalised words occurs
+    jvm: str = ""             # the same matches in a form that Java runs without recursion ...
+    jvm_group: int = 0        # ... in which this group is the span, if it took part
 
     @property
     def span_type(self) -> str:
@@ -53,7 +55,11 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        return java_regex(self.core, self.left, self.right)
+        return self.jvm or java_regex(self.core, self.left, self.right)
+
+    @property
+    def span_group(self) -> int:
+        return self.jvm_group or self.group
 
     @property
     def methods(self) -> tuple[str, ...]:
