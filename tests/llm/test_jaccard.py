@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from veilframe.llm import jaccard
 
 
@@ -41,8 +43,10 @@ def rows(n=260):
     return made + [(900, None), (901, ""), (902, " \t\n"), (903, "one"), (904, "ONE"), (905, "a b c d"), (906, "A  b\nc d"), (907, "É b c d"), (908, "é b c d")]
 
 
-def test_components_equal_brute_force(frame, monkeypatch):
-    monkeypatch.setattr(jaccard, "OFTEN", 4)
+@pytest.mark.parametrize("light, cell, rounds", [(64, 256, 3), (2, 16, 1)])
+def test_components_equal_brute_force(frame, monkeypatch, light, cell, rounds):
+    for name, value in (("OFTEN", 4), ("LIGHT", light), ("CELL", cell), ("ROUNDS", rounds)):
+        monkeypatch.setattr(jaccard, name, value)
     given = rows()
     got = jaccard.components_of(frame([(*r, 1) for r in given], "doc_id long, text string, n long"))
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(given)

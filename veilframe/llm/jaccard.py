@@ -12,8 +12,9 @@ share do not gather these texts; any order is exact, frequency only saves work.
 3. Every posting list pairs its members with one of them, so that groups of near copies join at
    linear cost; a few such rounds follow, with lists that still hold several components. A pair must have sizes that allow the link, enough common shingles in
    the prefix, and common prefix shingles under all other orders; then the sets are compared.
-4. Lists that still hold several components give the pairs across components, through the same
-   filters and the same check. Pairs inside a component are never made.
+4. Short lists that still hold several components give the pairs across components, through the
+   same filters and the same check; the classes of long ones are compared in blocks, which return
+   no more links than classes. Pairs inside a component are never made.
 
 All links between different components are thus tested; components are exact. Sets are compared
 as 64-bit hashes; classes are named by a 64-bit hash of their set. Postings are shuffled in
@@ -46,6 +47,10 @@ BUCKETS = 4096
 ORDERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)
 #: Rounds of pairing each list with one of its members, before pairs across components are made.
 ROUNDS = 3
+#: Longer lists than this are compared in blocks of about CELL classes, which share CELL_COLUMNS hashes at a time.
+LIGHT = 64
+CELL = 256
+CELL_COLUMNS = 4096
 #: Bits of the map of texts that are compared: a fixed size, sent to every task; if it fills, more texts are joined.
 SIEVE_BITS = 1 << 23
 SIEVE_ROW = 1 << 11
@@ -317,9 +322,16 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np
     One text of each class is cut into shingles again; a bitmap keeps other texts out of the join.
     Sets go to each pair they are in, first as 16-bit hashes, then, for what these leave, in full.
     """
-    roles = written(_nodes_with_partners(pairs).join(classes.select("node", "doc"), "node"), "roles")
+    sets = sets_of(_nodes_with_partners(pairs), classes, docs, key, text, k)
+    left = written(_compared(sets.select("node", "ats", "short"), "short", np.uint16, percent, frequent).distinct(), "left")
+    return _compared(sets.select("node", "full").join(_nodes_with_partners(left), "node"), "full", np.uint64, percent, frequent).distinct()
+
+
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """The columns of `nodes`, and the sets of these classes as sorted 16-bit (`short`) and 64-bit (`full`) hashes."""
+    wanted = written(nodes.join(classes.select("node", "doc"), "node"), "wanted")
     texts = docs.select(F.col(f"`{key}`").alias("its"), F.col(f"`{text}`").alias("t"))
-    texts = sifted(texts, "its", sieve(roles.select("doc")))[0].join(roles, F.col("its").eqNullSafe(F.col("doc")))
+    texts = sifted(texts, "its", sieve(wanted.select("doc")))[0].join(wanted, F.col("its").eqNullSafe(F.col("doc")))
 
     def make():
         def work(texts: list) -> list[pa.Array]:
@@ -331,9 +343,76 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np
         return work
 
     fields = [T.StructField("made", T.LongType()), T.StructField("short", T.BinaryType()), T.StructField("full", T.BinaryType())]
-    sets = written(map_texts(texts, ("node", "ats"), "t", fields, make).where("made = node").drop("made"), "sets")
-    left = written(_compared(sets.select("node", "ats", "short"), "short", np.uint16, percent, frequent).distinct(), "left")
-    return _compared(sets.select("node", "full").join(_nodes_with_partners(left), "node"), "full", np.uint64, percent, frequent).distinct()
+    made = map_texts(texts, tuple(nodes.columns), "t", fields, make).where("made = node").drop("made")
+    return written(made.dropDuplicates(["node"]), "sets")
+
+
+def _forest(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Of the classes (node, root, set) of one cell, links that join what linked pairs join."""
+    sizes = np.array([len(x) for _, _, x in rows])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    _, column, count = np.unique(np.concatenate([x for _, _, x in rows]), return_inverse=True, return_counts=True)
+    owner, column = owner[count[column] > 1], column[count[column] > 1]
+    names, column = np.unique(column, return_inverse=True)
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, len(names), CELL_COLUMNS):
+        here = (column >= at) & (column < at + CELL_COLUMNS)
+        held = np.zeros((len(rows), CELL_COLUMNS), np.float32)
+        held[owner[here], column[here] - at] = 1
+        common += held @ held.T
+    roots = np.array([r for _, r, _ in rows])
+    linked = (common * (100 + percent) >= percent * (sizes[:, None] + sizes[None, :])) & (roots[:, None] != roots[None, :])
+    group = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    found = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
+        a, b = find(i), find(j)
+        if a != b:
+            group[a] = b
+            found.append((rows[i][0], rows[j][0]))
+    return found
+
+
+def heavy_links(heavy: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all linked classes of long lists (token, node, root), without their pairs.
+
+    Lists that share members form a cluster. A cluster's classes are dealt to blocks of about CELL, and a
+    cell for each two blocks compares their sets at once; a class goes to as many cells as its cluster
+    has blocks, and a cell returns fewer links than it has classes. The comparisons, not the rows, are
+    quadratic in a cluster.
+    """
+    least = heavy.groupBy("token").agg(F.min("node").alias("first"))
+    tied = heavy.join(least, "token").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    clusters = written(components(tied).withColumnRenamed("root", "cluster"), "clusters")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    nodes = heavy.select("node", "root").distinct().join(clusters, "node").join(blocks, "cluster")
+    sets = sets_of(nodes.select("node", "root", "cluster", "blocks"), classes, docs, key, text, k)
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = sets.select("cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "root", "full")
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "full")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            found = _forest(rows, percent) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for *at, node, root, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "root", "full"))):
+                if at != cell:
+                    yield done()
+                    cell, rows = at, []
+                rows.append((node, root, np.frombuffer(raw, np.uint64)))
+        yield done()
+
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _several(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -374,8 +453,16 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
         links = more if links is None else links.unionByName(more)
         roots = written(components(links), "roots")
     named = written(_several(lists, roots), "named")
-    other = named.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "root")))
-    across = named.join(other, "token").where("node < node2 AND root <> root2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    long_ = named.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") > LIGHT).select("token")
+    heavy = written(named.join(long_, "token", "left_semi"), "heavy")
+    if not heavy.isEmpty():
+        more = written(heavy_links(heavy, classes, docs, key, text, k, percent), "heavy_links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = written(components(links), "roots")
+    light = written(_several(named.select("token", "node").join(long_, "token", "left_anti"), roots), "light")
+    other = light.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "root")))
+    across = light.join(other, "token").where("node < node2 AND root <> root2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     across = written(fitting(across.join(tested, ["a", "b"], "left_anti"), shared, percent), "across")
     final = roots
     if not across.isEmpty():
