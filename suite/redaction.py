@@ -138,7 +138,7 @@ SESSION_KEPT = ("sk AS MATERIALIZED (SELECT w.doc_id, struct_pack(s := w.s, e :=
 def session_tokens(spark, sf):
     df = cut_lineage(with_client_spans(d.corpus(spark, sf)))
     rows = span_rows(df, ["doc_id", "session"])
-    return df, assign_placeholders(rows, ["session"], "doc_id", slice_width=500)
+    return df, assign_placeholders(rows, ["session"], "doc_id")
 
 
 @query("r3_session_tokens",

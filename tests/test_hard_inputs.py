@@ -113,3 +113,10 @@ def test_a_long_half_placeholder_is_held():
     half = "[REDACTED_" + "A" * 400
     assert split_tail("text " + half) == ("text ", half)
     assert split_tail("a [link text") == ("a [link text", "")
+
+
+def test_order_numbers_may_be_far_apart(spark):
+    rows = [(1, 10**12 * i, f"v{i}", 0, "EMAIL") for i in range(300)] + [(1, 10**12 * 300, "v0", 0, "EMAIL")]
+    df = spark.createDataFrame(rows, "session long, at long, value string, start int, type string").repartition(4)
+    got = {r["original"]: r["n"] for r in assign_placeholders(df, ["session"], "at").collect()}
+    assert got == {f"v{i}": i + 1 for i in range(300)}

@@ -208,7 +208,7 @@ def test_one_hot_session_is_numbered_in_slices(spark):
     df = spark.createDataFrame(made, "doc_id long, session string, start int, value string, "
                                      "type string")
     got = {r.original: r.placeholder for r in assign_placeholders(
-        df, ["session"], "doc_id", slice_width=7).collect()}
+        df, ["session"], "doc_id").collect()}
     want, counts = {}, {}
     for _, _, _, v, t in sorted(made, key=lambda m: (m[0], -m[2])):
         if v not in want:

@@ -1,8 +1,9 @@
 """Placeholders shared by all texts of a session or conversation.
 
 Numbering is done on exploded spans: the first place of every value by a pre-aggregated
-minimum, then ranks inside slices of the order column plus the totals of the slices
-before. No task ever sees a whole session, so one session may hold most of the data.
+minimum, then a range partitioning by scope, kind and place, ranks inside its parts, and
+the totals of the parts before. No task ever sees a whole session, so one session may hold
+most of the data, whatever its order numbers are.
 """
 
 from __future__ import annotations
@@ -13,11 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veilframe.columns import pinned
 from veilframe.functions.labels import ledger_type
+from veilframe.lineage import cut_lineage
 from veilframe.operators.redact import splice
 
-SLICE = 65_536
-
-
 def span_rows(df: DataFrame, columns: Sequence[str], spans: str = "spans") -> DataFrame:
     """One row per span with the given columns beside it; the text is left behind."""
     # explode_outer, since a plain explode makes the optimizer copy the costly span
@@ -28,8 +27,7 @@ def span_rows(df: DataFrame, columns: Sequence[str], spans: str = "spans") -> Da
 
 
 def number_values(rows: DataFrame, scope: Sequence[str], order: str,
-                  kind: Callable[[Column], Column] = ledger_type,
-                  slice_width: int = SLICE) -> DataFrame:
+                  kind: Callable[[Column], Column] = ledger_type) -> DataFrame:
     """(scope..., value, kind, n): the number of every distinct value of a scope.
 
     Values are numbered per kind in order of first appearance: by ``order`` (a whole
@@ -39,16 +37,20 @@ def number_values(rows: DataFrame, scope: Sequence[str], order: str,
     first = rows.groupBy(*scope, "value").agg(F.min(F.struct(
         F.col(order).alias("at"), (-F.col("start")).alias("back"),
         kind(F.col("type")).alias("kind"))).alias("first"))
-    first = first.select(*scope, "value", "first.*").withColumn(
-        "slice", F.floor(F.col("at") / F.lit(slice_width)))
-    in_slice = Window.partitionBy(*scope, "kind", "slice").orderBy("at", "back")
-    ranked = first.withColumn("rank", F.row_number().over(in_slice))
-    before = Window.partitionBy(*scope, "kind").orderBy("slice").rowsBetween(
+    first = first.select(*scope, "value", "first.*")
+    # Written, so that the parts are the same for ranks and totals; a scope and kind has at
+    # most as many parts as there are partitions.
+    parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = cut_lineage(first.repartitionByRange(parts, *scope, "kind", "at", "back", "value")
+                        .withColumn("part", F.spark_partition_id()))
+    in_part = Window.partitionBy(*scope, "kind", "part").orderBy("at", "back", "value")
+    ranked = first.withColumn("rank", F.row_number().over(in_part))
+    before = Window.partitionBy(*scope, "kind").orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1)
-    totals = (first.groupBy(*scope, "kind", "slice").agg(F.count("*").alias("m"))
+    totals = (first.groupBy(*scope, "kind", "part").agg(F.count("*").alias("m"))
               .withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
               .drop("m"))
-    return (ranked.join(totals, [*scope, "kind", "slice"])
+    return (ranked.join(totals, [*scope, "kind", "part"])
             .select(*scope, "value", "kind", (F.col("rank") + F.col("offset")).alias("n")))
 
 
@@ -62,10 +64,9 @@ def gateway_placeholder(kind: Column, n: Column) -> Column:
 
 def assign_placeholders(rows: DataFrame, scope: Sequence[str], order: str,
                         kind: Callable[[Column], Column] = ledger_type,
-                        style: Callable[[Column, Column], Column] = ledger_placeholder,
-                        slice_width: int = SLICE) -> DataFrame:
+                        style: Callable[[Column, Column], Column] = ledger_placeholder) -> DataFrame:
     """The token map of every scope: (scope..., placeholder, original, kind, n)."""
-    numbered = number_values(rows, scope, order, kind, slice_width)
+    numbered = number_values(rows, scope, order, kind)
     return numbered.select(*scope, style(F.col("kind"), F.col("n")).alias("placeholder"),
                            F.col("value").alias("original"), "kind", "n")
 
