@@ -24,10 +24,10 @@ CACHE_WORDS = 250_000
 #: Rows (bytes of words) that one recursive query starts with; a longer word is a block of its own.
 BLOCK_BYTES = 200_000
 #: Tokens that one decoding query takes; a longer text is a block of its own.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 250_000
 #: Longer words are contracted in all places of the minimum rank at once, where that is the same.
 LONG_WORD = 256
-MEMORY = "400MB"
+MEMORY = "250MB"
 
 #: What \s, \p{L} and \p{N} mean in the tokenizer's own dialect for text of the
 #: characters that SIMPLE allows; there a pattern of plain ranges gives the same words faster.

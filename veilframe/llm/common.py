@@ -12,7 +12,7 @@ from veilframe.lineage import shared_folder
 
 #: Rows and characters that Python works on at once; a single longer text is a batch of its own.
 BATCH_ROWS = 512
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ WORD_LIMIT = 4.0
 #: What a change of language costs, in the same unit.
 SWITCH = 10.0
 CACHE_WORDS = 300_000
-COUNT_WORDS = 400_000
+COUNT_WORDS = 250_000
 #: A script belongs to a language if it has this share of the language's letters.
 SCRIPT_SHARE = 0.01
 
@@ -75,21 +75,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = defaultdict(Counter)
 
     def flushed() -> pa.RecordBatch:
-        rows: Counter = Counter()
+        parts = []
         for lang, words in counts.items():
-            tri: Counter = Counter()
+            low, scripts, tri = Counter(), Counter(), Counter()
             for word, n in words.items():
-                low = word.lower()
-                rows["w", lang, low] += n
-                rows["s", lang, script_of(word)] += n * len(word)
-                for t in _trigrams(low):
+                low[word.lower()] += n
+                scripts[script_of(word)] += n * len(word)
+            for word, n in low.items():
+                for t in _trigrams(word):
                     tri[t] += n
-            for t, n in tri.items():
-                rows["t", lang, t] = n
+            parts += [(kind, lang, list(held), list(held.values())) for kind, held in (("w", low), ("s", scripts), ("t", tri))]
         counts.clear()
-        kinds, langs, tokens = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(langs, pa.string()), pa.array(tokens, pa.string()), pa.array(list(rows.values()), pa.int64())],
-                                          names=["kind", "lang", "token", "n"])
+        sizes = [len(tokens) for _, _, tokens, _ in parts]
+        named = lambda at: pa.array([p[at] for p in parts], pa.string()).take(pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int32()))
+        tokens = pa.array([t for p in parts for t in p[2]], pa.string())
+        return pa.RecordBatch.from_arrays([named(0), named(1), tokens, pa.array([n for p in parts for n in p[3]], pa.int64())], names=["kind", "lang", "token", "n"])
 
     for batch in batches:
         for part in slices(batch, "t"):
