@@ -46,7 +46,7 @@ def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each text, and whether they decode to it again."""
     ranks, pattern = bpe_files()
     texts = docs.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    back = bpe.decode(bpe.encode(texts, ranks, pattern, ("doc_id", "sha256")), ranks, ("doc_id", "sha256", "ids"))
+    back = bpe.round_trip(texts, ranks, pattern, ("doc_id", "sha256"))
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha256")).alias("round_trip"))
 
 

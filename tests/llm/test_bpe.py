@@ -32,6 +32,8 @@ def test_same_ids_as_the_library_and_back(frame, library):
     for r in bpe.decode(ids, ranks, ("text", "ids")).collect():
         assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    both = bpe.round_trip(df.withColumnRenamed("ids", "other"), ranks, pattern, ("doc_id", "text"))
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() and np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(r["text"] or "") for r in both.collect())
     assert bpe.encode(df.limit(0), ranks, pattern).count() == 0
 
 

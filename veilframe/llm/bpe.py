@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, types as T
 from veilframe.llm.common import map_texts
 
 #: Words kept in each of two generations of a worker's cache; older ones are encoded again when they recur.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: Rows (bytes of words) that one recursive query starts with; a longer word is a block of its own.
 BLOCK_BYTES = 200_000
 #: Tokens that one decoding query takes; a longer text is a block of its own.
@@ -199,6 +199,12 @@ class _Encoder:
 _ENCODERS: dict[tuple[str, str], _Encoder] = {}
 
 
+def _encoder(ranks: str, pattern: str) -> _Encoder:
+    if (ranks, pattern) not in _ENCODERS:
+        _ENCODERS[ranks, pattern] = _Encoder(ranks, pattern)
+    return _ENCODERS[ranks, pattern]
+
+
 def encode(df: DataFrame, ranks: str, pattern: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The keys and `ids` (binary): the token ids of each text as little-endian unsigned 32-bit integers.
 
@@ -209,14 +215,8 @@ def encode(df: DataFrame, ranks: str, pattern: str, keys: tuple[str, ...] = ("do
     """
 
     def make():
-        if (ranks, pattern) not in _ENCODERS:
-            _ENCODERS[ranks, pattern] = _Encoder(ranks, pattern)
-        encoder = _ENCODERS[ranks, pattern]
-
-        def work(texts: list) -> list[pa.Array]:
-            return [pa.array(encoder.encode([t or "" for t in texts]), pa.binary())]
-
-        return work
+        encoder = _encoder(ranks, pattern)
+        return lambda texts: [pa.array(encoder.encode([t or "" for t in texts]), pa.binary())]
 
     return map_texts(df, keys, text, [T.StructField("ids", T.BinaryType())], make)
 
@@ -245,30 +245,40 @@ def _decode_block(con, rows: list[tuple[int, np.ndarray]], out: list[bytes]) ->
         out[doc_at] = blob.slice(starts[ends[at] + values.offset], starts[ends[at + 1] + values.offset] - starts[ends[at] + values.offset]).to_pybytes()
 
 
+def _decoded(ranks: str, packed: list) -> list[bytes]:
+    if ranks not in _DECODERS:
+        _DECODERS[ranks] = _connect(ranks)
+    out: list[bytes] = [b""] * len(packed)
+    block, size = [], 0
+    for at, raw in enumerate(packed):
+        one = np.frombuffer(raw or b"", "<u4")
+        if block and size + len(one) > BLOCK_TOKENS:
+            _decode_block(_DECODERS[ranks], block, out)
+            block, size = [], 0
+        block.append((at, one))
+        size += len(one)
+    _decode_block(_DECODERS[ranks], block, out)
+    return out
+
+
 def decode(df: DataFrame, ranks: str, keys: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """The keys and `decoded` (binary): the bytes of the tokens, in their order.
 
     Null and empty ids give no bytes. An id that is not in the vocabulary is an error.
     """
+    return map_texts(df, keys, ids, [T.StructField("decoded", T.BinaryType())], lambda: lambda packed: [pa.array(_decoded(ranks, packed), pa.binary())], kind="binary")
+
+
+def round_trip(df: DataFrame, ranks: str, pattern: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The keys, `ids` and `decoded`: encoding and decoding in one pass, so that a task has one worker."""
 
     def make():
-        if ranks not in _DECODERS:
-            _DECODERS[ranks] = _connect(ranks)
-        con = _DECODERS[ranks]
+        encoder = _encoder(ranks, pattern)
 
-        def work(packed: list) -> list[pa.Array]:
-            out: list[bytes] = [b""] * len(packed)
-            block, size = [], 0
-            for at, raw in enumerate(packed):
-                one = np.frombuffer(raw or b"", "<u4")
-                if block and size + len(one) > BLOCK_TOKENS:
-                    _decode_block(con, block, out)
-                    block, size = [], 0
-                block.append((at, one))
-                size += len(one)
-            _decode_block(con, block, out)
-            return [pa.array(out, pa.binary())]
+        def work(texts: list) -> list[pa.Array]:
+            ids = encoder.encode([t or "" for t in texts])
+            return [pa.array(ids, pa.binary()), pa.array(_decoded(ranks, ids), pa.binary())]
 
         return work
 
-    return map_texts(df, keys, ids, [T.StructField("decoded", T.BinaryType())], make, kind="binary")
+    return map_texts(df, keys, text, [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())], make)

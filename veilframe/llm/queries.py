@@ -34,8 +34,7 @@ def bpe_files() -> tuple[str, str]:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again; digests of the ids and of the decoded bytes."""
     ranks, pattern = bpe_files()
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
-    back = bpe.decode(ids, ranks, keys=("doc_id", "ids"))
+    back = bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
     return back.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
