@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, types as T
 from veilframe.llm.common import map_texts
 
 #: Words kept in each of two generations of a worker's cache; older ones are encoded again when they recur.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 220_000
 #: Rows (bytes of words) that one recursive query starts with; a longer word is a block of its own.
 BLOCK_BYTES = 200_000
 #: Tokens that one decoding query takes; a longer text is a block of its own.
