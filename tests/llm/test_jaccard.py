@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from veilframe.llm import jaccard
@@ -62,3 +63,36 @@ def test_empty_table_and_null_keys(frame):
     df = frame([(None, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")])
     assert {r["component_id"] for r in jaccard.components_of(df).collect()} == {2}
     assert jaccard.components_of(df.limit(0)).count() == 0
+
+
+def test_postings_of_frequent_shingles_are_dealt_out():
+    rank, node = np.meshgrid(np.arange(200, dtype=np.uint64), np.arange(1, 51, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for keys, nodes in ((rank.ravel(), node.ravel()), (np.zeros(10_000, np.uint64), np.arange(10_000, dtype=np.uint64))):
+        batch = jaccard._dealt(keys + np.uint64(1 << 63), nodes)
+        held = [len(x) // 8 for x in batch.column("keys").to_pylist()]
+        assert sum(held) == 10_000 and max(held) < 100
+
+
+def test_pairs_of_one_class_are_dealt_out(frame):
+    pairs = frame([(1, b) for b in range(2, 2002)], "a long, b long")
+    at = [(r["node"], x["a"], x["part"]) for r in jaccard._nodes_with_partners(pairs).collect() for x in r["ats"]]
+    parts = {}
+    for node, a, part in at:
+        parts.setdefault((a, part), []).append(node)
+    assert len(at) == 2000 + len(parts) and all(1 in nodes for nodes in parts.values())
+    assert max(map(len, parts.values())) < 2 * jaccard.PARTNERS
+
+
+def test_a_hot_group_with_small_parts_equals_brute_force(frame, monkeypatch):
+    monkeypatch.setattr(jaccard, "PARTNERS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 500)
+    rng = random.Random(5)
+    stock = [f"s{i}" for i in range(80)]
+    given = []
+    for i in range(120):
+        text = list(stock)
+        for _ in range(rng.choice([0, 1, 1, 6])):
+            text[rng.randrange(80)] = f"x{i}"
+        given.append((i, " ".join(text)))
+    got = jaccard.components_of(frame(given))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(given)

@@ -18,7 +18,8 @@ share do not gather these texts; any order is exact, frequency only saves work.
 
 All links between different components are thus tested; components are exact. Sets are compared
 as 64-bit hashes; classes are named by a 64-bit hash of their set. Postings are shuffled in
-packed form, by the leading bits of the shingle's key.
+packed form, by a hash of the shingle's key, those of frequent shingles by key and class; a task
+holds one bucket of them at a time. Pairs of one class are compared in parts.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ SIEVE_BITS = 1 << 23
 SIEVE_ROW = 1 << 11
 #: Classes that a task remembers, so that near-by copies post their prefix once.
 KNOWN = 200_000
+#: Pairs of one class that a task compares at a time; the set of that class is sent once for each such part.
+PARTNERS = 256
 _LAST = np.uint64(1 << 63)
 
 
@@ -95,30 +98,48 @@ class Order:
         return key[order][place < np.repeat(lengths, n)], np.concatenate(([0], np.cumsum(lengths)))
 
 
-def _dealt(keys: np.ndarray, nodes: np.ndarray | None) -> pa.RecordBatch:
-    """Postings in packed form, a row for each bucket of keys."""
-    bucket = (keys >> np.uint64(51)).astype(np.int64) % BUCKETS
+def _dealt(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """Postings in packed form, a row for each bucket.
+
+    The bucket is of the whole key, and of key and node where the key is frequent, so that its list is dealt out too.
+    """
+    mark = mixed(keys)
+    hot = keys >= _LAST
+    mark[hot] = mixed(mark[hot] ^ mixed(nodes[hot].view(np.uint64)))
+    bucket = (mark % np.uint64(BUCKETS)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, keys = bucket[order], keys[order]
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(cuts, len(keys))
     blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
-    columns = [pa.array(bucket[cuts], pa.int64()), blobs(keys)] + ([] if nodes is None else [blobs(nodes[order])])
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes"][: len(columns)])
+    columns = [pa.array(bucket[cuts], pa.int64()), blobs(keys), blobs(nodes[order])]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes"])
 
 
-def _column(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
-    """All packed columns of a partition, each as one array."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[np.ndarray]]:
+    """The packed columns of a partition sorted by bucket, as arrays of whole buckets; a few small buckets come together."""
     held: list[list[np.ndarray]] = [[] for _ in names]
+    last, size = None, 0
     for batch in batches:
-        for blobs, name in zip(held, names):
-            blobs.extend(np.frombuffer(x, np.uint64) for x in batch.column(name).to_pylist())
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in held]
+        for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", *names))):
+            if bucket != last and size > BLOCK:
+                yield [np.concatenate(x) for x in held]
+                held, size = [[] for _ in names], 0
+            for x, blob in zip(held, blobs):
+                x.append(np.frombuffer(blob, np.uint64))
+            last, size = bucket, size + len(held[0][-1])
+    if size:
+        yield [np.concatenate(x) for x in held]
 
 
 def frequent_keys(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
     """At most FREQUENT keys of shingles that stand in many texts, rarest first."""
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        # a key goes out once for a block, with its count; frequent keys have no place yet, and none reaches _LAST
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return _dealt(keys, n.astype(np.uint64))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, held, size = Order(np.zeros(0, np.uint64)), [], 0
         for batch in batches:
@@ -129,17 +150,19 @@ def frequent_keys(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarra
                 held.append(order.prefixes(values, ends, lengths, ORDERS[0])[0])
                 size += len(held[-1])
                 if size > BLOCK:
-                    yield _dealt(np.concatenate(held), None)
+                    yield counted(held)
                     held, size = [], 0
         if held:
-            yield _dealt(np.concatenate(held), None)
+            yield counted(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(_column(batches, "keys")[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], names=["key", "n"])
+        for keys, counts in _whole_buckets(batches, "keys", "nodes"):
+            keys, at = np.unique(keys, return_inverse=True)
+            n = np.bincount(at, counts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], names=["key", "n"])
 
-    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(deal, "bucket long, keys binary")
-    counts = packed.repartition("bucket").select("keys").mapInArrow(count, "key long, n long")
+    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(deal, "bucket long, keys binary, nodes binary")
+    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "key long, n long")
     top = most_frequent(written(counts, "counts"), FREQUENT).toPandas().sort_values(["n", "key"])
     return top["key"].to_numpy(np.int64).view(np.uint64)
 
@@ -181,7 +204,7 @@ def posted(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, p
 
 
 def posting_lists(rows: DataFrame) -> DataFrame:
-    """(token, node) for each member of each list of several classes."""
+    """(token, node) for each member of each list of several classes, and of each list of a frequent shingle."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,24 +215,24 @@ def posting_lists(rows: DataFrame) -> DataFrame:
                 yield _dealt(part.flatten().to_numpy().view(np.uint64), np.repeat(nodes[at:at + 2048], lengths))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = _column(batches, "keys", "nodes")
-        nodes = nodes.view(np.int64)
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        kept = new.copy()
-        kept[1:] |= nodes[1:] != nodes[:-1]  # a class posts once for each task that met it
-        keys, nodes, new = keys[kept], nodes[kept], new[kept]
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        several = size[group] > 1 if len(group) else np.zeros(0, bool)
-        for at in range(0, int(several.sum()), 100_000):
-            cut = np.flatnonzero(several)[at:at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(nodes[cut])], names=["token", "node"])
+        for keys, nodes in _whole_buckets(batches, "keys", "nodes"):
+            nodes = nodes.view(np.int64)
+            order = np.lexsort((nodes, keys))
+            keys, nodes = keys[order], nodes[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            kept = new.copy()
+            kept[1:] |= nodes[1:] != nodes[:-1]  # a class posts once for each task that met it
+            keys, nodes, new = keys[kept], nodes[kept], new[kept]
+            group = np.cumsum(new) - 1
+            size = np.bincount(group)
+            several = (size[group] > 1) | (keys >= _LAST)
+            for at in range(0, int(several.sum()), 100_000):
+                cut = np.flatnonzero(several)[at:at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(nodes[cut])], names=["token", "node"])
 
     packed = rows.where(F.size("prefix") > 0).select("node", "prefix").mapInArrow(deal, "bucket long, keys binary, nodes binary")
-    return packed.repartition("bucket").select("keys", "nodes").mapInArrow(lists, "token long, node long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lists, "token long, node long")
 
 
 def fitting(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
@@ -225,9 +248,21 @@ def fitting(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     return met.where((F.size(F.array_intersect("a_tokens", "b_tokens")) + beyond) * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
+def _from_leads(pairs: DataFrame, turn: int) -> DataFrame:
+    """The pairs with the class first that leads the lists of both in this turn."""
+    swap = F.struct(_turned("b", turn), "b") < F.struct(_turned("a", turn), "a")
+    return pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
+def _turned(node: str, turn: int) -> Column:
+    return F.xxhash64(node, F.lit(turn))
+
+
 def _nodes_with_partners(pairs: DataFrame) -> DataFrame:
-    """(node, ats): the a of each pair that a class is in, and its own name if it is an a."""
-    both = pairs.select(F.col("b").alias("node"), F.col("a").alias("at")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("at")))
+    """(node, ats): the (a, part) of each pair that a class is in, also if it is the a; a part has about PARTNERS pairs of an a."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    dealt = pairs.join(parts, "a").select("b", F.struct("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")).alias("at"))
+    both = dealt.select(F.col("b").alias("node"), "at").unionByName(dealt.select(F.col("at.a").alias("node"), "at"))
     return both.distinct().groupBy("node").agg(F.collect_list("at").alias("ats"))
 
 
@@ -312,19 +347,21 @@ def _compared(sets: DataFrame, column: str, width: type, percent: int, frequent:
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    dealt = sets.select(F.explode("ats").alias("a"), F.col("node").alias("b"), F.col(column).alias("set"))
-    return dealt.repartition("a").sortWithinPartitions("a", F.col("b") != F.col("a"), "b").mapInArrow(compare, "a long, b long")
+    dealt = sets.select(F.explode("ats").alias("at"), F.col("node").alias("b"), F.col(column).alias("set")).select("at.*", "b", "set")
+    return dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a"), "b").mapInArrow(compare, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int, turn: int) -> DataFrame:
     """Of the pairs (a, b) of classes, those that share prefixes under the other orders and reach the similarity.
 
     One text of each class is cut into shingles again; a bitmap keeps other texts out of the join.
-    Sets go to each pair they are in, first as 16-bit hashes, then, for what these leave, in full.
+    Sets go to each pair they are in, first as 16-bit hashes, then, for what these leave, in full; that
+    of a lead once for each part of its pairs.
     """
-    sets = sets_of(_nodes_with_partners(pairs), classes, docs, key, text, k)
+    sets = sets_of(_nodes_with_partners(_from_leads(pairs, turn)), classes, docs, key, text, k)
     left = written(_compared(sets.select("node", "ats", "short"), "short", np.uint16, percent, frequent).distinct(), "left")
-    return _compared(sets.select("node", "full").join(_nodes_with_partners(left), "node"), "full", np.uint64, percent, frequent).distinct()
+    both = _compared(sets.select("node", "full").join(_nodes_with_partners(left), "node"), "full", np.uint64, percent, frequent)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -443,11 +480,11 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     tested = links = roots = None
     for turn in range(ROUNDS):
         named = lists.select("token", "node", F.col("node").alias("root")) if roots is None else _several(lists, roots)
-        lead = named.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("lead"))
+        lead = named.groupBy("token").agg(F.min(F.struct(_turned("node", turn), "node", "root")).alias("lead"))
         pairs = named.join(lead, "token").where("root <> lead.root").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "stars")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = written(verified(written(fitting(pairs, shared, percent), "fitting"), *args), "links")
+        more = written(verified(written(fitting(pairs, shared, percent), "fitting"), *args, turn), "links")
         if turn and more.isEmpty():
             break
         links = more if links is None else links.unionByName(more)
@@ -466,7 +503,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     across = written(fitting(across.join(tested, ["a", "b"], "left_anti"), shared, percent), "across")
     final = roots
     if not across.isEmpty():
-        more = written(verified(across, *args), "more")
+        more = written(verified(across, *args, ROUNDS), "more")
         if not more.isEmpty():
             final = written(components(links.unionByName(more)), "roots")
     final = final.join(classes.select("node", "doc"), "node").select("node", "root", "doc")
