@@ -96,3 +96,32 @@ def test_a_hot_group_with_small_parts_equals_brute_force(frame, monkeypatch):
         given.append((i, " ".join(text)))
     got = jaccard.components_of(frame(given))
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(given)
+
+
+def test_one_unlinked_class_does_not_send_a_joined_group_around(spark):
+    nodes = [(i, 1, 7, 100 + i % 5) for i in range(3000)] + [(3000, 2, 7, 101), (3001, 3, 7, 900)]
+    blocks, met = jaccard.cells(spark.createDataFrame(nodes, "node long, root long, cluster long, n long"), 80)
+    sent = blocks.join(met, "block").select("node", "root", "i", "j").collect()
+    assert len(sent) < 3100  # 12 blocks each before: 36,024
+    held = {}
+    for r in sent:
+        held.setdefault((r["i"], r["j"]), set()).add(r["node"])
+    # each class of the group meets the one it may link with; the other is too long for any
+    assert {n for c in held.values() if 3000 in c for n in c} >= set(range(3001))
+    assert all(len(c) == 1 for c in held.values() if 3001 in c)
+
+
+@pytest.mark.parametrize("percent", [80, 100, 33])
+def test_cells_hold_all_pairs_that_may_link(spark, monkeypatch, percent):
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    rng = random.Random(percent)
+    nodes = [(i, rng.choice([1, 2, 2, 3, 100 + i]), rng.choice([7, 8]), rng.choice([1, 2, 4, 5, 10, 80, 99, 100, 125, 300])) for i in range(150)]
+    blocks, met = jaccard.cells(spark.createDataFrame(nodes, "node long, root long, cluster long, n long"), percent)
+    held = {}
+    for r in blocks.join(met, "block").collect():
+        held.setdefault((r["i"], r["j"]), set()).add(r["node"])
+    together = {(a, b) for c in held.values() for a in c for b in c}
+    for a, ra, ca, na in nodes:
+        for b, rb, cb, nb in nodes:
+            if ra != rb and ca == cb and 100 * min(na, nb) >= percent * max(na, nb):
+                assert (a, b) in together

@@ -13,8 +13,9 @@ share do not gather these texts; any order is exact, frequency only saves work.
    linear cost; a few such rounds follow, with lists that still hold several components. A pair must have sizes that allow the link, enough common shingles in
    the prefix, and common prefix shingles under all other orders; then the sets are compared.
 4. Short lists that still hold several components give the pairs across components, through the
-   same filters and the same check; the classes of long ones are compared in blocks, which return
-   no more links than classes. Pairs inside a component are never made.
+   same filters and the same check; the classes of long ones are compared in blocks of like size, which
+   return no more links than classes. Blocks of one large component never meet; smaller components
+   share blocks, and classes in blocks are compared by their sets alone, without the filters.
 
 All links between different components are thus tested; components are exact. Sets are compared
 as 64-bit hashes; classes are named by a 64-bit hash of their set. Postings are shuffled in
@@ -24,6 +25,7 @@ holds one bucket of them at a time. Pairs of one class are compared in parts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -416,23 +418,46 @@ def _forest(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple
     return found
 
 
+def cells(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes (node, root, cluster, n) with the block of each, and (block, i, j) for each cell that a block is in.
+
+    A block has about CELL classes of one cluster and one range of sizes. A root with so many has blocks of its
+    own; others share blocks. There are cells only for blocks whose sizes allow links, and none for
+    two blocks of one root.
+    """
+    # the sizes of linked sets are in one range or in neighbouring ones
+    step = math.log(100 / percent) * (1 + 1e-9)
+    banded = nodes.withColumn("band", F.floor(F.log("n") / step) if percent < 100 else F.col("n"))
+    members = banded.groupBy("cluster", "band", "root").agg(F.count("*").alias("members"))
+    owners = members.withColumn("alone", F.col("members") >= CELL).withColumn("owner", F.when(F.col("alone"), F.col("root")).otherwise(F.lit(0)))
+    groups = owners.groupBy("cluster", "band", "alone", "owner").agg(F.ceil(F.sum("members") / CELL).alias("parts"))
+    named = owners.select("cluster", "band", "root", "alone", "owner").join(groups, ["cluster", "band", "alone", "owner"])
+    part = F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts"))
+    block = F.struct("cluster", "band", "alone", "owner", "part")
+    dealt = banded.join(named, ["cluster", "band", "root"]).withColumn("part", part).select("node", "root", block.alias("block"))
+    all_ = groups.select("cluster", "band", "alone", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("cluster", "band", block.alias("block"))
+    near = all_.select("cluster", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("block").alias("i"))
+    met = near.join(all_.select("cluster", "band", F.col("block").alias("j")), ["cluster", "band"]).where("i <= j")
+    met = met.where(~(F.col("i.alone") & F.col("j.alone") & (F.col("i.owner") == F.col("j.owner")))).select("i", "j")
+    both = met.select(F.col("i").alias("block"), "i", "j").unionByName(met.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
+    return dealt, both
+
+
 def heavy_links(heavy: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """Links (a, b) that join all linked classes of long lists (token, node, root), without their pairs.
 
-    Lists that share members form a cluster. A cluster's classes are dealt to blocks of about CELL, and a
-    cell for each two blocks compares their sets at once; a class goes to as many cells as its cluster
-    has blocks, and a cell returns fewer links than it has classes. The comparisons, not the rows, are
-    quadratic in a cluster.
+    Lists that share members form a cluster, also where no texts link. A cluster's classes are dealt to blocks,
+    and a cell for each two blocks that may have links between roots compares their sets at once; it returns
+    fewer links than it has classes. A class goes to as many cells as there are such blocks: the many of one root
+    once for each block of others, but n classes that are not joined, and alike in size, send about n * n / CELL sets.
     """
     least = heavy.groupBy("token").agg(F.min("node").alias("first"))
     tied = heavy.join(least, "token").select(F.col("node").alias("a"), F.col("first").alias("b"))
     clusters = written(components(tied).withColumnRenamed("root", "cluster"), "clusters")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-    nodes = heavy.select("node", "root").distinct().join(clusters, "node").join(blocks, "cluster")
-    sets = sets_of(nodes.select("node", "root", "cluster", "blocks"), classes, docs, key, text, k)
-    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    dealt = sets.select("cluster", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "root", "full")
-    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "full")
+    nodes = heavy.select("node", "root").distinct().join(clusters, "node").join(classes.select("node", "n"), "node")
+    blocks, met = cells(written(nodes, "clustered"), percent)
+    sets = sets_of(blocks, classes, docs, key, text, k)
+    dealt = sets.join(met, "block").select("i", "j", "node", "root", "full")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
@@ -442,14 +467,14 @@ def heavy_links(heavy: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
             return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for *at, node, root, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "root", "full"))):
+            for *at, node, root, raw in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "node", "root", "full"))):
                 if at != cell:
                     yield done()
                     cell, rows = at, []
                 rows.append((node, root, np.frombuffer(raw, np.uint64)))
         yield done()
 
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _several(lists: DataFrame, roots: DataFrame) -> DataFrame:
