@@ -69,3 +69,36 @@ def test_table(frame):
     assert secrets.scan(df.limit(0)).count() == 0
     masked = {r["doc_id"]: r["masked"] for r in secrets.mask(df).collect()}
     assert masked[1] is None and masked[3] == '[SECRET]"'
+
+
+def glued():
+    secret = b'password = "hunter2abcdef" '
+    for raw in (secret, gzip.compress(secret, mtime=0), bz2.compress(secret)):
+        for code in (base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("=")):
+            for before in ("", "https://x.org/data/", "user_", "a-b/c", "ab", "Please\n", "Please rotate\nsoonest\n"):
+                for behind in ("", "\nPlease rotate", "/next", "_x", "\nPlease\nrotate it"):
+                    yield before, code, behind
+    lines = base64.encodebytes(b"some words before it, " + secret + b" and behind " * 9).decode().rstrip("=\n")
+    yield "data/", lines, "\nPlease rotate"
+
+
+def test_base64_with_words_glued_before_and_behind():
+    for before, code, behind in glued():
+        text = f"see {before}{code}{behind}"
+        found = [s for s in secrets.find(text) if not s["base"]]
+        assert any(4 + len(before) <= s["start"] < 4 + len(before) + len(code) for s in found), text
+        assert "[SECRET]" in secrets.masked(text)
+
+
+def test_text_beside_encoded_secrets_stays():
+    code = base64.b64encode(b'password = "hunter2abcdef" ').decode()
+    start, end = len("https://x.org/data/"), len("https://x.org/data/") + len(code)
+    got = secrets.masked(f"https://x.org/data/{code}\nPlease rotate")
+    assert got.startswith("https://x.org/data/") and got.endswith("\nPlease rotate")
+    assert all(start <= s["start"] < s["end"] <= end for s in secrets.find(f"https://x.org/data/{code}\nPlease rotate"))
+
+
+def test_bytes_that_are_no_text_only_spoil_themselves():
+    quoted = "".join(f"%{b:02X}" for b in b"\xff" + SECRET.encode() + b"\xfe")
+    assert [s["depth"] for s in secrets.find(quoted)] == [1]
+    assert secrets.find(base64.b64encode(b"\xff\xfe\x00" + SECRET.encode() + b"\xff").decode())

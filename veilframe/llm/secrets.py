@@ -12,7 +12,6 @@ text's layers, of which decompressed ones are read in segments.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import gzip
 import io
@@ -21,6 +20,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -38,6 +38,12 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 8, 16
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+URL_SAFE = str.maketrans("-_", "+/")
+UTF8 = re.compile(rb"(?:[\t\n\r\f\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})++")
+HEADER = re.compile(rb"(?P<deflate>\x1f\x8b\x08[\x00-\x1f]|x[\x01^\x9c\xda])|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\(\xb5/\xfd")
+#: No secret is shorter: the shortest name, a sign and ASSIGN_LENGTH characters.
+LEAST = 14
 MAGIC = ((b"\x1f\x8b", "gzip"), (b"x\x01", "zlib"), (b"x^", "zlib"), (b"x\x9c", "zlib"), (b"x\xda", "zlib"),
          (b"BZh", "bz2"), (b"\xfd7zXZ\x00", "xz"), (b"(\xb5/\xfd", "zstd"))
 #: Decompressed data is scanned in segments of about so many bytes, cut where no pattern can cross.
@@ -106,11 +112,13 @@ def percent_decoded(layer: Layer) -> Layer | None:
     runs = []
     if "%" in layer.text:
         for m in PERCENT.finditer(layer.text):
-            try:
-                text = bytes.fromhex(m.group().replace("%", "")).decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            runs.append((m.start(), m.end(), [(c, 3 * len(c.encode())) for c in text]))
+            # bytes that are no UTF-8 stay escaped
+            at, decoded = m.start(), []
+            for c in bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "surrogateescape"):
+                length = 3 * len(c.encode("utf-8", "surrogateescape"))
+                decoded.append((layer.text[at:at + 3] if "\udc80" <= c <= "\udcff" else c, length))
+                at += length
+            runs.append((m.start(), m.end(), decoded))
     return _replaced(layer, runs)
 
 
@@ -169,7 +177,9 @@ def decompressed(data: bytes, kind: str) -> Iterator[bytes]:
     held = b""
     try:
         reader = _reader(data, kind)
-        while more := reader.read(1 << 20):
+        # one read at a time: what a gzip member held before a defect or foreign bytes behind it is not lost
+        read = reader.read1 if kind == "gzip" else reader.read
+        while more := read(1 << 20):
             held += more
             if len(held) >= SEGMENT:
                 cut = max((m.end() for m in NO_TOKEN.finditer(held, len(held) - (SEGMENT >> 3))), default=0)
@@ -186,48 +196,69 @@ def decompressed(data: bytes, kind: str) -> Iterator[bytes]:
         yield held
 
 
-def printable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r\f" for c in text) else None
+def printable(data: bytes) -> Iterator[tuple[int, str]]:
+    """(first byte, text) of the stretches of printable UTF-8 that are long enough for a secret."""
+    for m in UTF8.finditer(data):
+        if m.end() - m.start() < LEAST:
+            continue
+        at = m.start()
+        for good, chars in groupby(m.group().decode("utf-8", "surrogateescape"), lambda c: c.isprintable() or c in "\t\n\r\f"):
+            text = "".join(chars)
+            size = len(text.encode("utf-8", "surrogateescape"))
+            if good and size >= LEAST:
+                yield at, text
+            at += size
+
+
+def _compressed_at(data: bytes) -> Iterator[int]:
+    """Where compressed data may begin: at the front, and wherever a group of four characters does."""
+    if compression(data):
+        yield 0
+    for m in HEADER.finditer(data, 1):
+        if m.start() % 3 == 0:
+            if m.lastgroup == "deflate":
+                try:
+                    zlib.decompressobj(47).decompress(data[m.start():m.start() + 4096], 64)
+                except zlib.error:
+                    continue
+            yield m.start()
 
 
 def base64_layers(layer: Layer) -> Iterator[Layer]:
-    """Layers of base64 runs that hold text or compressed data; the run may begin up to 3 characters late."""
+    """Layers of base64 runs: the stretches that are text, or begin as compressed data, at each of the four alignments.
+
+    Groups of four characters decode each for itself, so words, paths and lines glued before or behind only
+    spoil their own part.
+    """
     for m in BASE64.finditer(layer.text):
         run = m.group().rstrip("=")
-        plain = "\n" not in run
+        begins, offsets, size = [], [], 0
+        for line in LINE.finditer(run):
+            begins.append(size)
+            offsets.append(m.start() + line.start() - size)
+            size += line.end() - line.start()
+        joined = re.sub(r"[\r\n]", "", run).translate(URL_SAFE)
+
+        def outside(i: int) -> int:
+            return m.end() if i >= size else i + offsets[bisect_right(begins, i) - 1]
+
         for skip in range(4):
-            body = re.sub(r"[\r\n]", "", run[skip:]).translate(str.maketrans("-_", "+/"))
+            body = joined[skip:]
             body = body[: len(body) - (len(body) % 4 == 1)]
-            try:
-                data = base64.b64decode(body + "=" * (-len(body) % 4))
-            except (binascii.Error, ValueError):
-                continue
-            start, length = m.start() + skip, m.end() - m.start() - skip
-            if compression(data):
-                found = False
-                for inner in _unpacked(data, set()):
-                    found = True
-                    yield Layer(inner.decode("utf-8", "replace"), layer, [(0, start, -1, length)], layer.depth + 1)
-                if found:
-                    break
-            elif (text := printable(data)) is not None:
-                yield Layer(text, layer, _base64_pieces(text, start, length) if plain else [(0, start, -1, length)], layer.depth + 1)
-                break
-
-
-def _base64_pieces(text: str, start: int, length: int) -> list[tuple[int, int, int, int]]:
-    """A piece for each character: the groups of four that hold its bytes."""
-    pieces, at = [], 0
-    for here, c in enumerate(text):
-        to = at + len(c.encode())
-        first, last = at // 3 * 4, min(length, -(-to // 3) * 4)
-        pieces.append((here, start + first, 1, last - first))
-        at = to
-    return pieces
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            for at in _compressed_at(data):
+                start = outside(skip + at // 3 * 4)
+                for inner in _unpacked(data[at:], set()):
+                    yield Layer(inner.decode("utf-8", "replace"), layer, [(0, start, -1, m.end() - start)], layer.depth + 1)
+            for at, text in printable(data):
+                pieces = []
+                for here, c in enumerate(text):
+                    to = at + len(c.encode())
+                    # the groups of four that hold the bytes of the character
+                    first, last = outside(skip + at // 3 * 4), skip + -(-to // 3) * 4
+                    pieces.append((here, first, 1, (outside(last - 1) + 1 if last <= size else m.end()) - first))
+                    at = to
+                yield Layer(text, layer, pieces, layer.depth + 1)
 
 
 def _unpacked(data: bytes, seen: set[bytes]) -> Iterator[bytes]:
