@@ -38,3 +38,20 @@ def test_hard_markup_is_linear():
     assert main_text("<div>" * 20_000 + "x") == "x"
     assert main_text('<a "' * 20_000) == ""
     assert len(main_text("<p>hello, world.</p>" * 20_000)) == 20_000 * 15 - 2
+
+
+def test_large_elements_are_not_left_aside_for_a_word():
+    paras = [f"This is paragraph {i} of the text, with some commas, and it ends with a full stop." for i in range(6)]
+    body = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in paras)
+    rest = "<nav><a href=#>Home</a></nav>%s<div class=sidebar><p>Side text, that is long.</p></div><form><p>Sign up, now.</p></form><footer>Foot, x.</footer>"
+    want = "\n\n".join(["Title", *paras])
+    for box in ("<div class='content has-sidebar'>%s</div>", "<div id='page' class='with-nav'>%s</div>", "<section class='search-results'>%s</section>",
+                "<div class='has-sidebar'><article>%s</article></div>", "<div class='with-nav'><div class='content has-sidebar'>%s</div></div>"):
+        assert main_text("<body>" + rest % (box % body)) == want, box
+    # a form around the whole page, with the other parts inside
+    assert main_text("<body><form id='aspnetForm'>" + (rest % f"<div>{body}</div>").replace("form>", "div>").replace("<div><p>Sign", "<div class=signup><p>Sign") + "</form>") == want
+    comments = "<section id=comments>" + "".join(f"<article><p>Comment {i}, that I wrote, is not the text.</p></article>" for i in range(9)) + "</section>"
+    assert main_text("<body>" + rest % f"<main>{body}</main>{comments}") == want
+    assert main_text("<body>" + rest % f"<main>{body}</main><div class=comments><p>{' '.join(paras * 2)}</p></div>") == want
+    assert main_text("<div class=sidebar>" * 20_000 + "x") == "x"
+    assert main_text("<body>" + rest % f"<div class=with-nav><article>{body}</article>{comments}</div>") == want

@@ -1,7 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text in page order, each with its path of tags from the root. Parts
-that are not text of an article by their element, class or role are left aside. Over the other
+that are not text of an article by their element or role are left aside, and those that are none by a
+word of their class or id, and forms, unless they hold the page's article or most of its text. Over the other
 blocks, the length of text outside links and the number of punctuation marks are added up per
 path and divided by the blocks of the path; both ratios are smoothed along the page, fused, and
 paths whose mean stays under a share of the page's level are dropped. The element that holds
@@ -26,6 +27,10 @@ from veilframe.llm.common import map_texts
 SHARE = 0.2
 #: The article is the innermost element with this share of the chosen text.
 COVER = 0.85
+#: An element is left aside for a word in its class or id, or as a form, only below this share of the page's text outside links.
+LARGE = 0.5
+#: An article or main with this share of it is the page's; then only what holds it, or most text inside it, is not left aside.
+OWN = 0.2
 #: More text than this in links makes a block a list of links.
 LINKS = 0.6
 
@@ -64,15 +69,16 @@ class Block:
     text: str
     plain: int
     aside: bool
+    doubtful: tuple[int, ...] = ()
+    wholes: tuple[int, ...] = ()
     chosen: bool = False
 
 
-def _set_aside(tag: str, rest: str, inside_article: bool) -> bool:
-    """Whether an element is not part of an article, by its name and attributes."""
-    if tag in ASIDE or tag == "header" and not inside_article:
+def _set_aside(tag: str, rest: str, inside_article: bool) -> bool | None:
+    """Whether an element is not part of an article, by its name and attributes; None if only a word says so or it is a form."""
+    if tag in ASIDE and tag != "form" or tag == "header" and not inside_article:
         return True
-    if len(rest) < 4:
-        return False
+    doubtful = tag == "form"
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
@@ -80,12 +86,13 @@ def _set_aside(tag: str, rest: str, inside_article: bool) -> bool:
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
         if name in ("class", "id") and tag not in ("html", "body", *WHOLE) and not WORDS.isdisjoint(SPLIT.split(value)):
-            return True
-    return False
+            doubtful = True
+    return None if doubtful else False
 
 
 def blocks_of(page: str) -> Iterator[Block]:
-    stack: list[tuple[str, int, bool, int, bool]] = []  # tag, number, set aside, path, inside an article
+    # tag, number, set aside, path, inside an article, may have to be set aside
+    stack: list[tuple[str, int, bool, int, bool, bool]] = []
     parts: list[str] = []
     plain: list[str] = []
     paths: dict[tuple[int, str], int] = {}
@@ -96,7 +103,7 @@ def blocks_of(page: str) -> Iterator[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 blocks = [s for s in stack if s[0] not in INLINE]
-                yield Block(blocks[-1][3] if blocks else 0, tuple(s[1] for s in blocks), text, len(" ".join(unescape("".join(plain)).split())), bool(stack) and stack[-1][2])
+                yield Block(blocks[-1][3] if blocks else 0, tuple(s[1] for s in blocks), text, len(" ".join(unescape("".join(plain)).split())), bool(stack) and stack[-1][2], tuple(s[1] for s in stack if s[5]), tuple(s[1] for s in stack if s[0] in WHOLE))
             parts.clear()
             plain.clear()
 
@@ -153,11 +160,12 @@ def blocks_of(page: str) -> Iterator[Block]:
                             break
         number += 1
         rest = m.group("rest")
-        _, _, above_aside, above, inside = stack[-1] if stack else ("", 0, False, 0, False)
-        aside = above_aside or _set_aside(tag, rest, inside)
+        _, _, above_aside, above, inside, _ = stack[-1] if stack else ("", 0, False, 0, False, False)
+        own = _set_aside(tag, rest, inside)
+        aside = above_aside or bool(own)
         if not rest.endswith("/>") or tag in INLINE and tag != "a":
             path = above if tag in INLINE else paths.setdefault((above, tag), len(paths) + 1)
-            stack.append((tag, number, aside, path, inside or tag in WHOLE))
+            stack.append((tag, number, aside, path, inside or tag in WHOLE, own is None))
             links += tag == "a"
     said(page[at:end])
     said(re.split(r"<(?=[a-zA-Z/!?])", page[max(at, end):], maxsplit=1)[0])  # without a tag that never ends
@@ -169,8 +177,31 @@ def _smoothed(values: list[float]) -> list[float]:
     return [(values[max(0, i - 1)] + 2 * values[i] + values[min(n - 1, i + 1)]) / 4 for i in range(n)]
 
 
+def _decide(blocks: list[Block]) -> None:
+    """Leave aside what stands in a doubtful element, unless this holds the page's article or most of its text."""
+    rest = [b for b in blocks if not b.aside]
+    if not any(b.doubtful for b in rest):
+        return
+    total, of_doubtful, of_whole, around = 0, defaultdict(int), defaultdict(int), {}
+    for b in rest:
+        total += b.plain
+        for e in b.doubtful:
+            of_doubtful[e] += b.plain
+        for e in b.wholes:
+            of_whole[e] += b.plain
+            around[e] = frozenset(d for d in b.doubtful if d < e)  # numbers grow inwards
+    own = max(of_whole, key=of_whole.__getitem__, default=None)
+    if own is not None and of_whole[own] >= OWN * total:
+        kept = {*around[own], *(e for b in rest if own in b.wholes for e in b.doubtful if of_doubtful[e] >= LARGE * total)}
+    else:
+        kept = {e for e, n in of_doubtful.items() if n >= LARGE * total}
+    for b in rest:
+        b.aside = not kept.issuperset(b.doubtful)
+
+
 def choose(blocks: list[Block]) -> None:
     """Mark the blocks of the article."""
+    _decide(blocks)
     rest = [b for b in blocks if not b.aside]
     if not rest:
         return
