@@ -12,12 +12,13 @@ from veilframe.llm import bpe, decontaminate, jaccard, langid, secrets
 from veilframe.llm.common import written
 from veilframe.llm.queries import bpe_files, table
 
-#: Documents whose language is less sure than this are rejected, as are those without letters.
+#: Documents in several languages whose best has a smaller share than this are rejected, as are those without letters.
+#: The score compares the labels' languages with one another: with K of them, a text read as one has at least 1/K.
 LEAST_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that are in no language that the labels know."""
+    """Without documents without letters, and without evenly mixed ones; those in a language that the labels lack stay."""
     names = docs.columns
     found = langid.identify(docs, langid.fit(docs), tuple(names), "text")
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*names)
