@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe, chat, counts, decontaminate, html, jaccard, langid, media, ordermin, secrets, surrogates
+from veilframe.llm import bpe, chat, counts, decontaminate, html, jaccard, langid, media, ordermin, secrets, surrogates, trie
 from veilframe.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and how near that and the next document are."""
     return ordermin.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
