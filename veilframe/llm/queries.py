@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veilframe.llm import bpe, chat, counts, decontaminate, html, jaccard, langid, media, ordermin, secrets, surrogates, trie
+from veilframe.llm import bpe, chat, counts, decontaminate, html, jaccard, langid, media, ordermin, repair, secrets, surrogates, trie
 from veilframe.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,12 @@ def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, its faults, the least edits that mend it, and a digest of what they give."""
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of all rebuilt conversations."""
