@@ -167,14 +167,15 @@ class _Met:
 
 
 RESULT = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-_RESULT_TYPES = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-_RESULT_DDL = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+#: Digests are bytes until the end: half as long in the tables between.
+_RESULT_DDL = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(own: np.ndarray, text: str, follower: str, of_follower: np.ndarray, k: int) -> tuple:
     changed = edited(text, follower)
     other = signature(changed, k) if changed != text else own
-    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.tobytes().hex(), other.tobytes().hex(),
+    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), own.tobytes(), other.tobytes(),
             float(np.mean(own == other)), float(np.mean(own == of_follower)))
 
 
@@ -212,16 +213,17 @@ def edit_likeness(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
                 for name, body in zip(block.column("key").to_pylist(), block.column("text").to_pylist()):
                     now = _Met(name, body, k)
                     if before is None:
-                        rows.append((name, 1, part, now.text, len(now.text), None, now.signature.tobytes().hex(), None, None, None))
+                        rows.append((name, 1, part, now.text, len(now.text), None, now.signature.tobytes(), None, None, None))
                     else:
                         rows.append((before.key, 0, part, None, *_compared(before.signature, before.text, now.text, now.signature, k)))
                     before = now
                 yield packed(rows)
         if before is not None:
-            yield packed([(before.key, 2, part, before.text, len(before.text), None, before.signature.tobytes().hex(), None, None, None)])
+            yield packed([(before.key, 2, part, before.text, len(before.text), None, before.signature.tobytes(), None, None, None)])
 
     table = written(ordered.mapInArrow(run, schema), "neighbours")
-    names = [F.col("key").alias(key), *RESULT]
+    shown = lambda n: F.lower(F.hex(n)).alias(n) if n.endswith(("sha256", "fingerprint")) else F.col(n)
+    names = [F.col("key").alias(key), *map(shown, RESULT)]
     # One number for each partition that has rows.
     parts = sorted(r["part"] for r in table.where("kind = 1").select("part").collect())
     if not parts:
@@ -234,11 +236,11 @@ def edit_likeness(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
         closed.add(field)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unhex = lambda h: np.frombuffer(bytes.fromhex(h), ">u4")
+        components = lambda b: np.frombuffer(b, ">u4")
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in ("body", "fingerprint", "next_body", "next_fingerprint")}
-                made = _compared(unhex(row["fingerprint"]), row["body"], row["next_body"], unhex(row["next_fingerprint"]), k)
+                made = _compared(components(row["fingerprint"]), row["body"], row["next_body"], components(row["next_fingerprint"]), k)
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, 1), *(pa.array([v], t) for v, t in zip(made, _RESULT_TYPES))], names=closed.names)
 
     finished = open_rows.select("key", "body", "fingerprint", "next_body", "next_fingerprint").mapInArrow(close, closed)
