@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from veilframe.llm import langid
+from veilframe.llm.common import most_frequent
 
 RNG = random.Random(2)
 STOCK = {"xx": "bana lomi keru tano sivu".split(), "yy": "grot plask dren fulk wist".split(), "ру": "дом лес река поле небо".split()}
@@ -48,3 +49,23 @@ def test_viterbi_equals_all_paths():
         worth = lambda path: sum(scores[i, p] for i, p in enumerate(path)) - 1.5 * sum(a != b for a, b in zip(path, path[1:]))
         best = max(map(worth, itertools.product(range(size), repeat=n)))
         assert abs(worth(langid.viterbi(scores, 1.5).tolist()) - best) < 1e-9
+
+
+def test_unknown_language_has_little_known(frame):
+    model = langid.fit(frame(labelled(), "doc_id long, text string, lang string"))
+    made = "qzoxj wyvhu jhqcc uxqyz"
+    texts = [(1, said("xx", 60), ""), (2, " ".join(RNG.choice(made.split()) for _ in range(60)), ""), (3, "ελληνικά γράμματα εδώ", "")]
+    got = {r["doc_id"]: r["known"] for r in langid.identify(frame(texts, "doc_id long, text string, lang string"), model).collect()}
+    assert got[1] > 0.95 and got[2] < 0.3 and got[3] < 0.3
+
+
+def test_equal_counts_fill_the_list(frame):
+    """Frequent keys come first, and equal counts fill what is left, the same ones each time."""
+    rows = [(i, 1) for i in range(95)] + [(1000 + i, 9) for i in range(5)]
+    counts = frame(rows, "key long, n long")
+    for size, least in ((40, 9), (3, 9), (5, 9), (100, 1), (500, 1)):
+        got = [r["key"] for r in most_frequent(counts, size).collect()]
+        assert len(got) == len(set(got)) == min(size, 100)
+        assert len(set(got) & set(range(1000, 1005))) == min(size, 5)
+        assert sorted(got) == sorted(r["key"] for r in most_frequent(counts.repartition(7), size).collect())
+    assert most_frequent(counts.limit(0), 4).count() == 0

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding, by recursive queries over token-position rows.
 
 A text is cut into words by the tokenizer's pattern. Each task keeps the words it has met;
-new ones become rows (word, position, token) in an in-process DuckDB, join the merge table
+new ones become rows (word, position, token) in an in-process DuckDB, of which a worker has one,, join the merge table
 (left token, right token, merged token), and a recursive query contracts each word's leftmost
 pair of minimum rank until no pair merges. Decoding joins the tokens of a block of texts with
 the vocabulary and aggregates their bytes in the order of positions. Both are projections of
@@ -17,15 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from veilframe.llm.common import map_texts
+from veilframe.llm.common import held, map_texts
 
 #: Words kept in each of two generations of a worker's cache; older ones are encoded again when they recur.
 CACHE_WORDS = 220_000
 #: Rows (bytes of words) that one recursive query starts with; a longer word is a block of its own.
 BLOCK_BYTES = 200_000
+#: Texts and bytes of text whose new words are learned together: fewer, larger recursive queries.
+BATCH_TEXTS, BATCH_BYTES = 2048, 2 << 20
 #: Tokens that one decoding query takes; a longer text is a block of its own.
 BLOCK_TOKENS = 250_000
-#: Longer words are contracted in all places of the minimum rank at once, where that is the same.
+#: Longer words are contracted in all places of the minimum rank at once, where that is provably the same: the result does not depend on this length.
 LONG_WORD = 256
 MEMORY = "250MB"
 
@@ -53,23 +55,25 @@ WITH cuts AS (SELECT id, hex(bytes) AS h, unnest(generate_series(1, octet_length
 SELECT l.id AS l, r.id AS r, c.id AS merged
 FROM cuts c JOIN names l ON l.h = substr(c.h, 1, 2 * c.at) JOIN names r ON r.h = substr(c.h, 2 * c.at + 1)
 """
+#: A row's place is its word times 65536 plus its position; the least of rank, position, next position is the pair to contract.
 CONTRACT = """
-WITH RECURSIVE step(word, pos, token, round) AS (
-  SELECT word, pos, token, 0 FROM start
+WITH RECURSIVE step(place, token, round) AS (
+  SELECT word * 65536::BIGINT + pos, token, 0 FROM start
   UNION ALL
   SELECT * FROM (
-    WITH pairs AS (SELECT word, pos, token,
-                          lead(token) OVER (PARTITION BY word ORDER BY pos) AS after,
-                          lead(pos) OVER (PARTITION BY word ORDER BY pos) AS after_pos FROM step),
-         ranked AS (SELECT p.word, p.pos, p.after_pos, m.merged, m.merged * 4294967296::BIGINT + p.pos AS place
-                    FROM pairs p JOIN merges m ON m.l = p.token AND m.r = p.after),
-         best AS (SELECT word, arg_min(pos, place) AS pos, arg_min(after_pos, place) AS after_pos,
-                         min(merged) AS merged FROM ranked GROUP BY word)
-    SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.token END, s.round + 1
-    FROM step s JOIN best b USING (word) WHERE s.pos <> b.after_pos)
+    WITH pairs AS (SELECT place, token, lead(token) OVER w AS after, lead(place) OVER w AS after_place
+                   FROM step WINDOW w AS (ORDER BY place)),
+         best AS (SELECT place >> 16 AS word,
+                         min(merged * 4294967296::BIGINT + (place & 65535) * 65536 + (after_place & 65535)) AS pair
+                  FROM pairs JOIN merges m ON m.l = token AND m.r = after
+                  WHERE place >> 16 = after_place >> 16 GROUP BY 1)
+    SELECT s.place, CASE WHEN s.place & 65535 = (b.pair >> 16) & 65535 THEN (b.pair >> 32)::INTEGER ELSE s.token END,
+           s.round + 1
+    FROM step s JOIN best b ON b.word = s.place >> 16 WHERE s.place & 65535 <> b.pair & 65535)
 )
-SELECT word, list(token ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM step) WHERE round = last GROUP BY word
+SELECT CAST(word AS INTEGER) AS word, list(token ORDER BY place) AS ids
+FROM (SELECT *, place >> 16 AS word, max(round) OVER (PARTITION BY place >> 16) AS last FROM step)
+WHERE round = last GROUP BY word
 """
 #: As CONTRACT, in fewer rounds: if no pair that a contraction makes has a lower rank than the
 #: contracted one, the next leftmost pair of minimum rank is the next place of the same rank.
@@ -110,12 +114,21 @@ FROM tokens t LEFT JOIN vocab v USING (id) GROUP BY t.doc
 """
 
 
-def _connect(ranks: str):
-    import duckdb
+class _Vocabulary:
+    """Of one worker: the database with the vocabulary; both directions share it."""
+
+    def __init__(self, ranks: str) -> None:
+        import duckdb
+
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
+        self.con.execute(VOCAB, [ranks])
 
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
-    con.execute(VOCAB, [ranks])
-    return con
+    def close(self) -> None:
+        self.con.close()
+
+
+def _vocabulary(ranks: str) -> _Vocabulary:
+    return held("bpe", ranks, lambda: _Vocabulary(ranks))
 
 
 class _Encoder:
@@ -124,8 +137,8 @@ class _Encoder:
     def __init__(self, ranks: str, pattern: str) -> None:
         import regex
 
-        self.con = _connect(ranks)
-        self.con.execute(MERGES)
+        self.con = _vocabulary(ranks).con
+        self.con.execute(MERGES.replace("CREATE TABLE", "CREATE TABLE IF NOT EXISTS"))
         singles = self.con.execute("SELECT bytes, id FROM vocab WHERE octet_length(bytes) = 1").fetchall()
         self.byte_ids = np.full(256, -1, np.int32)
         for b, i in singles:
@@ -196,13 +209,8 @@ class _Encoder:
         return ids
 
 
-_ENCODERS: dict[tuple[str, str], _Encoder] = {}
-
-
 def _encoder(ranks: str, pattern: str) -> _Encoder:
-    if (ranks, pattern) not in _ENCODERS:
-        _ENCODERS[ranks, pattern] = _Encoder(ranks, pattern)
-    return _ENCODERS[ranks, pattern]
+    return held("bpe", (ranks, pattern), lambda: _Encoder(ranks, pattern))
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -218,10 +226,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, keys: tuple[str, ...] = ("do
         encoder = _encoder(ranks, pattern)
         return lambda texts: [pa.array(encoder.encode([t or "" for t in texts]), pa.binary())]
 
-    return map_texts(df, keys, text, [T.StructField("ids", T.BinaryType())], make)
-
-
-_DECODERS: dict = {}
+    return map_texts(df, keys, text, [T.StructField("ids", T.BinaryType())], make, rows=BATCH_TEXTS, chars=BATCH_BYTES)
 
 
 def _decode_block(con, rows: list[tuple[int, np.ndarray]], out: list[bytes]) -> None:
@@ -246,18 +251,17 @@ def _decode_block(con, rows: list[tuple[int, np.ndarray]], out: list[bytes]) ->
 
 
 def _decoded(ranks: str, packed: list) -> list[bytes]:
-    if ranks not in _DECODERS:
-        _DECODERS[ranks] = _connect(ranks)
+    con = _vocabulary(ranks).con
     out: list[bytes] = [b""] * len(packed)
     block, size = [], 0
     for at, raw in enumerate(packed):
         one = np.frombuffer(raw or b"", "<u4")
         if block and size + len(one) > BLOCK_TOKENS:
-            _decode_block(_DECODERS[ranks], block, out)
+            _decode_block(con, block, out)
             block, size = [], 0
         block.append((at, one))
         size += len(one)
-    _decode_block(_DECODERS[ranks], block, out)
+    _decode_block(con, block, out)
     return out
 
 
@@ -281,4 +285,4 @@ def round_trip(df: DataFrame, ranks: str, pattern: str, keys: tuple[str, ...] =
 
         return work
 
-    return map_texts(df, keys, text, [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())], make)
+    return map_texts(df, keys, text, [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())], make, rows=BATCH_TEXTS, chars=BATCH_BYTES)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,12 +18,43 @@ BATCH_ROWS = 512
 BATCH_CHARS = 1 << 20
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut an Arrow batch so that no part holds more than BATCH_ROWS rows or, but for one long text, BATCH_CHARS."""
+_HELD: dict[tuple[str, Any], Any] = {}
+#: Modules that keep the same things.
+_TOGETHER = {"jaccard": "shingles", "decontaminate": "shingles"}
+
+
+def held(operator: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What this worker keeps from task to task for one operator; there is only ever one operator's (see `only_for`)."""
+    only_for(operator)
+    if (operator, key) not in _HELD:
+        _HELD[operator, key] = make()
+    return _HELD[operator, key]
+
+
+def only_for(operator: str) -> None:
+    """Let go of what this worker keeps for other operators: workers outlive their stages, and a pipeline has many."""
+    operator = _TOGETHER.get(operator, operator)
+    stale = [k for k in _HELD if k[0] != operator]
+    if not stale:
+        return
+    for k in stale:
+        close = getattr(_HELD.pop(k), "close", None)
+        if close is not None:
+            close()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:  # memory that was freed goes back to the machine, where the C library can do that
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def slices(batch: pa.RecordBatch, text: str, rows: int = BATCH_ROWS, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut an Arrow batch so that no part holds more than `rows` rows or, but for one long text, `chars` bytes of text."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start = size = 0
     for at, n in enumerate(lengths):
-        if at > start and (at - start >= BATCH_ROWS or size + n > BATCH_CHARS):
+        if at > start and (at - start >= rows or size + n > chars):
             yield batch.slice(start, at - start)
             start, size = at, 0
         size += int(n)
@@ -35,11 +69,13 @@ def map_texts(
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[list], Iterable[pa.Array]]],
     kind: str = "string",
+    rows: int = BATCH_ROWS,
+    chars: int = BATCH_CHARS,
 ) -> DataFrame:
     """The key columns as they are, and what a function makes of the text of each row.
 
     `make` is called once in each task and returns a function from a list of texts to one
-    Arrow array per field. Columns that are neither keys nor the text are not read, so
+    Arrow array per field; a list holds at most `rows` texts of `chars` bytes together. Columns that are neither keys nor the text are not read, so
     their names cannot clash; a key named like a result is an error.
     """
     clash = set(keys) & {f.name for f in fields}
@@ -50,9 +86,10 @@ def map_texts(
     picked = df.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)), F.col(f"`{text}`").cast(kind).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_for(make.__module__.rpartition(".")[2])
         work = make()
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", rows, chars):
                 made = list(work(part.column("t").to_pylist()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=schema.names)
 
@@ -72,17 +109,33 @@ def text_key(text: Column) -> Column:
     return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
 
 
+#: Parts into which rows of like count are told apart by a hash.
+TIE_PARTS = 4096
+
+
 def most_frequent(counts: DataFrame, size: int, n: str = "n") -> DataFrame:
-    """The rows with the largest counts, at most `size` of them; rows in one step of counts (1/16 of a doubling) stay together.
+    """The `size` rows with the largest counts, or all if there are fewer.
 
-    What comes to the driver is a histogram of steps, and no task sends more than it has of the result.
+    Counts are told apart by steps of 1/16 of a doubling; of the last step that does not fit as a whole, the
+    rows of least hash of their other columns are taken, so equal counts fill the list too. What
+    comes to the driver are histograms of steps and of TIE_PARTS parts of a step, and no task sends more than it has of the result.
     """
+    def fitting(rows: DataFrame, by: Column, room: int) -> tuple[int | None, int]:
+        """Down to which value whole groups fit (None: all), and the room that is left."""
+        for row in rows.groupBy(by.alias("by")).count().orderBy(F.desc("by")).collect():
+            if row["count"] > room:
+                return row["by"], room
+            room -= row["count"]
+        return None, room
+
     step = F.floor(F.log2(F.col(n)) * 16)
-    steps = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    least, held = None, 0
-    for row in steps:
-        held += row["count"]
-        if held > size:
-            break
-        least = row["step"]
-    return counts.where(step >= least) if least is not None else counts.limit(0)
+    split, room = fitting(counts, step, size)
+    if split is None:
+        return counts
+    whole, ties = counts.where(step > split), counts.where(step == split)
+    others = [F.col(f"`{c}`") for c, t in counts.dtypes if c != n and not t.startswith("map")]
+    order = F.xxhash64(*others)
+    part = F.pmod(order, F.lit(TIE_PARTS))
+    split, room = fitting(ties, part, room)
+    last = ties.where(part == split).orderBy(order, *others).limit(room)
+    return whole.unionByName(ties.where(part > split)).unionByName(last)

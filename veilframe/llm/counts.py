@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from veilframe.llm.common import map_texts
+from veilframe.llm.common import held, map_texts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -108,9 +108,6 @@ class _Counter(dict):
         return int(self.counts[at].sum()), float(self.scores[at].sum())
 
 
-_COUNTERS: dict[str, _Counter] = {}
-
-
 def token_counts(df: DataFrame, model: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The keys, `n_tokens` (long) and `score` (double) of the best segmentation of each text.
 
@@ -119,9 +116,7 @@ def token_counts(df: DataFrame, model: str, keys: tuple[str, ...] = ("doc_id",),
     """
 
     def make():
-        if model not in _COUNTERS:
-            _COUNTERS[model] = _Counter(Vocabulary(model))
-        counter = _COUNTERS[model]
+        counter = held("counts", model, lambda: _Counter(Vocabulary(model)))
 
         def work(texts: list) -> list[pa.Array]:
             made = [counter.total(t or "") for t in texts]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilframe.llm.common import map_texts, slices, written
-from veilframe.llm.shingles import _WORDS, mixed, words_of
+from veilframe.llm.shingles import mixed, word_hashes, words_of
 
 #: Words are hashed to so many columns, for document counts and for the latent space.
 COLUMNS = 1 << 18
@@ -37,8 +37,8 @@ BLOCK_PASSAGES = 32_768
 
 
 def hashed(text: str | None) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter((_WORDS[w] for w in words), np.uint64, len(words))
+    words, known = words_of(text), word_hashes()
+    return np.fromiter((known[w] for w in words), np.uint64, len(words))
 
 
 def columns_of(hashes: np.ndarray) -> np.ndarray:
@@ -319,10 +319,16 @@ def _searched(docs: DataFrame, index: Index, block: dict, keys: tuple[str, ...],
 
 
 def clean(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+    """The documents that hold no item, with all their columns, whatever their names.
+
+    Null and empty texts hold nothing and stay, repeated rows stay or go together, and without items all stay; an
+    empty table stays empty.
+    """
     names = docs.columns
+    coded = [f"column_{i}" for i in range(len(names))]
+    docs, text = docs.toDF(*coded), coded[names.index(text)]
     kind = T.StructType([T.StructField("item", index.item_type), T.StructField("common", T.DoubleType()), T.StructField("cosine", T.DoubleType()),
                          T.StructField("first_word", T.IntegerType()), T.StructField("end_word", T.IntegerType())])
     for block in index.blocks:
-        docs = _searched(docs, index, block, tuple(names), text, kind).where(F.size("held") == 0).select(*names)
-    return docs
+        docs = _searched(docs, index, block, tuple(coded), text, kind).where(F.size("held") == 0).select(*coded)
+    return docs.toDF(*names)

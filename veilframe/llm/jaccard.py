@@ -546,9 +546,12 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows without those whose component has a lesser key, and without repeated rows.
 
-    A key names a document: rows of one key stay or go together. Texts are not shuffled, but for
-    those that a bitmap of the keys that go, or are repeated, lets through.
+    A key names a document: rows of one key stay or go together; null is a key too. Texts are not shuffled, but for
+    those that a bitmap of the keys that go, or are repeated, lets through. Columns may have any names.
     """
+    names = docs.columns
+    coded = [f"column_{i}" for i in range(len(names))]
+    docs, key, text = docs.toDF(*coded), coded[names.index(key)], coded[names.index(text)]
     rows = written(components_of(docs, key, text, k, percent), "components")
     going = rows.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("going")).distinct()
     repeated = rows.groupBy(key).agg(F.count("*").alias("times")).where("times > 1").select(F.col(key).alias("going"))
@@ -560,4 +563,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     once = apart.join(repeated, own.eqNullSafe(F.col("going")), "left_anti")
     mark = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
     single = twice.withColumn("__mark", mark).dropDuplicates([key, "__mark"]).drop("__mark")
-    return clear.unionByName(once).unionByName(single)
+    return clear.unionByName(once).unionByName(single).toDF(*names)

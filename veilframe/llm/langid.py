@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from veilframe.llm.common import map_texts, most_frequent, slices, written
+from veilframe.llm.common import map_texts, most_frequent, only_for, slices, written
 
 VOCABULARY = 40_000
 TRIGRAMS = 40_000
@@ -72,6 +72,7 @@ def _trigrams(word: str) -> list[str]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, lang, token, n) from (lang, t): words, trigrams, and letters by script."""
+    only_for("langid")
     counts: dict[str, Counter] = defaultdict(Counter)
 
     def flushed() -> pa.RecordBatch:
@@ -142,18 +143,18 @@ class _Scorer:
     """The scores of words; keeps those met of late as rows of a matrix."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.places, self.matrix = model, {}, np.zeros((0, len(model.langs)))
+        self.model, self.places, self.matrix, self.known = model, {}, np.zeros((0, len(model.langs))), np.zeros(0)
 
     def learn(self, lists: list[list[str]]) -> None:
         """Make rows for the new words of a block of texts."""
         if len(self.places) > CACHE_WORDS:
-            self.places, self.matrix = {}, self.matrix[:0]
+            self.places, self.matrix, self.known = {}, self.matrix[:0], self.known[:0]
         new = [w for w in set().union(*lists) if w not in self.places]
         if not new:
             return
         model = self.model
         other = len(model.trigrams)
-        scores = np.empty((len(new), len(model.langs)))
+        scores, known = np.empty((len(new), len(model.langs))), np.ones(len(new))
         flat: list[int] = []
         starts, rare = [], []
         for i, word in enumerate(new):
@@ -168,10 +169,13 @@ class _Scorer:
                 scores[i] = model.word_scores[at]
         if rare:
             scores[rare] = np.add.reduceat(model.trigram_scores[flat], starts)
+            seen = np.add.reduceat((np.array(flat) < other).astype(float), starts)
+            known[rare] = seen / np.diff([*starts, len(flat)])
         every = np.ones(len(model.langs), bool)
         allowed = np.stack([model.scripts.get(script_of(w), every) for w in new])
         scores = np.where(allowed, scores, -np.inf)
         self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        self.known = np.concatenate((self.known, np.where(allowed.any(1), known, 0.0)))
         self.matrix = np.concatenate((self.matrix, np.maximum(scores - scores.max(1, keepdims=True), -WORD_LIMIT)))
 
 
@@ -207,34 +211,38 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 _ARROW_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
 
-def _label(text: str | None, words: list[str], scorer: _Scorer) -> tuple[str, float, list[dict]]:
+def _label(text: str | None, words: list[str], scorer: _Scorer) -> tuple[str, float, list[dict], float]:
     langs = scorer.model.langs
     if not words or not langs:
-        return "und", 0.0, []
-    scores = scorer.matrix[np.fromiter(map(scorer.places.__getitem__, words), np.int64, len(words))]
+        return "und", 0.0, [], 0.0
+    places = np.fromiter(map(scorer.places.__getitem__, words), np.int64, len(words))
+    scores = scorer.matrix[places]
     path = viterbi(scores)
     letters = np.fromiter(map(len, words), np.int64, len(words))
+    known = float((scorer.known[places] * letters).sum() / letters.sum())
     cover = np.bincount(path, letters, len(langs))
     top = int(cover.argmax())
     total = scores[path == top].sum(0)
     sure = 1 / np.exp(np.maximum(total - total[top], -50)).sum()
     changes = np.flatnonzero(path[1:] != path[:-1]) + 1
     if not len(changes):  # no word runs on at its ends, so the first and last words are where their letters are first and last
-        return langs[top], float(sure), [{"start": text.index(words[0]), "end": text.rindex(words[-1]) + len(words[-1]), "lang": langs[top]}]
+        return langs[top], float(sure), [{"start": text.index(words[0]), "end": text.rindex(words[-1]) + len(words[-1]), "lang": langs[top]}], known
     places = [m.span() for m in WORD.finditer(text) if any(map(str.isalpha, m.group()))]
     cuts = [0, *changes.tolist(), len(words)]
     spans = [{"start": places[a][0], "end": places[b - 1][1], "lang": langs[path[a]]} for a, b in zip(cuts, cuts[1:])]
-    return langs[top], float(cover[top] / cover.sum() * sure), spans
+    return langs[top], float(cover[top] / cover.sum() * sure), spans, known
 
 
 def identify(df: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The keys, `lang_pred`, `score` (0 to 1) and `lang_spans` (start, end, lang; code points) of each text.
+    """The keys, `lang_pred`, `score` (0 to 1), `lang_spans` (start, end, lang; code points) and `known` of each text.
 
-    The score is the share of letters in spans of the language, times how sure these spans are.
+    The score is the share of letters in spans of the language, times how sure these spans are: it compares the
+    model's languages with one another. `known` (0 to 1) does not: it is the share of letters in words that the model has
+    met, where an unmet word counts by the share of its trigrams that it has met; a text in none of the languages has little of it.
     Null texts, texts without letters and a model without languages give `und`, score 0 and no
     spans. Nothing but the text goes into a prediction; other columns are ignored.
     """
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_spans", T.ArrayType(SPAN))]
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_spans", T.ArrayType(SPAN)), T.StructField("known", T.DoubleType())]
 
     def make():
         scorer = _Scorer(model)
@@ -244,7 +252,7 @@ def identify(df: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",), t
             if model.langs:
                 scorer.learn(lists)
             made = [_label(t, words, scorer) for t, words in zip(texts, lists)]
-            return [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.list_(_ARROW_SPAN))]
+            return [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.list_(_ARROW_SPAN)), pa.array([m[3] for m in made], pa.float64())]
 
         return work
 

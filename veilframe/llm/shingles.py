@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from veilframe.llm.common import held
+
 CACHE_WORDS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -25,7 +27,8 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
+def word_hashes() -> _Words:
+    return held("shingles", "words", _Words)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,7 +52,8 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.nd
     """Hashes (ascending within each text, without repeats) and the place where each text's begin, plus the end."""
     lists = [words_of(t) for t in texts]
     counts = np.array([len(x) for x in lists], np.int64)
-    hashes = np.fromiter((_WORDS[w] for x in lists for w in x), np.uint64, int(counts.sum()))
+    known = word_hashes()
+    hashes = np.fromiter((known[w] for x in lists for w in x), np.uint64, int(counts.sum()))
     return sets_of_hashes(hashes, counts, k)
 
 
