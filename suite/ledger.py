@@ -6,9 +6,9 @@ from pyspark.sql import SparkSession, functions as F
 
 from suite import data as d, sqlgen as g
 from suite.detect import CLIENT_CTES, CORPUS, joined
-from suite.redaction import FACTS, GATEWAY, T
+from suite.redaction import FACTS, GATEWAY, PREFIX_SQL, T, numbered
 from suite.registry import query
-from veilframe.lineage import shared_folder
+from veilframe.lineage import cut_lineage, shared_folder
 from veilframe.functions.language import vendor_of
 from veilframe.functions.checksums import luhn_valid, register_validator
 from veilframe.operators import audit as a, entities as ent, ocr
@@ -43,10 +43,10 @@ def s1(spark, sf):
 
 
 @query("s2_chat_payload",
-       f"WITH c AS ({d.SQL_CHAT}) SELECT conv_id, turn, role, text FROM c WHERE role <> 'system'")
+       f"WITH c AS ({d.SQL_CHAT}) SELECT conv_id, turn, role, text FROM c")
 def s2(spark, sf):
     """Request bodies made of each turn, half with plain content and half with parts."""
-    turns = d.chat(spark, sf).filter("role <> 'system'")
+    turns = d.chat(spark, sf)
     plain = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content")))
                                .alias("messages")))
     part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
@@ -97,32 +97,41 @@ def s3(spark, sf):
        "count(*) AS n, CAST(sum(tokens_redacted_count) AS BIGINT) AS tokens FROM a GROUP BY 1")
 def s6(spark, sf):
     path = scratch(spark)
-    half = d.audit(spark, sf)
-    ledger_source.append_audit(half.filter(F.col("tokens_redacted_count") % 2 == 0), path)
-    ledger_source.append_audit(half.filter(F.col("tokens_redacted_count") % 2 == 1), path)
+    records = d.audit(spark, sf)
+    even = records.filter(F.col("tokens_redacted_count") % 2 == 0)
+    for batch in (even, records, even):  # what is there already is not added again
+        ledger_source.append_audit(batch, path)
     return spark.read.parquet(path).groupBy(
         F.col("audit_date").cast("string").alias("audit_date")).agg(
         F.count("*").alias("n"), F.sum("tokens_redacted_count").alias("tokens"))
 
 
-@query("s7_json_export",
-       f"{AUDIT} SELECT id, client_identifier, sanitized_prompt, tokens_redacted_count FROM a")
+LEDGER_COLUMNS = ("id, client_identifier, sanitized_prompt, tokens_redacted_count, types, upstream_model, "
+                  "proxy_latency_ms, " + TS.format(c="created_at") + " AS created_at")
+
+
+@query("s7_json_export", f"{AUDIT} SELECT {LEDGER_COLUMNS} FROM a")
 def s7(spark, sf):
     path = scratch(spark)
-    ledger_source.export_json(d.audit(spark, sf), path)
-    return spark.read.schema("id string, client_identifier string, sanitized_prompt string, "
-                             "tokens_redacted_count int").json(path)
+    records = d.audit(spark, sf)
+    ledger_source.export_json(records, path)
+    back = spark.read.schema(records.schema).json(path)
+    return back.withColumns({"types": joined("pii_types_detected"), "created_at": clock("created_at")}).drop(
+        "pii_types_detected")
 
 
 @query("s8_csv_export",
-       f"{AUDIT} SELECT id AS \"ID\", types AS \"PII Types\", upstream_model AS \"Upstream Model\", "
-       "sanitized_prompt AS \"Sanitized Prompt\" FROM a")
+       f"WITH q AS ({AUDIT} SELECT {LEDGER_COLUMNS} FROM a) SELECT id AS \"ID\", created_at AS \"Timestamp\", "
+       "client_identifier AS \"Client IP\", types AS \"PII Types\", tokens_redacted_count AS \"Tokens Redacted\", "
+       "proxy_latency_ms AS \"Latency (ms)\", upstream_model AS \"Upstream Model\", sanitized_prompt AS "
+       "\"Sanitized Prompt\" FROM q")
 def s8(spark, sf):
     path = scratch(spark)
     ledger_source.export_csv(d.audit(spark, sf), path)
     back = (spark.read.option("header", True).option("escape", '"').csv(path))
-    return back.select("ID", F.coalesce("PII Types", F.lit("")).alias("PII Types"),
-                       "Upstream Model", "Sanitized Prompt")
+    return back.withColumns({
+        "PII Types": F.coalesce("PII Types", F.lit("")), "Timestamp": clock(F.to_timestamp("Timestamp")),
+        "Tokens Redacted": F.col("Tokens Redacted").cast("int"), "Latency (ms)": F.col("`Latency (ms)`").cast("double")})
 
 
 OCR_LINES = (
@@ -163,6 +172,35 @@ def w6(spark, sf):
         "doc_id", "first_pos", "type", "text")
 
 
+#: One text for each order: the tagged words one after the other, in few forms, so that most come again.
+SQL_MENTIONS = (
+    "SELECT doc_id, pos, entity, substr(entity, 3) AS type, concat('N', cast(n AS VARCHAR)) AS word, 2 + "
+    "length(cast(n AS VARCHAR)) AS width FROM (SELECT l_orderkey AS doc_id, l_linenumber * 10000000000 + l_suppkey * 1000000 + l_partkey AS pos, "
+    "concat(CASE WHEN l_suppkey % 3 = 0 THEN 'B-' ELSE 'I-' END, CASE l_partkey % 3 WHEN 0 THEN 'PER' WHEN 1 THEN "
+    "'LOC' ELSE 'ORG' END) AS entity, l_partkey % 4 AS n FROM lineitem) q")
+
+
+@query("w6_entity_offsets",
+       f"WITH t AS ({SQL_MENTIONS}), a AS (SELECT *, CASE WHEN starts_with(entity, 'B-') OR lag(type) OVER w IS "
+       "DISTINCT FROM type THEN 1 ELSE 0 END AS st, coalesce(sum(width) OVER (PARTITION BY doc_id ORDER BY pos, word "
+       "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY "
+       "pos, word)), b AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY pos, word ROWS UNBOUNDED PRECEDING) AS "
+       "isl FROM a) SELECT doc_id, min(pos) AS first_pos, CAST(min(s) AS INT) AS start_at, CAST(max(s + width - 1) AS "
+       "INT) AS end_at FROM b GROUP BY doc_id, isl")
+def w6_offsets(spark, sf):
+    """The k-th mention of a name takes its k-th place in the text."""
+    tags = d.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 10000000000 + F.col("l_suppkey") * 1000000 + F.col("l_partkey")).alias("pos"),
+        F.concat(F.lit("N"), (F.col("l_partkey") % 4).cast("string")).alias("word"),
+        F.concat(F.when(F.col("l_suppkey") % 3 == 0, "B-").otherwise("I-"), F.element_at(
+            F.array(F.lit("PER"), F.lit("LOC"), F.lit("ORG")), (F.col("l_partkey") % 3 + 1).cast("int"))).alias("entity"),
+        F.lit(None).cast("double").alias("score"))
+    texts = tags.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("pos", "word"))), lambda t: t["word"]), " ").alias("text"))
+    return ent.place_entities(ent.group_tags(tags, ["doc_id"]), texts, ["doc_id"]).select(
+        "doc_id", "first_pos", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
 @query("a13_entity_scores",
        f"{TAGS} SELECT doc_id, min(pos) AS first_pos, string_agg(regexp_replace(word, '^##', ''), '' "
        "ORDER BY pos, word) AS text, round(avg(coalesce(score, 0.95)) * 100, 1) AS confidence FROM b "
@@ -267,7 +305,12 @@ def a12_rows(spark, sf):
        "sanitized_prompt), 'click') OR contains(lower(client_identifier), 'click') OR "
        "contains(lower(upstream_model), 'click')) ORDER BY a.created_at DESC, id LIMIT 50 OFFSET 20")
 def w3(spark, sf):
-    return a.ledger_page(d.audit(spark, sf), 50, 20, "EMAIL", "CLICK").select(
+    """The page behind the first 20 records, by a cursor, from a ledger with a folder for each day."""
+    path = scratch(spark)
+    ledger_source.append_audit(d.audit(spark, sf), path)
+    ledger = spark.read.parquet(path)
+    after = a.page_cursor(ledger, 20, "EMAIL", "CLICK")
+    return a.ledger_page(ledger, 50, "EMAIL", "CLICK", after).select(
         "id", clock("created_at").alias("created_at"), "client_identifier")
 
 
@@ -375,37 +418,51 @@ def as_stream(spark, sf, name):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
+CHAT_BASE = 2 * d.PROMPT_BASE
+SQL_STREAMED = (f"{d.SQL_CORPUS} UNION ALL SELECT {CHAT_BASE} + conv_id * 1000 + turn AS doc_id, '' AS session, text "
+                "FROM conversations")
+
+
 @query("t1_prompt_stream",
-       f"{CORPUS.replace(d.SQL_CORPUS, d.SQL_PROMPTS)}, {GATEWAY[len(CORPUS) + 2:]}, {FACTS} SELECT "
-       "doc_id, CASE WHEN contains(lower(text), 'projectmanhattan') THEN 'BLOCKED' ELSE "
-       f"{T['action']} END AS action, n_values FROM x")
+       f"{CORPUS.replace(d.SQL_CORPUS, SQL_STREAMED)}, {GATEWAY[len(CORPUS) + 2:]}, {numbered(PREFIX_SQL)}, "
+       f"o AS ({g.splice('corpus', 'z')}), {FACTS}, b AS (SELECT *, contains(lower(text), 'projectmanhattan') AS "
+       f"blocked FROM x) SELECT b.doc_id, CASE WHEN blocked THEN 'BLOCKED' ELSE {T['action']} END AS action, CASE WHEN "
+       f"NOT blocked THEN {T['score']} END AS risk_score, n_values, o.out AS sanitized_text FROM b JOIN o ON "
+       "o.doc_id = b.doc_id")
 def t1(spark, sf):
+    """Documents, prompts made of orders and the turns of conversations, as one stream."""
     path = scratch(spark)
     orders = as_stream(spark, sf, "orders").select(
         (F.col("o_orderkey") + d.PROMPT_BASE).alias("doc_id"),
         F.expr(d.PROMPT_TEXT).alias("text"))
-    finish(sp.decide_prompts(orders).select("doc_id", "action", "n_values"), path)
+    documents = as_stream(spark, sf, "documents").select("doc_id", "text")
+    turns = as_stream(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn") + CHAT_BASE).alias("doc_id"), "text")
+    stream = orders.unionByName(documents).unionByName(turns)
+    names = ["doc_id", "action", "risk_score", "n_values", "sanitized_text"]
+    finish(sp.decide_prompts(stream).select(*names), path)
     return spark.read.parquet(path).withColumn("n_values", F.col("n_values").cast("bigint"))
 
 
 @query("t2_receipt_stream", f"{RECEIPTS} {NORMAL_SQL}")
 def t2(spark, sf):
     path = scratch(spark)
-    good, bad = sp.split_receipts(d.receipts_from(as_stream(spark, sf, "events")))
-    finish(good, path)
-    finish(bad, path + "-rejected")
-    return normal(spark.read.parquet(path))
+    sp.ingest_receipts(d.receipts_from(as_stream(spark, sf, "events")), path, path + "-state").awaitTermination()
+    return normal(spark.read.parquet(path + "/accepted"))
+
 
+PAYLOAD = "strlen(CAST(to_json(struct_pack(event_id := event_id, props := props)) AS VARCHAR)) > 35"
 
-@query("t2_rejected_receipts",
-       "SELECT event_id, strlen(CAST(to_json(struct_pack(event_id := event_id, props := props)) AS "
-       "VARCHAR)) > 35 AS rejected FROM events WHERE strlen(CAST(to_json(struct_pack(event_id := "
-       "event_id, props := props)) AS VARCHAR)) > 35")
+
+@query("t2_rejected_receipts", f"SELECT event_id, {PAYLOAD} AS rejected FROM events")
 def t2_rejected(spark, sf):
+    """Both sinks of one run: every event is in one of them."""
     path = scratch(spark)
     slim = as_stream(spark, sf, "events").select("event_id", "props")
-    finish(rc.rejected(slim, limit=35), path)
-    return spark.read.parquet(path).select("event_id", F.lit(True).alias("rejected"))
+    sp.ingest_receipts(slim, path, path + "-state", limit=35, normal=False).awaitTermination()
+    sinks = [spark.read.parquet(f"{path}/{name}").select("event_id", F.lit(name == "rejected").alias("rejected"))
+             for name in ("accepted", "rejected")]
+    return sinks[0].unionByName(sinks[1])
 
 
 @query("t3_running_counters", f"{RECEIPTS} SELECT coalesce(language, '') AS language, {COUNTERS_SQL} "
@@ -429,37 +486,50 @@ def t3(spark, sf):
 def t4(spark, sf):
     path = scratch(spark)
     days = sp.windowed_counts(as_stream(spark, sf, "events"), "ts", "1 day")
+    sp.upsert_counts(days, path, path + "-state").awaitTermination()
+    return spark.read.schema("window_end timestamp, n long, window_start timestamp").parquet(path).select(
+        clock("window_start").alias("window_start"), "n")
 
-    def write(batch, number):
-        batch.write.mode("overwrite").parquet(f"{path}/latest")
-    (days.writeStream.outputMode("complete").foreachBatch(write)
-     .option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
-     .awaitTermination())
-    return spark.read.parquet(f"{path}/latest").select(clock("window_start").alias("window_start"),
-                                                       "n")
+
+#: Replies that lack their end mark, and those whose lines come out of order and over two triggers.
+UNENDED, SCATTERED = "doc_id % 10 = 3", "doc_id % 8 = 0"
 
 
 @query("t5_reply_stream",
-       f"WITH corpus AS ({d.SQL_PROMPTS}) SELECT CAST(doc_id AS VARCHAR) AS stream_id, text FROM "
-       "corpus")
+       f"WITH corpus AS ({SQL_STREAMED}) SELECT CAST(doc_id AS VARCHAR) AS stream_id, text FROM corpus WHERE text <> ''")
 def t5(spark, sf):
-    """Sanitised prompts streamed back in small chunks, restored across chunk borders."""
+    """Sanitised documents, prompts and turns streamed back in small chunks, restored across chunk borders.
+
+    Some replies never end, and the odd lines of some come a trigger before the even ones.
+    """
     from veilframe.plans.gateway import gateway_scan
 
     path = scratch(spark)
-    done = gateway_scan(d.prompts(spark, sf)).select(
-        F.col("doc_id").cast("string").alias("stream_id"), F.col("sanitized_text").alias("text"),
-        "token_map")
+    turns = d.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn") + CHAT_BASE).alias("doc_id"), "text")
+    texts = d.corpus(spark, sf).select("doc_id", "text").unionByName(turns)
+    done = gateway_scan(texts).select("doc_id", F.col("sanitized_text").alias("text"), "token_map")
     done.write.parquet(path + "-masked")
     masked = spark.read.parquet(path + "-masked")
-    event_lines(masked).write.parquet(path + "-lines")
-    tokens = masked.select("stream_id", F.explode("token_map").alias("placeholder", "original"))
-    lines = spark.readStream.schema("stream_id string, seq int, line string").parquet(
-        path + "-lines")
-    sr.rehydrate_stream(lines, tokens, path, path + "-state").awaitTermination()
+    lines = event_lines(masked, "doc_id").filter(f"NOT ({UNENDED} AND line = 'data: [DONE]')").withColumn(
+        "early", F.expr(f"NOT ({SCATTERED}) OR seq % 2 = 1")).select(
+        F.col("doc_id").cast("string").alias("stream_id"), "seq", "line", "early")
+    lines = cut_lineage(lines)
+    tokens = masked.select(F.col("doc_id").cast("string").alias("stream_id"),
+                           F.explode("token_map").alias("placeholder", "original"))
+    # A line that only says that the connection lives, an hour later: by then silent replies are closed.
+    alive = spark.range(1).select(F.lit("").alias("stream_id"), F.lit(0).alias("seq"), F.lit(": keep-alive").alias("line"),
+                                  F.lit(False).alias("early"), F.lit(3600).alias("second"))
+    second = F.when(F.col("early"), 0).otherwise(1)
+    arrived = lines.withColumn("second", second).unionByName(alive).withColumn(
+        "arrived", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("second"))).drop("second")
+    for early in (True, False):  # the second run goes on from the first one's checkpoint
+        arrived.filter(F.col("early") == early).drop("early").write.mode("append").parquet(path + "-lines")
+        source = spark.readStream.schema("stream_id string, seq int, line string, arrived timestamp").parquet(
+            path + "-lines")
+        sr.rehydrate_stream(source, tokens, path, path + "-state", time="arrived").awaitTermination()
     pieces = F.array_sort(F.collect_list(F.struct("seq", "rehydrated")))
     return spark.read.parquet(path).groupBy(F.col("stream_id").cast("string").alias("stream_id")
                                             ).agg(F.array_join(F.transform(
                                                 pieces, lambda p: p["rehydrated"]), "")
                                                 .alias("text"))
-

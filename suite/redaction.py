@@ -22,10 +22,10 @@ from veilframe.operators.redact import (
 from veilframe.operators.rehydrate import (
     merge_token_maps, rehydrate, rehydrate_from_map, rehydrate_json,
 )
-from veilframe.operators.spans import entity_spans
+from veilframe.operators.spans import entity_spans, knowledge_tokens
 from veilframe.operators.substrings import check_outgoing, find_leaks
 from veilframe.operators.tokens import (
-    apply_placeholders, assign_placeholders, gateway_placeholder, span_rows,
+    apply_placeholders, assign_placeholders, continue_session, gateway_placeholder, span_rows,
 )
 from veilframe.plans.client import client_scan, combined_scan, with_client_spans, with_entities
 from veilframe.plans.conversation import (
@@ -124,8 +124,9 @@ def session_ctes(kept: str, kind_sql: str, scope: str = "session", order: str =
         f"y AS (SELECT {scope}, v, far, s, {kind_sql.format(t='type')} AS kind FROM (SELECT {scope}, "
         f"v, {order} AS far, s, upper(regexp_replace(type, '^NER_', '')) AS type, row_number() OVER "
         f"(PARTITION BY {scope}, v ORDER BY {order}, s DESC) AS r FROM w) q WHERE r = 1), "
-        f"m AS MATERIALIZED (SELECT {scope}, v, kind, n, {style} AS ph FROM (SELECT {scope}, v, "
-        f"kind, row_number() OVER (PARTITION BY {scope}, kind ORDER BY far, s DESC) AS n FROM y) q)")
+        f"m AS MATERIALIZED (SELECT {scope}, v, kind, n, issued, {style} AS ph FROM (SELECT {scope}, v, "
+        f"kind, row_number() OVER (PARTITION BY {scope}, kind ORDER BY far, s DESC) AS n, row_number() OVER "
+        f"(PARTITION BY {scope} ORDER BY far, s DESC) AS issued FROM y) q)")
 
 
 CLIENT_ROWS = ("SELECT k.doc_id, c.session, k.k.s AS s, k.k.e AS e, k.k.v AS v, k.k.type AS type "
@@ -147,6 +148,22 @@ def r3_tokens(spark, sf):
     return session_tokens(spark, sf)[1].select("session", "placeholder", "original")
 
 
+SHARED = f"{CLIENT_CTES}, {session_ctes(CLIENT_ROWS.replace('c.session', 'c.doc_id % 3 AS session'), KIND_SQL)}"
+
+
+@query("r3_session_append",
+       f"{SHARED} SELECT session, ph AS placeholder, v AS original, n, issued FROM m")
+def r3_append(spark, sf):
+    """Three sessions over documents and then prompts, the prompts twice: as one run over all of them."""
+    found = with_client_spans(d.corpus(spark, sf)).withColumn("session", F.col("doc_id") % 3)
+    rows = cut_lineage(span_rows(found, ["doc_id", "session"]))
+    path = shared_folder(spark)
+    early, late = rows.filter(F.col("doc_id") < d.PROMPT_BASE), rows.filter(F.col("doc_id") >= d.PROMPT_BASE)
+    for batch in (early, late, late):
+        tokens = continue_session(batch, path, ["session"], "doc_id")
+    return tokens.select("session", "placeholder", "original", "n", "issued")
+
+
 @query("r3_session_redaction",
        f"{SESSION}, {SESSION_KEPT}, o AS ({g.splice('corpus', 'sk')}) "
        "SELECT doc_id, out AS sanitized_text FROM o")
@@ -185,13 +202,16 @@ def r4(spark, sf):
 
 
 @query("r5_explained_items",
-       f"{staged(EXPLAINED_STAGES)} SELECT doc_id, text AS sanitized, CAST(n AS INT) AS n_items, "
-       "CAST(n AS INT) AS n_explained "
-       f"FROM c{len(EXPLAINED_STAGES)}")
+       f"{staged(EXPLAINED_STAGES)}, it AS (" + " UNION ALL ".join(
+           f"SELECT h{i}.doc_id, {i} AS stage, s, {g.quote(stage[2])} AS type, v, {g.quote(stage[3])} AS why FROM h{i}"
+           for i, stage in enumerate(EXPLAINED_STAGES)) + "), ag AS (SELECT doc_id, string_agg(type || '=' || v || '(' || "
+       "why || ')', ';' ORDER BY stage, s) AS items FROM it GROUP BY doc_id) "
+       "SELECT c.doc_id, text AS sanitized, CAST(n AS INT) AS n_items, coalesce(ag.items, '') AS items "
+       f"FROM c{len(EXPLAINED_STAGES)} c LEFT JOIN ag ON ag.doc_id = c.doc_id")
 def r5(spark, sf):
     df = sequential_counter(d.corpus(spark, sf), "text", EXPLAINED_STAGES)
-    return df.select("doc_id", "sanitized", "n_items", F.size(F.filter(
-        "items", lambda i: F.length(i["explanation"]) > 20)).alias("n_explained"))
+    return df.select("doc_id", "sanitized", "n_items", joined(F.transform("items", lambda i: F.concat(
+        i["type"], F.lit("="), i["original"], F.lit("("), i["explanation"], F.lit(")")))).alias("items"))
 
 
 def _fallback_sql():
@@ -302,7 +322,7 @@ def r12(spark, sf):
 @query("r12_outgoing_check",
        f"{SESSION}, {SESSION_KEPT}, o AS ({g.splice('corpus', 'sk')}), q AS (SELECT o.doc_id, "
        "c.session, o.out AS text FROM o JOIN corpus c ON c.doc_id = o.doc_id), l AS (SELECT "
-       "doc_id, count(*) AS n, arg_min(m.v, m.ph) AS v FROM q JOIN m ON m.session = q.session AND "
+       "doc_id, count(*) AS n, arg_min(m.v, m.issued) AS v FROM q JOIN m ON m.session = q.session AND "
        "contains(q.text, m.v) GROUP BY doc_id) SELECT q.doc_id, l.n IS NULL AS safe, l.v AS "
        "leaked_token FROM q LEFT JOIN l ON l.doc_id = q.doc_id")
 def r12_check(spark, sf):
@@ -332,23 +352,23 @@ def s5(spark, sf):
 
 
 WORDS = r"\b[A-Za-z0-9_.\-]{3,}\b"
-KNOWN = ("kb AS MATERIALIZED (SELECT DISTINCT lower(substr(text, 1, 3)) AS token, 'START' AS label "
-         "FROM documents WHERE regexp_full_match(lower(substr(text, 1, 3)), '[a-z]{3}'))")
+#: A list of whole tokens from whole texts: those of a quarter of all checksums.
+KNOWN = (f"kb AS MATERIALIZED (SELECT DISTINCT v AS token, 'LISTED' AS label FROM ({g.spans_of(WORDS)}) w "
+         "WHERE substr(md5(v), 1, 1) IN ('0', '1', '2', '3'))")
 
 
-def opening_words(spark, sf):
-    """A knowledge base taken from the texts: their first three letters."""
-    first = F.lower(F.substring("text", 1, 3)).alias("token")
-    return (d.table(spark, sf, "documents").select(first)
-            .filter(F.col("token").rlike("^[a-z]{3}$")).distinct()
-            .withColumn("label", F.lit("START")))
+def listed_words(spark, sf):
+    """A knowledge base of whole tokens taken from the texts themselves."""
+    words = d.corpus(spark, sf).select(F.explode(F.array_distinct(knowledge_tokens(F.col("text")))).alias("token"))
+    return words.distinct().filter(F.substring(F.md5("token"), 1, 1).isin(*"0123")).withColumn(
+        "label", F.lit("LISTED"))
 
 
 @query("j1_knowledge_lookup",
        f"{CORPUS}, {KNOWN}, f AS ({g.spans_of(WORDS)}) SELECT doc_id, s, v AS value, label "
        "FROM f JOIN kb ON kb.token = f.v")
 def j1(spark, sf):
-    return knowledge_matches(d.corpus(spark, sf), opening_words(spark, sf), ["doc_id"]).select(
+    return knowledge_matches(d.corpus(spark, sf), listed_words(spark, sf), ["doc_id"]).select(
         "doc_id", F.col("start").alias("s"), "value", "label")
 
 
@@ -356,7 +376,7 @@ def j1(spark, sf):
        f"{CORPUS}, {KNOWN}, f AS ({g.spans_of(WORDS)}) SELECT doc_id, count(*) AS n_spans FROM f "
        "JOIN kb ON kb.token = f.v GROUP BY doc_id")
 def j1_spans(spark, sf):
-    matches = knowledge_matches(d.corpus(spark, sf), opening_words(spark, sf), ["doc_id"])
+    matches = knowledge_matches(d.corpus(spark, sf), listed_words(spark, sf), ["doc_id"])
     return matches_as_spans(matches, ["doc_id"]).select(
         "doc_id", F.size("external").cast("bigint").alias("n_spans"))
 
@@ -375,13 +395,14 @@ def j2(spark, sf):
 
 
 @query("j2_keyword_table",
-       f"{CORPUS}, kw AS (SELECT DISTINCT p_name AS keyword FROM part UNION SELECT DISTINCT "
-       "substr(text, 1, 12) FROM documents) SELECT doc_id, keyword FROM corpus JOIN kw ON "
+       f"{CORPUS}, f AS ({g.spans_of(WORDS)}), kw AS (SELECT DISTINCT p_name AS keyword FROM part UNION SELECT "
+       "DISTINCT v FROM f WHERE substr(md5(v), 1, 2) IN ('00', '01')) SELECT doc_id, keyword FROM corpus JOIN kw ON "
        "contains(lower(text), lower(keyword))")
 def j2_table(spark, sf):
     names = d.table(spark, sf, "part").select(F.col("p_name").alias("keyword"))
-    starts = d.table(spark, sf, "documents").select(F.substring("text", 1, 12).alias("keyword"))
-    listed = names.unionByName(starts).distinct().withColumn("ord", F.lit(0))
+    words = d.corpus(spark, sf).select(F.explode(F.array_distinct(knowledge_tokens(F.col("text")))).alias("keyword"))
+    words = words.filter(F.substring(F.md5("keyword"), 1, 2).isin("00", "01"))
+    listed = cut_lineage(names.unionByName(words).distinct().withColumn("ord", F.lit(0)))
     return keyword_hits(d.corpus(spark, sf), listed, ["doc_id"]).select("doc_id", "keyword")
 
 
@@ -460,7 +481,7 @@ MODEL_ENTITIES = (f"me AS (SELECT doc_id, k.s AS s, k.e + (k.s % 2) AS e, CASE W
        "FROM k WHERE NOT EXISTS (SELECT 1 FROM me WHERE me.doc_id = k.doc_id AND ((me.s = k.k.s "
        "AND me.e = k.k.e) OR (me.s <= k.k.s AND me.e >= k.k.e AND me.type = k.k.type)))")
 def j5(spark, sf):
-    found = span_rows(with_entities(d.corpus(spark, sf)), ["doc_id"], "entities")
+    found = cut_lineage(span_rows(with_entities(d.corpus(spark, sf)), ["doc_id"], "entities"))
     model = found.filter("start % 4 <> 0").select(
         "doc_id", "start", (F.col("end") + F.col("start") % 2).alias("end"),
         F.when(F.col("start") % 3 == 0, "LOC").otherwise(F.col("type")).alias("type"))
@@ -494,7 +515,7 @@ BOTH = (f"{CLIENT_CTES.replace(', k AS MATERIALIZED', ', ck AS MATERIALIZED')},
        f"{BOTH} SELECT doc_id, en.k.type AS type, en.k.v AS value, en.k.s AS s FROM k en WHERE "
        f"{FREE_ENTITIES}")
 def j6(spark, sf):
-    df = with_entities(with_client_spans(d.corpus(spark, sf)))
+    df = cut_lineage(with_entities(with_client_spans(d.corpus(spark, sf))).select("doc_id", "spans", "entities"))
     entities = span_rows(df, ["doc_id"], "entities")
     spans = span_rows(df, ["doc_id"]).select("doc_id", "start", "end")
     return ent.drop_overlapping_rows(entities, spans, ["doc_id"]).select(
@@ -557,14 +578,39 @@ def c1(spark, sf):
 
 @query("c2_gateway_pipeline",
        f"{GATEWAY}, {numbered(PREFIX_SQL)}, o AS ({g.splice('corpus', 'z')}), "
-       f"y AS ({g.types_sql('k')}) SELECT o.doc_id, o.out AS sanitized_text, coalesce(y.types, '') "
-       "AS types, coalesce(y.n_values, 0) AS n_values, coalesce(y.n_spans, 0) AS n_spans FROM o "
-       "LEFT JOIN y ON y.doc_id = o.doc_id")
+       f"y AS ({g.types_sql('k')}), mt AS (SELECT doc_id, string_agg(concat_ws('|', k.type, k.label, k.v, k.s, k.e), "
+       "';' ORDER BY k.s) AS matches FROM z GROUP BY doc_id), tm AS (SELECT doc_id, string_agg(ph || '=' || v, ';' "
+       "ORDER BY ph) AS tokens FROM t GROUP BY doc_id) SELECT o.doc_id, o.out AS sanitized_text, coalesce(y.types, '') "
+       "AS types, coalesce(y.n_values, 0) AS n_values, coalesce(y.n_spans, 0) AS n_spans, coalesce(mt.matches, '') AS "
+       "matches, coalesce(tm.tokens, '') AS tokens FROM o LEFT JOIN y ON y.doc_id = o.doc_id LEFT JOIN mt ON "
+       "mt.doc_id = o.doc_id LEFT JOIN tm ON tm.doc_id = o.doc_id")
 def c2(spark, sf):
     return gateway_scan(d.corpus(spark, sf)).select(
         "doc_id", "sanitized_text", joined("pii_types").alias("types"),
         F.col("n_values").cast("bigint").alias("n_values"),
-        F.col("n_spans").cast("bigint").alias("n_spans"))
+        F.col("n_spans").cast("bigint").alias("n_spans"),
+        joined(F.transform("matches", lambda m: F.concat_ws(
+            "|", m["type"], m["placeholder"], m["value"], m["start"].cast("string"), m["end"].cast("string"))))
+        .alias("matches"),
+        joined(F.array_sort(F.transform(F.map_entries("token_map"), lambda e: F.concat(
+            e["key"], F.lit("="), e["value"])))).alias("tokens"))
+
+
+LISTED_FOUND = gateway_found().replace(gateway_found().split(" UNION ALL ")[0], (
+    "SELECT f.doc_id, -1 AS ord, f.i, f.s, f.e, f.v, 'KNOWLEDGE_BASE_MATCH' AS type, '' AS label "
+    "FROM f JOIN kb ON kb.token = f.v"), 1)
+
+
+@query("c2_table_list",
+       f"{CORPUS}, f AS MATERIALIZED ({g.spans_of(WORDS)}), kb AS MATERIALIZED (SELECT DISTINCT v AS token FROM f WHERE "
+       f"substr(md5(v), 1, 2) IN ('00', '01', '02')), a AS MATERIALIZED ({LISTED_FOUND}), k AS MATERIALIZED "
+       f"({g.resolve('a', 'leftmost')}), {numbered(PREFIX_SQL)}, o AS ({g.splice('corpus', 'z')}) "
+       "SELECT doc_id, out AS sanitized_text FROM o")
+def c2_table(spark, sf):
+    """The gateway with a knowledge list that is a table: whole tokens of the texts."""
+    listed = listed_words(spark, sf).filter(F.substring(F.md5("token"), 1, 2).isin("00", "01", "02"))
+    return gateway_scan(d.corpus(spark, sf), knowledge=cut_lineage(listed), key=["doc_id"]).select(
+        "doc_id", "sanitized_text")
 
 
 @query("c2_with_model_spans",
@@ -599,7 +645,7 @@ C4_ROWS = (f"SELECT q.doc_id, c.session, q.k.s AS s, q.k.e AS e, q.k.v AS v, q.k
        f"{BOTH}, {session_ctes(C4_ROWS, KIND_SQL)}, {SESSION_KEPT}, "
        f"o AS ({g.splice('corpus', 'sk')}), n AS (SELECT doc_id, count(*) AS n FROM sk GROUP BY "
        "doc_id) SELECT o.doc_id, o.out AS sanitized_text, coalesce(n.n, 0) AS redacted_count, "
-       "true AS is_safe FROM o LEFT JOIN n ON n.doc_id = o.doc_id")
+       "coalesce(n.n, 0) = 0 OR o.out <> o.text AS is_safe FROM o LEFT JOIN n ON n.doc_id = o.doc_id")
 def c4(spark, sf):
     out, _ = intercept(d.corpus(spark, sf), ["doc_id"], ["session"], "doc_id")
     return out.select("doc_id", "sanitized_text",
@@ -773,9 +819,8 @@ def c6_whole(spark, sf):
 
 
 @query("c8_image_text_gate",
-       "WITH corpus AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '' ELSE "
-       "regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS text FROM "
-       f"({d.SQL_CORPUS}) q), {gateway_ctes()}, {FACTS}, b AS (SELECT *, contains(lower(text), "
+       "WITH corpus AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM "
+       f"({d.SQL_CORPUS} UNION ALL SELECT -1 - c_custkey, '', '  ' FROM customer) q), {gateway_ctes()}, {FACTS}, b AS (SELECT *, contains(lower(text), "
        "'projectmanhattan') AS blocked FROM x) SELECT doc_id, CASE WHEN text = '' THEN "
        f"'NO_TEXT_DETECTED' WHEN blocked THEN 'BLOCKED' WHEN exposed OR injected THEN {T['action']} "
        "WHEN has_any THEN 'REDACTED_AND_STRUCTURED' ELSE 'CLEAN_DOCUMENT' END AS action, CASE WHEN "
@@ -784,8 +829,10 @@ def c6_whole(spark, sf):
        "|| ';OCR_DOCUMENT' ELSE 'OCR_DOCUMENT' END AS types, CASE WHEN text = '' OR blocked THEN 0 "
        "ELSE n_values END AS tokens_redacted_count FROM b")
 def c8(spark, sf):
-    df = d.corpus(spark, sf).withColumn("text", F.when(F.col("doc_id") % 50 == 0, "").otherwise(
-        F.col("text")))
+    """All texts, and images in which no text was found: one for each customer."""
+    blank = d.table(spark, sf, "customer").select((-1 - F.col("c_custkey")).alias("doc_id"), F.lit("").alias("session"),
+                                                  F.lit("  ").alias("text"))
+    df = d.corpus(spark, sf).unionByName(blank)
     return image_text_gate(df).select(
         "doc_id", "action", joined("pii_types_detected").alias("types"),
         F.col("tokens_redacted_count").cast("bigint").alias("tokens_redacted_count"))

@@ -37,11 +37,47 @@ def ledger_filter(df: DataFrame, pii_type: str | None = None,
     return df
 
 
-def ledger_page(df: DataFrame, limit: int = 50, offset: int = 0, pii_type: str | None = None,
-                search: str | None = None) -> DataFrame:
-    """One page of the ledger, newest first."""
-    return (ledger_filter(df, pii_type, search)
-            .orderBy(F.desc("created_at"), F.asc("id")).offset(offset).limit(limit))
+def ledger_page(df: DataFrame, limit: int = 50, pii_type: str | None = None,
+                search: str | None = None, after: tuple | None = None) -> DataFrame:
+    """One page of the ledger, newest first; ``after`` is the (created_at, id) that the page before ended with.
+
+    However deep the page, a task keeps ``limit`` records. With a ledger that has a folder for each day, only
+    the folders up to the cursor's day are read. (``page_cursor`` turns a number of records to skip into a cursor.)
+    """
+    df = ledger_filter(df, pii_type, search)
+    if after is not None:
+        time, last = F.lit(after[0]), F.lit(after[1])
+        df = df.filter((F.col("created_at") < time) | ((F.col("created_at") == time) & (F.col("id") > last)))
+        if "audit_date" in df.columns:
+            df = df.filter(F.col("audit_date") <= F.to_date(time))
+    return df.orderBy(F.desc("created_at"), F.asc("id")).limit(limit)
+
+
+def page_cursor(df: DataFrame, offset: int, pii_type: str | None = None,
+                search: str | None = None) -> tuple | None:
+    """The cursor behind the ``offset`` newest records; None for no offset, or if there are fewer.
+
+    Records are counted by day, then by hour of that day, then by second of that hour; these counts come to the
+    driver, and only records of the cursor's own second are sorted.
+    """
+    if offset <= 0:
+        return None
+    df = ledger_filter(df, pii_type, search)
+    daily = "audit_date" in df.columns
+    for unit in ("day", "hour", "second"):
+        bucket = F.col("audit_date").cast("timestamp") if unit == "day" and daily else F.date_trunc(unit, "created_at")
+        counts = df.groupBy(bucket.alias("at")).agg(F.count("*").alias("n")).orderBy(F.desc("at")).collect()
+        for row in counts:
+            if row["n"] >= offset:
+                break
+            offset -= row["n"]
+        else:
+            return None
+        df = df.filter(bucket == F.lit(row["at"]))
+        if unit == "day" and daily:
+            df = df.filter(F.col("audit_date") == F.lit(row["at"]).cast("date"))
+    skipped = df.select("created_at", "id").orderBy(F.desc("created_at"), F.asc("id")).limit(offset)
+    return tuple(skipped.orderBy("created_at", F.desc("id")).first())
 
 
 def ledger_total(df: DataFrame, pii_type: str | None = None,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veilframe.columns import empty_like, fold_in_blocks, let, pinned
 from veilframe.functions.labels import entity_name
 
 
@@ -35,26 +36,55 @@ def group_tags(tokens: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def place_entities(entities: DataFrame, texts: DataFrame, key: Sequence[str],
                    text: str = "text") -> DataFrame:
-    """Offsets of grouped entities: the first place where their words stand one after the other.
+    """Offsets of grouped entities: a cursor moves through the text in the order of the tags.
 
-    Blanks may stand between the words. Where they do not stand so, the first place of the first
-    word, in any case of letters, with the length of the joined words; else the text's start.
+    An entity stands at the first place behind the one before it where its words follow one
+    another, with or without blanks between, so the k-th mention of a name takes its k-th place.
+    Where its words do not stand so any more, the first place of its first word in the whole text, in any case of
+    letters, with the length of the joined words, and the cursor stays; else the text's start.
+    All entities of one text meet in its row. Entities of texts that are not there are left out.
     """
     def quoted(word):
         return F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    joined = entities.withColumnRenamed("text", "_name").join(
+    place = F.struct(F.col("first_pos").alias("pos"), F.col("text").alias("name"), F.col("words"))
+    rest = [c for c in entities.columns if c not in (*key, "text", "first_pos", "words")]
+    gathered = entities.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
+        place.alias("p"), F.struct(*rest).alias("rest")))).alias("_entities"))
+    joined = gathered.join(
         texts.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_body")), list(key))
-    whole = F.array_join(F.transform("words", quoted), r"\s*")
-    first = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), quoted(F.get("words", F.lit(0))))
-    joined = joined.withColumn("_found", F.regexp_substr("_body", whole))
-    at = F.when(F.col("_found").isNotNull(), F.instr("_body", F.col("_found"))).otherwise(
-        F.coalesce(F.instr("_body", F.regexp_substr("_body", first)), F.lit(0)))
-    start = F.greatest(at - 1, F.lit(0))
-    end = start + F.length(F.coalesce("_found", "_name"))
-    return (joined.withColumns({"start": start, "end": end})
-            .withColumn("text", F.substring("_body", F.col("start") + 1,
-                                            F.col("end") - F.col("start")))
-            .drop("_name", "_body", "_found"))
+    body = F.col("_body")
+
+    def found(at, e):
+        words = e["p"]["words"]
+        return let(F.regexp_substr(F.substring(body, at + 1, F.length(body)),
+                                   F.array_join(F.transform(words, quoted), r"\s*")),
+                   lambda hit: F.struct(
+                       hit.alias("hit"),
+                       (F.instr(F.substring(body, at + 1, F.length(body)), hit) + at - 1).alias("at")))
+
+    def placed(at, e):
+        def chosen(f):
+            first = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), quoted(F.get(e["p"]["words"], F.lit(0))))
+            other = F.greatest(F.coalesce(F.instr(body, F.regexp_substr(body, first)), F.lit(0)) - 1, F.lit(0))
+            start = F.when(f["hit"].isNotNull(), f["at"]).otherwise(other)
+            length = F.length(F.coalesce(f["hit"], e["p"]["name"]))
+            return F.struct(start.alias("start"), (start + length).alias("end"), e.alias("e"))
+        return let(found(at, e), chosen)
+
+    def moved(at, e):
+        return let(found(at, e), lambda f: F.when(
+            f["hit"].isNotNull(), f["at"] + F.length(f["hit"])).otherwise(at))
+    spans = fold_in_blocks(
+        F.col("_entities"), F.lit(0), moved, placed,
+        F.transform(empty_like(F.col("_entities")), lambda e: F.struct(
+            F.lit(0).alias("start"), F.lit(0).alias("end"), e.alias("e"))))
+    # The places are unpacked from a column of their own, so that they are found once.
+    return (joined.withColumn("_spans", pinned(spans))
+            .select(*key, "_body", F.explode("_spans").alias("_s"))
+            .select(*key, F.col("_s.e.p.pos").alias("first_pos"), F.col("_s.e.p.words").alias("words"),
+                    "_s.e.rest.*", "_s.start", "_s.end",
+                    F.substring("_body", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start"))
+                    .alias("text")))
 
 
 def count_classes(entities: DataFrame, key: Sequence[str] = ()) -> DataFrame:
@@ -63,27 +93,52 @@ def count_classes(entities: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     return entities.groupBy(*key).agg(*counts, F.count("*").alias("total"))
 
 
+#: Characters of a text that are swept in one task.
+BIN = 1 << 16
+
+
+def _reach(rows: DataFrame, group: Sequence[str], place: str, order: Sequence, reach: Column) -> DataFrame:
+    """Add ``_reach``: the largest ``reach`` (null: none) of a row's group before it in the order, by a sweep.
+
+    A group is swept in bins of its places; what reaches over from earlier bins is a maximum of theirs,
+    so a text with very many spans is many tasks. ``order`` must begin with the place.
+    """
+    rows = rows.withColumn("_bin", F.floor(F.col(place) / BIN)).withColumn("_to", reach)
+    inside = Window.partitionBy(*group, "_bin").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*group, "_bin").agg(F.max("_to").alias("_most")).withColumn(
+        "_over", F.max("_most").over(earlier)).drop("_most")
+    return (rows.withColumn("_reach", F.max("_to").over(inside)).join(bins, [*group, "_bin"])
+            .withColumn("_reach", F.greatest("_reach", "_over")).drop("_bin", "_to", "_over"))
+
+
 def drop_known(contextual: DataFrame, model: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Contextual entities (a table) that the model entities of the same text lack.
+    """Contextual entities (a table) that no model entity of their text equals, or contains with the same type.
 
-    Both tables are small per text; the join is on the text key.
+    Equal ones go by an equi-join; the others by one sweep over both lists in order of their starts.
     """
-    c, m = contextual.alias("c"), model.alias("m")
-    same_text = [F.col(f"c.{k}") == F.col(f"m.{k}") for k in key]
-    equal = (F.col("m.start") == F.col("c.start")) & (F.col("m.end") == F.col("c.end"))
-    inside = ((F.col("m.start") <= F.col("c.start")) & (F.col("m.end") >= F.col("c.end"))
-              & (F.col("m.type") == F.col("c.type")))
-    condition = equal | inside
-    for k in same_text:
-        condition = k & condition
-    return c.join(m, condition, "left_anti")
+    names = contextual.columns
+    places = model.select(*key, "start", "end").distinct()
+    new = contextual.join(places, [*key, "start", "end"], "left_anti").select(*names)
+    both = new.withColumn("_model", F.lit(False)).unionByName(
+        model.select(*key, "start", "end", "type").withColumn("_model", F.lit(True)),
+        allowMissingColumns=True)
+    swept = _reach(both, [*key, "type"], "start", ["start", F.desc("_model")],
+                   F.when(F.col("_model"), F.col("end")))
+    return swept.filter(~F.col("_model") & (F.coalesce("_reach", F.lit(-1)) < F.col("end"))).select(*names)
 
 
 def drop_overlapping_rows(entities: DataFrame, spans: DataFrame,
                           key: Sequence[str]) -> DataFrame:
-    """Entities (a table) that touch no span of the same text."""
-    e, s = entities.alias("e"), spans.alias("s")
-    condition = (F.col("e.start") < F.col("s.end")) & (F.col("e.end") > F.col("s.start"))
-    for k in key:
-        condition = (F.col(f"e.{k}") == F.col(f"s.{k}")) & condition
-    return e.join(s, condition, "left_anti")
+    """Entities (a table) that touch no span of the same text.
+
+    One sweep over both lists: spans in order of their starts, entities of their ends. An entity
+    is touched if the spans that start before its end reach past its start.
+    """
+    names = entities.columns
+    both = entities.withColumn("_at", F.col("end")).withColumn("_span", F.lit(False)).unionByName(
+        spans.select(*key, "end", F.col("start").alias("_at")).withColumn("_span", F.lit(True)),
+        allowMissingColumns=True)
+    swept = _reach(both, key, "_at", ["_at", "_span"], F.when(F.col("_span"), F.col("end")))
+    return swept.filter(~F.col("_span") & (F.coalesce("_reach", F.lit(-1)) <= F.col("start"))).select(*names)

@@ -7,6 +7,10 @@ from pyspark.sql import Column, functions as F
 from veilframe.columns import append, empty_like, fold_in_blocks, let
 
 
+#: Spans of one overlapping chain that are tested pairwise.
+CHAIN = 32
+
+
 def in_text_order(spans: Column) -> Column:
     return F.transform(
         F.array_sort(F.transform(spans, lambda s, i: F.struct(
@@ -30,19 +34,44 @@ def leftmost(spans: Column, longest: bool = True) -> Column:
 def longest_first(spans: Column) -> Column:
     """Greedy by length, ties in detector order; result in text order.
 
-    Spans are first cut into groups that touch each other, so the pairwise test runs
-    inside groups only; its work is quadratic in the spans that overlap in one chain.
+    Spans are first cut into groups that touch each other. In a small group each span is
+    tested against all kept ones; in a long chain, kept spans stay in text order and the only
+    one that can be in the way is found by binary search.
     """
-    def greedy(group):
-        ranked = F.array_sort(F.transform(group, lambda k: F.struct(
+    def ranked(group):
+        return F.array_sort(F.transform(group, lambda k: F.struct(
             (k["s"]["start"] - k["s"]["end"]).alias("a"), k["b"].alias("b"), k["s"].alias("s"))))
-        kept = F.aggregate(ranked, F.transform(empty_like(group), lambda k: k["s"]),
+
+    def none(group):
+        return F.transform(empty_like(group), lambda k: k["s"])
+
+    def greedy(group):
+        kept = F.aggregate(ranked(group), none(group),
                            lambda acc, k: F.when(
                                F.exists(acc, lambda o: (k["s"]["start"] < o["end"])
                                         & (k["s"]["end"] > o["start"])), acc
                            ).otherwise(append(acc, k["s"])))
         return in_text_order(kept)
 
+    def before(kept, end):
+        """How many kept spans start before ``end``: halving an interval of places."""
+        def halve(acc, _):
+            mid = F.shiftright(acc["low"] + acc["high"], 1)
+            right = F.get(kept, mid)["start"] < end
+            return F.when(acc["low"] >= acc["high"], acc).when(right, F.struct(
+                (mid + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(
+                    acc["low"].alias("low"), mid.alias("high")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.struct(
+            F.lit(0).alias("low"), F.size(kept).alias("high")), halve, lambda acc: acc["low"])
+
+    def searched(group):
+        def add(kept, k):
+            # Kept spans are disjoint: only the last that starts before this one's end can reach into it.
+            return let(before(kept, k["s"]["end"]), lambda n: F.when(
+                F.coalesce(F.get(kept, n - 1)["end"] > k["s"]["start"], F.lit(False)), kept
+            ).otherwise(F.array_insert(kept, n + 1, k["s"])))
+        return F.aggregate(ranked(group), none(group), add)
+
     def resolve(ss):
         keyed = F.array_sort(F.transform(ss, lambda s, i: F.struct(
             s["start"].alias("a"), i.alias("b"), s.alias("s"))))
@@ -58,7 +87,8 @@ def longest_first(spans: Column) -> Column:
                     ks, f + 1, F.coalesce(F.get(fs, j + 1), F.size(ks)) - f)))
             return let(reach, cut)
         return F.flatten(F.transform(let(keyed, groups), lambda g: F.when(
-            F.size(g) <= 1, F.transform(g, lambda k: k["s"])).otherwise(greedy(g))))
+            F.size(g) <= 1, F.transform(g, lambda k: k["s"])).when(
+            F.size(g) <= CHAIN, greedy(g)).otherwise(searched(g))))
     return let(spans, lambda ss: F.when(F.size(ss) <= 1, ss).otherwise(resolve(ss)))
 
 

@@ -159,6 +159,11 @@ def entity_spans(view: TextView, rules) -> Column:
     return find_spans(view, rules, "CONTEXT", min_length=2)
 
 
+def knowledge_tokens(text: Column) -> Column:
+    """The tokens alone, in text order, with repeats."""
+    return F.regexp_extract_all(text, F.lit(java_regex(KNOWLEDGE_TOKEN, "edge", "edge")), F.lit(0))
+
+
 def knowledge_token_places(text: Column) -> Column:
     """Tokens of three or more characters, the unit of the knowledge-base lookup."""
     return locate(text, java_regex(KNOWLEDGE_TOKEN, "edge", "edge"))

@@ -1,9 +1,11 @@
 """Which of many needles stands anywhere inside which text, without pairing all of them.
 
-Needles are indexed by their first 1, 2, 4, 8 or 16 characters. Step one finds the
-places where such a beginning occurs, step two cuts the candidate lengths out at those
-places; both are equi-joins whose needle side is unique, so equal beginnings or
-frequent needles never multiply rows.
+An index by rare anchors. A text is seen as its set of n-grams (4, 2 or 1 characters, by the
+lengths of the needles). Each needle is filed under that one of its own n-grams which the fewest
+texts have; a needle with an n-gram that no text has is nowhere. A text leaves one row for each
+distinct n-gram that it has, meets the filed needles by equality, and only these candidates
+are looked for in it. N-grams are counted in the map before they are exchanged; where the needles are
+few, Spark broadcasts them by their size, and no row of a text is exchanged at all.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-ANCHORS = (16, 8, 4, 2, 1)
+#: Lengths of anchors; a needle has the longest that it can hold.
+ANCHORS = (4, 2, 1)
+#: Characters of a text that are cut into n-grams at once; long texts are cut first.
+PIECE = 1 << 16
 
 
 def _anchor_length(length: Column) -> Column:
@@ -22,8 +27,29 @@ def _anchor_length(length: Column) -> Column:
     return chosen
 
 
-def _characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+def _grams(text: Column, k: int) -> Column:
+    """The distinct n-grams of a text as 64-bit hashes; equal hashes only make more candidates."""
+    # One match at each place, of no width: its group is the n-gram that begins there.
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * k}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))
+
+
+def _pieces(text: Column) -> Column:
+    """A text in pieces that overlap so far that no n-gram is cut."""
+    n = F.greatest(F.ceil(F.length(text) / F.lit(PIECE)), F.lit(1)).cast("int")
+    return F.when(n == 1, F.array(text)).otherwise(F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE + ANCHORS[0] - 1))))
+
+
+def _gram_rows(bodies: DataFrame, names: Sequence[str], lengths: DataFrame) -> DataFrame:
+    """(names..., _k, _gram) of each text, for the anchor lengths in use (a table of one row)."""
+    by_length = F.array_compact(F.array(*[
+        F.when(F.array_contains("_ks", k), F.struct(F.lit(k).alias("_k"), _grams(F.col("_piece"), k).alias("_g")))
+        for k in ANCHORS]))
+    return (bodies.join(F.broadcast(lengths))
+            .select(*names, "_ks", F.explode(_pieces(F.col("_text"))).alias("_piece"))
+            .select(*names, F.explode(by_length).alias("_one"))
+            .select(*names, F.col("_one._k").alias("_k"), F.explode("_one._g").alias("_gram")))
 
 
 def substring_hits(texts: DataFrame, needles: DataFrame, key: Sequence[str],
@@ -32,63 +58,56 @@ def substring_hits(texts: DataFrame, needles: DataFrame, key: Sequence[str],
     """Distinct (key..., scope..., needle) such that the text contains the needle.
 
     ``key`` names a text; with ``scope`` a text is looked at only with the needles of
-    its own scope. Empty needles are left out.
+    its own scope. Empty needles are left out, null texts hold nothing. Texts and needles are
+    read more than once: give written tables where they are costly.
     """
-    scope = list(scope) or ["_scope"]
-    if scope == ["_scope"]:
-        texts, needles = (d.withColumn("_scope", F.lit(0)) for d in (texts, needles))
-    key = list(key)
+    scope, key = list(scope), list(key)
+    names = list(dict.fromkeys([*key, *scope]))
     distinct = (needles.filter(F.length(needle) > 0)
                 .select(*scope, F.col(needle).alias("_needle")).distinct()
                 .withColumn("_k", _anchor_length(F.length("_needle"))))
-    heads = (distinct
-             .groupBy(*scope, "_k", F.substring("_needle", F.lit(1), F.col("_k")).alias("_head"))
-             .agg(F.collect_set(F.length("_needle")).alias("_lengths")))
-    sizes = distinct.groupBy(*scope).agg(F.collect_set("_k").alias("_ks"))
-    if scope == ["_scope"]:
-        sizes = F.broadcast(sizes)  # a single row
-    bodies = texts.select(*dict.fromkeys([*key, *scope]), F.col(text).alias("_text"))
-    grams = F.flatten(F.transform("_ks", lambda k: F.when(
-        F.size("_chars") >= k, F.transform(
-            F.sequence(F.lit(1), F.size("_chars") - k + 1),
-            lambda i: F.struct(k.alias("_k"), i.alias("_at"), F.array_join(
-                F.slice("_chars", i, k), "").alias("_head")))).otherwise(
-        F.array().cast("array<struct<_k:int,_at:int,_head:string>>"))))
-    names = list(dict.fromkeys([*key, *scope]))
-    places = (bodies.join(sizes, scope)
-              .withColumn("_chars", _characters(F.col("_text")))
-              .select(*names, F.explode_outer(grams).alias("_g"))
-              .filter(F.col("_g").isNotNull()).select(*names, "_g.*")
-              .join(heads, [*scope, "_k", "_head"])
-              .groupBy(*names)
-              .agg(F.collect_list(F.struct("_at", "_lengths")).alias("_places")))
-    pieces = F.array_distinct(F.flatten(F.transform("_places", lambda p: F.transform(
-        p["_lengths"], lambda n: F.array_join(F.slice("_chars", p["_at"], n), "")))))
-    cut = (bodies.join(places, names)
-           .withColumn("_chars", _characters(F.col("_text")))
-           .select(*names, F.explode_outer(pieces).alias("_needle")))
-    hits = cut.join(distinct.select(*scope, "_needle"), [*scope, "_needle"]).select(
-        *names, F.col("_needle").alias(needle))
-    return hits.drop("_scope") if scope == ["_scope"] else hits
+    lengths = distinct.agg(F.collect_set("_k").alias("_ks"))  # one row, of three numbers at most
+    bodies = texts.select(*names, F.col(text).alias("_text"))
+    grams = _gram_rows(bodies, names, lengths)
+    counts = grams.groupBy(*scope, "_k", "_gram").agg(F.count("*").alias("_n"))
+    own = F.when(F.col("_k") == ANCHORS[0], _grams(F.col("_needle"), ANCHORS[0]))
+    for k in ANCHORS[1:]:
+        own = own.when(F.col("_k") == k, _grams(F.col("_needle"), k))
+    wanted = distinct.select("*", own.alias("_own")).select(
+        *scope, "_needle", "_k", F.size("_own").alias("_size"), F.explode("_own").alias("_gram"))
+    # A needle all of whose n-grams some text has, with the rarest of them.
+    filed = (wanted.join(counts, [*scope, "_k", "_gram"])
+             .groupBy(*scope, "_needle", "_k", "_size")
+             .agg(F.count("*").alias("_met"), F.min(F.struct("_n", "_gram")).alias("_rarest"))
+             .filter(F.col("_met") == F.col("_size"))
+             .select(*scope, "_k", F.col("_rarest._gram").alias("_gram"), "_needle"))
+    candidates = grams.join(filed, [*scope, "_k", "_gram"]).select(*names, "_needle").distinct()
+    own_text, candidate = bodies.alias("b"), candidates.alias("c")
+    same = F.lit(True)
+    for name in names:
+        same = F.col(f"b.{name}").eqNullSafe(F.col(f"c.{name}")) & same
+    return (own_text.join(candidate, same).filter(F.contains("b._text", "c._needle"))
+            .select(*[F.col(f"b.{n}") for n in names], F.col("c._needle").alias(needle)).distinct())
 
 
 def find_leaks(texts: DataFrame, tokens: DataFrame, key: Sequence[str],
                scope: Sequence[str], text: str = "text") -> DataFrame:
-    """Every original of a text's scope that still stands in the text.
+    """Every original of a text's scope that still stands in the text, with its token.
 
-    ``tokens`` is a token table (scope..., placeholder, original, and optionally n).
+    ``tokens`` is a token table (scope..., placeholder, original, issued).
     """
     hits = substring_hits(texts, tokens.select(*scope, F.col("original")), key, scope,
                           text, "original")
-    return hits.join(tokens.select(*scope, "original", "placeholder"), [*scope, "original"])
+    known = tokens.select(*scope, "original", "placeholder", "issued")
+    return hits.join(known, [*scope, "original"])
 
 
 def check_outgoing(texts: DataFrame, tokens: DataFrame, key: Sequence[str],
                    scope: Sequence[str], text: str = "text") -> DataFrame:
-    """Each text with ``safe`` and its first leaked original (by placeholder)."""
+    """Each text with ``safe`` and the first leaked original, in the order in which tokens were issued."""
     leaks = find_leaks(texts, tokens, key, scope, text)
     first = leaks.groupBy(*key).agg(
-        F.min(F.struct("placeholder", "original")).alias("_leak"),
+        F.min(F.struct("issued", "placeholder", "original")).alias("_leak"),
         F.count("*").alias("n_leaks"))
     return (texts.join(first, list(key), "left")
             .withColumn("safe", F.col("_leak").isNull())

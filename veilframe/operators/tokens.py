@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from veilframe.columns import pinned
 from veilframe.functions.labels import ledger_type
-from veilframe.lineage import cut_lineage
+from veilframe.lineage import cut_lineage, stored
 from veilframe.operators.redact import splice
 
+
 def span_rows(df: DataFrame, columns: Sequence[str], spans: str = "spans") -> DataFrame:
     """One row per span with the given columns beside it; the text is left behind."""
     # explode_outer, since a plain explode makes the optimizer copy the costly span
@@ -27,31 +28,44 @@ def span_rows(df: DataFrame, columns: Sequence[str], spans: str = "spans") -> Da
 
 
 def number_values(rows: DataFrame, scope: Sequence[str], order: str,
-                  kind: Callable[[Column], Column] = ledger_type) -> DataFrame:
-    """(scope..., value, kind, n): the number of every distinct value of a scope.
+                  kind: Callable[[Column], Column] = ledger_type,
+                  known: DataFrame | None = None) -> DataFrame:
+    """(scope..., value, kind, n, issued): the numbers of every distinct value of a scope.
+
+    Values are numbered per kind (``n``) and over all kinds (``issued``) in order of first
+    appearance: by ``order`` (a whole number, such as a turn or a document id), and inside
+    one text from its right end. A value takes the kind of its first appearance.
 
-    Values are numbered per kind in order of first appearance: by ``order`` (a whole
-    number, such as a turn or a document id), and inside one text from its right end.
-    A value takes the kind of its first appearance.
+    With ``known``, a table of values (scope..., value, kind, n, issued) that have their numbers,
+    only new values are returned, and they are numbered behind the known ones.
     """
     first = rows.groupBy(*scope, "value").agg(F.min(F.struct(
         F.col(order).alias("at"), (-F.col("start")).alias("back"),
         kind(F.col("type")).alias("kind"))).alias("first"))
     first = first.select(*scope, "value", "first.*")
-    # Written, so that the parts are the same for ranks and totals; a scope and kind has at
+    if known is not None:
+        first = first.join(known.select(*scope, "value"), [*scope, "value"], "left_anti")
+    # Written, so that the parts are the same for ranks and totals; a scope has at
     # most as many parts as there are partitions.
     parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = cut_lineage(first.repartitionByRange(parts, *scope, "kind", "at", "back", "value")
+    first = cut_lineage(first.repartitionByRange(parts, *scope, "at", "back", "value")
                         .withColumn("part", F.spark_partition_id()))
-    in_part = Window.partitionBy(*scope, "kind", "part").orderBy("at", "back", "value")
-    ranked = first.withColumn("rank", F.row_number().over(in_part))
-    before = Window.partitionBy(*scope, "kind").orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1)
-    totals = (first.groupBy(*scope, "kind", "part").agg(F.count("*").alias("m"))
-              .withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
-              .drop("m"))
-    return (ranked.join(totals, [*scope, "kind", "part"])
-            .select(*scope, "value", "kind", (F.col("rank") + F.col("offset")).alias("n")))
+    place = ("at", "back", "value")
+    ranked = first.withColumn("issued", F.row_number().over(
+        Window.partitionBy(*scope, "part").orderBy(*place)))
+    ranked = ranked.withColumn("n", F.row_number().over(  # the same exchange serves
+        Window.partitionBy(*scope, "kind", "part").orderBy(*place)))
+    for group, number in (((*scope, "kind"), "n"), (tuple(scope), "issued")):
+        totals = first.groupBy(*group, "part").agg(F.count("*").alias("m"))
+        if known is not None:  # known values stand before the first part
+            totals = totals.unionByName(known.groupBy(*group).agg(
+                F.max(number).alias("m")).withColumn("part", F.lit(-1)))
+        before = Window.partitionBy(*group).orderBy("part").rowsBetween(
+            Window.unboundedPreceding, -1)
+        totals = totals.withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+        ranked = ranked.join(totals, [*group, "part"]).withColumn(
+            number, F.col(number) + F.col("offset")).drop("offset")
+    return ranked.select(*scope, "value", "kind", "n", "issued")
 
 
 def ledger_placeholder(kind: Column, n: Column) -> Column:
@@ -64,11 +78,40 @@ def gateway_placeholder(kind: Column, n: Column) -> Column:
 
 def assign_placeholders(rows: DataFrame, scope: Sequence[str], order: str,
                         kind: Callable[[Column], Column] = ledger_type,
-                        style: Callable[[Column, Column], Column] = ledger_placeholder) -> DataFrame:
-    """The token map of every scope: (scope..., placeholder, original, kind, n)."""
-    numbered = number_values(rows, scope, order, kind)
+                        style: Callable[[Column, Column], Column] = ledger_placeholder,
+                        known: DataFrame | None = None) -> DataFrame:
+    """The token map of every scope: (scope..., placeholder, original, kind, n, issued).
+
+    ``known`` is a token map whose values keep their placeholders; the result then holds the new ones only.
+    """
+    if known is not None:
+        known = known.withColumnRenamed("original", "value")
+    numbered = number_values(rows, scope, order, kind, known)
     return numbered.select(*scope, style(F.col("kind"), F.col("n")).alias("placeholder"),
-                           F.col("value").alias("original"), "kind", "n")
+                           F.col("value").alias("original"), "kind", "n", "issued")
+
+
+def token_schema(rows: DataFrame, scope: Sequence[str]) -> T.StructType:
+    """The schema of the token map that ``assign_placeholders`` makes of these rows."""
+    fields = [rows.schema[s] for s in scope] + [
+        T.StructField(n, T.StringType()) for n in ("placeholder", "original", "kind")]
+    return T.StructType(fields + [T.StructField(n, T.LongType()) for n in ("n", "issued")])
+
+
+def continue_session(rows: DataFrame, path: str, scope: Sequence[str], order: str,
+                     kind: Callable[[Column], Column] = ledger_type,
+                     style: Callable[[Column, Column], Column] = ledger_placeholder) -> DataFrame:
+    """The token map stored under ``path``, after the values of these rows have got theirs.
+
+    Values that the stored map has keep their placeholders; new ones are numbered behind the
+    largest number of their scope and kind, and appended. A batch that is run again finds its
+    values stored and adds none. One writer at a time may continue a session.
+    """
+    spark, schema = rows.sparkSession, token_schema(rows, scope)
+    known = spark.read.schema(schema).parquet(path) if stored(spark, path) else spark.createDataFrame([], schema)
+    made = assign_placeholders(rows, scope, order, kind, style, known)
+    made.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def apply_placeholders(df: DataFrame, tokens: DataFrame, key: Sequence[str],

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilframe.columns import let, literal_map, pinned, text_or_empty
 from veilframe.functions.labels import token_prefix
 from veilframe.functions.language import guess_language, with_instruction
+from veilframe.operators.knowledge import with_knowledge
 from veilframe.operators.overlap import leftmost
 from veilframe.operators.redact import placeholder_map, redact_with_tokens, token_map
 from veilframe.operators.spans import (
@@ -27,13 +30,24 @@ SEED_KNOWLEDGE = {
 
 
 def with_gateway_spans(df: DataFrame, text: str = "text", profile: str = BALANCED,
-                       knowledge: dict[str, str] | None = None,
+                       knowledge: dict[str, str] | DataFrame | None = None,
                        external: Column | None = None, honour_profiles: bool = False,
-                       out: str = "spans") -> DataFrame:
-    """Add the resolved gateway spans of each row; no shuffle."""
+                       out: str = "spans", key: Sequence[str] = ()) -> DataFrame:
+    """Add the resolved gateway spans of each row.
+
+    No shuffle, but for a knowledge list that is a table (token, label): its tokens meet the texts' own in a
+    join, for which ``key`` must name a text.
+    """
+    listed = "_knowledge"
+    if isinstance(knowledge, DataFrame):
+        if not key:
+            raise ValueError("a knowledge table needs the columns that name a text")
+        df = with_knowledge(df, knowledge, key, text, listed)
     base, standard = gateway_rules(profile, honour_profiles)
     words = SEED_KNOWLEDGE if knowledge is None else knowledge
     extra = ["_external"] if external is not None else []
+    if isinstance(knowledge, DataFrame):
+        extra.append(listed)
     if external is not None:
         df = df.withColumn("_external", external)
     df, view, added = add_view(df, text, (*base, *standard, ENTROPY_RULE))
@@ -42,7 +56,8 @@ def with_gateway_spans(df: DataFrame, text: str = "text", profile: str = BALANCE
     present = {(r.core, r.left, r.right, r.span_type) for r in base}
     standard = tuple(r for r in standard
                      if (r.core, r.left, r.right, r.span_type) not in present)
-    parts = [knowledge_spans_from_map(view, words), find_spans(view, base),
+    known = F.col(listed) if isinstance(knowledge, DataFrame) else knowledge_spans_from_map(view, words)
+    parts = [known, find_spans(view, base),
              gateway_entropy_spans(view), find_spans(view, standard)]
     if external is not None:
         parts.append(F.filter("_external", lambda s: (s["start"] >= 0) & (s["end"] > s["start"])
@@ -71,11 +86,14 @@ def _tokenise(df: DataFrame, text: str, prefix=token_prefix) -> DataFrame:
 
 
 def gateway_scan(df: DataFrame, text: str = "text", profile: str = BALANCED,
-                 knowledge: dict[str, str] | None = None, external: Column | None = None,
+                 knowledge: dict[str, str] | DataFrame | None = None, external: Column | None = None,
                  language_override: Column | None = None, honour_profiles: bool = False,
-                 instruction: bool = False) -> DataFrame:
-    """Sanitised text, token map, matches, types and language of each row."""
-    df = with_gateway_spans(df, text, profile, knowledge, external, honour_profiles)
+                 instruction: bool = False, key: Sequence[str] = ()) -> DataFrame:
+    """Sanitised text, token map, matches, types and language of each row.
+
+    A knowledge list may be a table (token, label); ``key`` then names a text.
+    """
+    df = with_gateway_spans(df, text, profile, knowledge, external, honour_profiles, key=key)
     df = _tokenise(df, text).withColumn(
         "language", guess_language(text_or_empty(text), language_override))
     return with_instruction(df) if instruction else df

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from veilframe.lineage import stored
+
 
 def stamp(records: DataFrame) -> DataFrame:
     """Give records an id and a creation time where they have none."""
@@ -16,13 +18,22 @@ def stamp(records: DataFrame) -> DataFrame:
 
 
 def append_audit(records: DataFrame, path: str, by_date: bool = True) -> None:
-    """Append to the Parquet ledger, one folder per day, so time filters prune folders."""
-    stamped = stamp(records)
+    """Append to the Parquet ledger, one folder per day, so time filters prune folders.
+
+    Safe to repeat: of the records, those whose id the ledger has (in the folders of their days,
+    which are the only ones read) are left out, and an id that comes twice is written once. A
+    run that fails leaves its files in a staging folder that no reader sees, and its repetition
+    adds what is missing. Records that get their id here are new each time. One writer at a time.
+    """
+    spark = records.sparkSession
+    stamped = stamp(records).dropDuplicates(["id"])
+    day = ["audit_date"] if by_date else []
     if by_date:
         stamped = stamped.withColumn("audit_date", F.to_date("created_at"))
-        stamped.write.mode("append").partitionBy("audit_date").parquet(path)
-    else:
-        stamped.write.mode("append").parquet(path)
+    if stored(spark, path):
+        held = spark.read.parquet(path).select("id", *day)
+        stamped = stamped.join(held, ["id", *day], "left_anti")
+    stamped.write.mode("append").partitionBy(*day).parquet(path)
 
 
 def export_json(ledger: DataFrame, path: str) -> None:

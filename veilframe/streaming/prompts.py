@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from veilframe.columns import text_or_empty
+from veilframe.functions.quality import RECEIPT_LIMIT_BYTES
 from veilframe.operators.audit import running_counters
 from veilframe.operators.keywords import matched_keywords
 from veilframe.operators.spans import has_injection
@@ -34,6 +35,27 @@ def split_receipts(receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return normalise(accepted(receipts)), rejected(receipts)
 
 
+def ingest_receipts(receipts: DataFrame, path: str, checkpoint: str, limit: int = RECEIPT_LIMIT_BYTES,
+                    normal: bool = True):
+    """Start a query that reads receipts once and fills two sinks, ``path/accepted`` and ``path/rejected``.
+
+    A micro-batch is kept while both are written. Each sink has a folder for each batch
+    number, so a batch that is run again replaces what its first attempt wrote and adds nothing.
+    It runs until its input is used up.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            good = accepted(kept, limit)
+            (normalise(good) if normal else good).write.mode("overwrite").parquet(
+                f"{path}/accepted/batch={number}")
+            rejected(kept, limit).write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+        finally:
+            kept.unpersist()
+    return (receipts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def counters(receipts: DataFrame, by=()) -> DataFrame:
     """Running counters; write them with output mode update or complete."""
     return running_counters(receipts, by)
@@ -47,3 +69,18 @@ def windowed_counts(events: DataFrame, time: str = "created_at", width: str = "1
             .groupBy(F.window("_ts", width), *by).agg(F.count("*").alias("n"))
             .select(F.col("window.start").alias("window_start"),
                     F.col("window.end").alias("window_end"), *by, "n"))
+
+
+def upsert_counts(counts: DataFrame, path: str, checkpoint: str, keys=("window_start",)):
+    """Start a query that keeps the newest count of every window under ``path``, and its state small.
+
+    ``counts`` is from :func:`windowed_counts`. Update mode sends only the windows that a micro-batch changed, and
+    windows behind the watermark leave the state; a full count never has to be kept or sent. Each
+    key has a folder of its own, which its newest count replaces, so a batch that is run
+    again changes nothing. It runs until its input is used up.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        (batch.repartition(*keys).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+    return (counts.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
