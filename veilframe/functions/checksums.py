@@ -8,20 +8,24 @@ from pyspark.sql import Column, functions as F
 
 from veilframe.columns import let
 
-# Multiplication, permutation and inverse tables of the dihedral group D5.
-VERHOEFF_PRODUCT = (
-    "0123456789", "1234067895", "2340178956", "3401289567", "4012395678",
-    "5987604321", "6598710432", "7659821043", "8765932104", "9876543210",
-)
-VERHOEFF_PERMUTATION = (
-    "0123456789", "1576283094", "5803796142", "8916043527",
-    "9453126870", "4286573901", "2793806415", "7046913258",
-)
-VERHOEFF_INVERSE = "0432156789"
+def _dihedral(a: int, b: int) -> int:
+    """Product of two symmetries of a pentagon: 0-4 are turns, 5-9 are a turn and a flip."""
+    turn = (a % 5 - b % 5 if a >= 5 else a % 5 + b % 5) % 5
+    return turn + 5 * ((a >= 5) != (b >= 5))
 
 
-def _digit_table(rows) -> Column:
-    return F.array(*[F.lit(int(d)) for row in rows for d in row])
+# Fixed value: the permutation that is applied once more at each place.
+VERHOEFF_STEP = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
+
+VERHOEFF_PRODUCT = [_dihedral(a, b) for a in range(10) for b in range(10)]
+VERHOEFF_INVERSE = [next(b for b in range(10) if _dihedral(a, b) == 0) for a in range(10)]
+VERHOEFF_PERMUTATION = list(range(10))
+for _ in range(7):  # its order is eight
+    VERHOEFF_PERMUTATION += [VERHOEFF_STEP[d] for d in VERHOEFF_PERMUTATION[-10:]]
+
+
+def _digit_table(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
 def strip_separators(value: Column) -> Column:
@@ -79,7 +83,7 @@ def verhoeff_valid(value: Column) -> Column:
 
 
 def verhoeff_check_digit(value: Column) -> Column:
-    inverse = _digit_table([VERHOEFF_INVERSE])
+    inverse = _digit_table(VERHOEFF_INVERSE)
     return F.get(inverse, _verhoeff_fold(digits_only(value), 1))
 
 

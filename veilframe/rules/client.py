@@ -15,10 +15,10 @@ IPV4 = (r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}"
 AADHAAR = r"[2-9]{1}\d{3}\s?\d{4}\s?\d{4}"
 BANK_COUNTRIES = ("US|GB|IN|DE|FR|JP|CH|SG|HK|AE|CA|AU|NL|ES|IT|SE|NO|DK|FI|PL|BR|ZA|KR|CN|"
                   "RU|BE|AT|NZ|MX|SA")
-NOT_TOKEN_BEFORE = r"(?<![\w\-.])"
-NOT_TOKEN_AFTER = r"(?![\w\-.])"
+NOT_TOKEN_BEFORE = r"(?<![a-zA-Z0-9_\-\.])"
+NOT_TOKEN_AFTER = r"(?![a-zA-Z0-9_\-\.])"
 PHONE_CORE = (r"(?:\+?\d{1,3}[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]?\d{3}[-.\s]?\d{4}")
-TOKEN = r"[\w.\-]{16,128}"
+TOKEN = r"[a-zA-Z0-9_\-\.]{16,128}"
 
 CARD_GATE = r"\d(?:[ -]*\d){12}"
 PHONE_GATE = r"\d{3}[-.\s]?\d{4}"
@@ -60,6 +60,7 @@ CLIENT_RULES = (
     Rule("SLACK_BOT_TOKEN", r"xox[baprs]-[a-zA-Z0-9_-]{10,255}", "word", "edge",
          label="[SLACK_TOKEN_REDACTED]", category="COMMUNICATION_SECRET", risk="CRITICAL",
          confidence=100.0, any_literal=("xox",)),
+    # The dash stands last in its class: after a range, dialects read it in different ways.
     Rule("GCP_API_KEY", r"AIza[0-9A-Za-z_-]{32,45}", "word", "edge",
          label="[GCP_API_KEY_REDACTED]", category="CLOUD_CREDENTIAL", risk="CRITICAL",
          confidence=99.7, any_literal=("AIza",), signal="long"),
