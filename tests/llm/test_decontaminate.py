@@ -72,3 +72,18 @@ def test_empty_tables(frame):
     df, bench = frame(docs), frame(items, "item_id long, text string", 2)
     assert decontaminate.leaks(df, decontaminate.build(bench.limit(0), df)).count() == 0
     assert decontaminate.leaks(df.limit(0), decontaminate.build(bench, df.limit(0))).count() == 0
+
+
+def test_a_task_gets_only_its_own_block(frame, monkeypatch):
+    """What is sent with the search of one block does not grow with the number of blocks."""
+    import numpy as np
+    from pyspark import cloudpickle
+    from pyspark.sql import types as T
+
+    sent = []
+    monkeypatch.setattr(decontaminate, "map_texts", lambda docs, keys, text, fields, make, **more: sent.append(len(cloudpickle.dumps(make))))
+    block = {"items": [], "passages": {0: [(np.zeros(50_000), 0)]}}
+    for n in (1, 6):
+        index = decontaminate.Index(np.zeros(9), np.zeros(9), np.zeros((9, 4)), [block] * n, T.LongType())
+        decontaminate._searched(None, index, dict(block), ("doc_id",), "text", T.StructType())
+    assert sent[0] == sent[1]

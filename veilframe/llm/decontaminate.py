@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -310,9 +310,10 @@ def _searched(docs: DataFrame, index: Index, block: dict, keys: tuple[str, ...],
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = pa.list_(to_arrow_type(kind))
+    space = replace(index, blocks=[])  # a task gets the latent space and its own block, not the others
 
     def make():
-        searcher = _Searcher(index, block)
+        searcher = _Searcher(space, block)
         return lambda texts: [pa.array(searcher.search(texts), arrow)]
 
     return map_texts(docs, keys, text, [T.StructField("held", T.ArrayType(kind))], make)
