@@ -138,6 +138,40 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
+#: The trie with all rebuilt sequences written out and every node joined to all nodes above it; the checksum is made bit by bit.
+CHECKS["op13_prefix_trie"] = """
+WITH RECURSIVE rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS k, 4294967295::UBIGINT AS v FROM rows_
+  UNION ALL
+  SELECT conv_id, s, k + 1, CASE WHEN k % 9 = 0 THEN xor(v, ascii(substr(s, k // 9 + 1, 1))::UBIGINT)
+                                 ELSE xor(v >> 1, 3988292384::UBIGINT * (v & 1)) END
+  FROM crc WHERE k < 9 * length(s)),
+heads AS (SELECT conv_id, CAST(xor(v, 4294967295::UBIGINT) % 6 AS BIGINT) AS h FROM crc WHERE k = 9 * length(s)),
+own AS (
+  SELECT conv_id, list(struct_pack(id := md5(length(role) || ':' || role || text), n := length(text))
+                       ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS turns FROM rows_ GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+  FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+members AS (
+  SELECT conv_id, d, len(turns) AS total, coalesce(turns[d].n, 0) AS n_chars,
+         array_to_string(list_transform(turns[1:d], lambda t: t.id), ',') AS node
+  FROM rebuilt, unnest(range(0, len(turns) + 1)) u(d)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_chars) AS n_chars, max(total) AS deepest,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = d) AS ends FROM members GROUP BY node, d),
+above AS (
+  SELECT substr(node, 1, CAST(greatest(33 * a - 1, 0) AS BIGINT)) AS node, a AS d, sum((n_convs - 1) * n_chars) AS saved,
+         count(*) FILTER (deepest = nodes.d) AS leaves, count(*) FILTER (nodes.d = a + 1) AS children
+  FROM nodes, unnest(range(0, nodes.d + 1)) u(a) GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, a.children AS n_children, a.leaves AS n_leaves,
+       CAST(a.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN above a USING (node, d)
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = substr(n.node, 1, CAST(greatest(33 * (n.d - 1) - 1, 0) AS BIGINT))
+"""
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of all rebuilt conversations."""
