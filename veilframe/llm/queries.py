@@ -132,6 +132,68 @@ def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+#: The repair by a plain recursion over rows from the last to the first, in which each state carries its whole edit list and text.
+CHECKS["op12_conversation_repair"] = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+crc AS (
+  SELECT DISTINCT key, 0 AS k, 4294967295::UBIGINT AS v FROM given
+  UNION ALL
+  SELECT key, k + 1, CASE WHEN k % 9 = 0 THEN xor(v, ascii(substr(key, k // 9 + 1, 1))::UBIGINT)
+                          ELSE xor(v >> 1, 3988292384::UBIGINT * (v & 1)) END FROM crc WHERE k < 9 * length(key)),
+kinds AS (SELECT key, xor(v, 4294967295::UBIGINT) % 20 AS kind FROM crc WHERE k = 9 * length(key)),
+hurt AS (
+  SELECT conv_id, turn, role AS given, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, c
+  FROM given JOIN kinds USING (key), unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) u(c) WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, substr(role, 1, 1) AS initial,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS kept
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, given, sha256(text), c)),
+faulty AS (
+  SELECT *, CASE WHEN kept = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+best AS (
+  SELECT DISTINCT conv_id, n AS i, {'cost': 0, 'audit': '', 'said': ''} AS b0, {'cost': 10, 'audit': 'II', 'said': E'user:\nassistant:\n'} AS bs,
+         {'cost': 5, 'audit': 'I', 'said': E'assistant:\n'} AS bu, {'cost': 0, 'audit': '', 'said': ''} AS ba FROM placed
+  UNION ALL
+  SELECT conv_id, i,
+    list_min([c0, {'cost': eu.cost + 5, 'audit': 'I' || eu.audit, 'said': E'user:\n' || eu.said}]),
+    list_min([cs, {'cost': eu.cost + 5, 'audit': 'I' || eu.audit, 'said': E'user:\n' || eu.said}]), eu,
+    list_min([ca, {'cost': cu.cost + 5, 'audit': 'I' || cu.audit, 'said': E'user:\n' || cu.said}])
+  FROM (
+    SELECT *, list_min([cu, {'cost': ca.cost + 5, 'audit': 'I' || ca.audit, 'said': E'assistant:\n' || ca.said}]) AS eu
+    FROM (
+      SELECT conv_id, i,
+        list_min([d0, CASE WHEN stays AND initial = 's' THEN {'cost': bs.cost + more, 'audit': 'K' || bs.audit, 'said': own || bs.said} END,
+                  CASE WHEN stays AND initial = 'u' THEN ku END, ru]) AS c0,
+        list_min([ds, CASE WHEN stays AND initial = 'u' THEN ku END, ru]) AS cs,
+        list_min([du, CASE WHEN stays AND initial = 'a' THEN {'cost': ba.cost + more, 'audit': 'K' || ba.audit, 'said': own || ba.said} END,
+                  CASE WHEN stays THEN {'cost': ba.cost + more + 1, 'audit': 'R' || ba.audit, 'said': 'assistant:' || text || chr(10) || ba.said} END]) AS cu,
+        list_min([da, CASE WHEN stays AND initial = 'u' THEN ku END, ru]) AS ca
+      FROM (
+        SELECT b.conv_id, b.i - 1 AS i, b.bs, b.ba, f.initial, f.text, f.fault IN ('', 'truncated') AS stays,
+               CASE f.fault WHEN 'truncated' THEN 5 ELSE 0 END AS more, f.role || ':' || f.text || chr(10) AS own,
+               {'cost': b.bu.cost + more, 'audit': 'K' || b.bu.audit, 'said': own || b.bu.said} AS ku,
+               CASE WHEN stays THEN {'cost': b.bu.cost + more + 1, 'audit': 'R' || b.bu.audit, 'said': 'user:' || f.text || chr(10) || b.bu.said} END AS ru,
+               {'cost': b.b0.cost + 2, 'audit': 'D' || b.b0.audit, 'said': b.b0.said} AS d0, {'cost': b.bs.cost + 2, 'audit': 'D' || b.bs.audit, 'said': b.bs.said} AS ds,
+               {'cost': b.bu.cost + 2, 'audit': 'D' || b.bu.audit, 'said': b.bu.said} AS du, {'cost': b.ba.cost + 2, 'audit': 'D' || b.ba.audit, 'said': b.ba.said} AS da
+        FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i))))
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(b.b0.cost, 0) AS BIGINT) AS cost, coalesce(b.b0.audit, '') AS audit,
+       sha256(coalesce(CASE WHEN b.b0.said = '' THEN '' ELSE substr(b.b0.said, 1, length(b.b0.said) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = 0
+"""
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged, its faults, the least edits that mend it, and a digest of what they give."""
