@@ -25,7 +25,7 @@ from veilframe.operators.rehydrate import (
 from veilframe.operators.spans import entity_spans, knowledge_tokens
 from veilframe.operators.substrings import check_outgoing, find_leaks
 from veilframe.operators.tokens import (
-    apply_placeholders, assign_placeholders, continue_session, gateway_placeholder, span_rows,
+    assign_placeholders, continue_session, gateway_placeholder, replace_spans, span_rows,
 )
 from veilframe.plans.client import client_scan, combined_scan, with_client_spans, with_entities
 from veilframe.plans.conversation import (
@@ -137,9 +137,13 @@ SESSION_KEPT = ("sk AS MATERIALIZED (SELECT w.doc_id, struct_pack(s := w.s, e :=
 
 
 def session_tokens(spark, sf):
-    df = cut_lineage(with_client_spans(d.corpus(spark, sf)))
-    rows = span_rows(df, ["doc_id", "session"])
-    return df, assign_placeholders(rows, ["session"], "doc_id")
+    """Span rows of all texts, written without the texts, and the token table of their sessions."""
+    rows = cut_lineage(span_rows(with_client_spans(d.corpus(spark, sf)), ["doc_id", "session"]))
+    return rows, assign_placeholders(rows, ["session"], "doc_id")
+
+
+def session_redaction(spark, sf, rows, tokens):
+    return replace_spans(d.corpus(spark, sf), rows, tokens, ["doc_id"], ["session"])
 
 
 @query("r3_session_tokens",
@@ -168,9 +172,8 @@ def r3_append(spark, sf):
        f"{SESSION}, {SESSION_KEPT}, o AS ({g.splice('corpus', 'sk')}) "
        "SELECT doc_id, out AS sanitized_text FROM o")
 def r3(spark, sf):
-    df, tokens = session_tokens(spark, sf)
-    return apply_placeholders(df, tokens, ["doc_id"], ["session"]).select(
-        "doc_id", "sanitized_text")
+    rows, tokens = session_tokens(spark, sf)
+    return session_redaction(spark, sf, rows, tokens).select("doc_id", "sanitized_text")
 
 
 def staged(stages) -> str:
@@ -251,10 +254,9 @@ ALL_TEXT = f"{CORPUS} SELECT doc_id, text AS rehydrated FROM corpus"
 
 @query("r9_rehydrate_session", ALL_TEXT)
 def r9(spark, sf):
-    df, tokens = session_tokens(spark, sf)
-    out = apply_placeholders(df, tokens, ["doc_id"], ["session"]).select(
-        "doc_id", "session", "sanitized_text")
-    out, tokens = cut_lineage(out), cut_lineage(tokens)
+    rows, tokens = session_tokens(spark, sf)
+    tokens = cut_lineage(tokens)
+    out = cut_lineage(session_redaction(spark, sf, rows, tokens).select("doc_id", "session", "sanitized_text"))
     return rehydrate(out, tokens, ["doc_id"], ["session"], "sanitized_text").select(
         "doc_id", "rehydrated")
 
@@ -313,8 +315,8 @@ def r11_maps(spark, sf):
        f"{SESSION}, q AS (SELECT doc_id, session, lower(text) AS text FROM corpus) SELECT doc_id, "
        "m.v AS original FROM q JOIN m ON m.session = q.session AND contains(q.text, m.v)")
 def r12(spark, sf):
-    df, tokens = session_tokens(spark, sf)
-    texts = df.select("doc_id", "session", F.lower("text").alias("text"))
+    _, tokens = session_tokens(spark, sf)
+    texts = d.corpus(spark, sf).select("doc_id", "session", F.lower("text").alias("text"))
     return find_leaks(texts, cut_lineage(tokens), ["doc_id"], ["session"]).select(
         "doc_id", "original")
 
@@ -326,10 +328,9 @@ def r12(spark, sf):
        "contains(q.text, m.v) GROUP BY doc_id) SELECT q.doc_id, l.n IS NULL AS safe, l.v AS "
        "leaked_token FROM q LEFT JOIN l ON l.doc_id = q.doc_id")
 def r12_check(spark, sf):
-    df, tokens = session_tokens(spark, sf)
-    out = apply_placeholders(df, tokens, ["doc_id"], ["session"]).select(
-        "doc_id", "session", "sanitized_text")
-    out, tokens = cut_lineage(out), cut_lineage(tokens)
+    rows, tokens = session_tokens(spark, sf)
+    tokens = cut_lineage(tokens)
+    out = cut_lineage(session_redaction(spark, sf, rows, tokens).select("doc_id", "session", "sanitized_text"))
     return check_outgoing(out, tokens, ["doc_id"], ["session"], "sanitized_text").select(
         "doc_id", "safe", "leaked_token")
 

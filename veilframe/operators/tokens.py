@@ -136,3 +136,30 @@ def apply_placeholders(df: DataFrame, tokens: DataFrame, key: Sequence[str],
     placed = dirty.join(named, list(key)).withColumn(out, pinned(
         splice(body, F.col("_places"), lambda s: s["placeholder"]))).drop("_places")
     return clean.unionByName(placed.select(*clean.columns))
+
+
+def replace_spans(df: DataFrame, rows: DataFrame, tokens: DataFrame, key: Sequence[str],
+                  scope: Sequence[str], text: str = "text", out: str = "sanitized_text",
+                  count: str = "redacted_count") -> DataFrame:
+    """Replace spans that are kept apart from their texts (rows of ``span_rows``) by their placeholders.
+
+    Texts meet their places once, in one join on ``key``, which names a text; nulls in keys and
+    scopes are values like others, so that no text stays as it was for want of a key.
+    """
+    def same(left, right, names):
+        condition = F.lit(True)
+        for name in names:
+            condition = F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}")) & condition
+        return condition
+    columns = list(dict.fromkeys([*key, *scope]))
+    found = rows.select(*columns, "start", "end", F.col("value").alias("original")).alias("r")
+    known = tokens.select(*scope, "original", "placeholder").alias("k")
+    places = (found.join(known, same("r", "k", [*scope, "original"]))
+              .groupBy(*[F.col(f"r.{k}").alias(k) for k in key])
+              .agg(F.array_sort(F.collect_list(F.struct("r.start", "r.end", "k.placeholder"))).alias("_places")))
+    joined = df.alias("d").join(places.alias("p"), same("d", "p", key), "left").select("d.*", "p._places")
+    body = F.coalesce(F.col(text), F.lit(""))
+    return joined.withColumns({
+        out: F.when(F.col("_places").isNull(), body).otherwise(
+            pinned(splice(body, F.col("_places"), lambda s: s["placeholder"]))),
+        count: F.coalesce(F.size("_places"), F.lit(0))}).drop("_places")

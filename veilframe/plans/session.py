@@ -10,7 +10,7 @@ from veilframe.columns import pinned
 from veilframe.lineage import cut_lineage
 from veilframe.operators.overlap import drop_overlapping, in_text_order
 from veilframe.operators.substrings import check_outgoing
-from veilframe.operators.tokens import apply_placeholders, assign_placeholders, span_rows
+from veilframe.operators.tokens import assign_placeholders, replace_spans, span_rows
 from veilframe.plans.client import with_client_spans, with_entities
 from veilframe.rules.client import CLIENT_RULES
 from veilframe.rules.entities import ENTITY_RULES
@@ -33,19 +33,19 @@ def intercept(df: DataFrame, key: Sequence[str], scope: Sequence[str], order: st
               **options) -> tuple[DataFrame, DataFrame]:
     """Sanitised texts with session placeholders, and the session token table.
 
-    The spans are needed for numbering and again for replacing, so the scan's result is
-    checkpointed; ``spanned`` says that the frame already carries its ``spans`` from a
-    written table. ``check`` adds the leak check.
+    The spans are needed for numbering and again for replacing, so they are written, with the key, scope
+    and order alone; texts are read again and meet their places in one join. ``spanned`` says that the frame already carries its
+    ``spans``. ``check`` adds the leak check.
     """
-    if not spanned:
-        df = cut_lineage(intercept_spans(df, text, **options))
-    rows = span_rows(df, list(dict.fromkeys([*key, *scope, order])))
+    columns = list(dict.fromkeys([*key, *scope, order]))
+    found = df if spanned else intercept_spans(df, text, **options)
+    rows = cut_lineage(span_rows(found, columns))
     tokens = assign_placeholders(rows, scope, order)
-    out = apply_placeholders(df, tokens, key, scope, text)
+    if check:  # read by the replacing and by the check
+        tokens = cut_lineage(tokens)
+    out = replace_spans(df, rows, tokens, key, scope, text)
     body = F.coalesce(F.col(text), F.lit(""))
-    out = out.withColumn("redacted_count", F.size("spans")).withColumn(
-        "is_safe", (F.size("spans") == 0) | (F.col("sanitized_text") != body))
+    out = out.withColumn("is_safe", (F.col("redacted_count") == 0) | (F.col("sanitized_text") != body))
     if check:
-        out, tokens = cut_lineage(out), cut_lineage(tokens)
-        out = check_outgoing(out, tokens, key, scope, "sanitized_text")
+        out = check_outgoing(cut_lineage(out), tokens, key, scope, "sanitized_text")
     return out, tokens
