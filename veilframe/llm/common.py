@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -42,13 +43,31 @@ def only_for(operator: str) -> None:
         if close is not None:
             close()
     gc.collect()
+    _return_memory()
+
+
+def _return_memory() -> None:
+    """What was freed goes back to the machine, where the C library can do that; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
-    try:  # memory that was freed goes back to the machine, where the C library can do that
+    try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
 
 
+def trimmed(operator: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work for an operator, before which other operators' things are let go, and after which its memory is given back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_for(operator)
+        try:
+            yield from run(batches)
+        finally:
+            _return_memory()
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, text: str, rows: int = BATCH_ROWS, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that no part holds more than `rows` rows or, but for one long text, `chars` bytes of text."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -86,14 +105,13 @@ def map_texts(
     picked = df.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)), F.col(f"`{text}`").cast(kind).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_for(make.__module__.rpartition(".")[2])
         work = make()
         for batch in batches:
             for part in slices(batch, "t", rows, chars):
                 made = list(work(part.column("t").to_pylist()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(trimmed(make.__module__.rpartition(".")[2], run), schema)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -101,7 +119,30 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark, 'llm')}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.folder = path
+    return back
+
+
+#: Seconds between two collections of what the driver no longer holds.
+COLLECT_SECONDS = 20
+_collected = 0.0
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing will read any more, as what came of them is written itself.
+
+    Now and then, what the driver no longer holds is let go too, so that Spark deletes its shuffle files, on all machines.
+    """
+    global _collected
+    for table in tables:
+        spark = table.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if time.monotonic() - _collected > COLLECT_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def text_key(text: Column) -> Column:

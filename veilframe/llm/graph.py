@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from veilframe.llm.common import written
+from veilframe.llm.common import discard, written
 
 
 def _towards_least(edges: DataFrame, both: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     state = None
     while True:
-        edges = written(_towards_least(_towards_least(edges, both=True), both=False), "edges")
+        before, edges = edges, written(_towards_least(_towards_least(edges, both=True), both=False), "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

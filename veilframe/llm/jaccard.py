@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from veilframe.llm.common import map_texts, most_frequent, slices, written
+from veilframe.llm.common import discard, map_texts, most_frequent, slices, trimmed, written
 from veilframe.llm.graph import components
 from veilframe.llm.shingles import mixed, shingle_sets
 
@@ -163,8 +163,8 @@ def frequent_keys(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarra
             n = np.bincount(at, counts).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], names=["key", "n"])
 
-    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(deal, "bucket long, keys binary, nodes binary")
-    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "key long, n long")
+    packed = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(trimmed("jaccard", deal), "bucket long, keys binary, nodes binary")
+    counts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed("jaccard", count), "key long, n long")
     top = most_frequent(written(counts, "counts"), FREQUENT).toPandas().sort_values(["n", "key"])
     return top["key"].to_numpy(np.int64).view(np.uint64)
 
@@ -233,8 +233,8 @@ def posting_lists(rows: DataFrame) -> DataFrame:
                 cut = np.flatnonzero(several)[at:at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(nodes[cut])], names=["token", "node"])
 
-    packed = rows.where(F.size("prefix") > 0).select("node", "prefix").mapInArrow(deal, "bucket long, keys binary, nodes binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lists, "token long, node long")
+    packed = rows.where(F.size("prefix") > 0).select("node", "prefix").mapInArrow(trimmed("jaccard", deal), "bucket long, keys binary, nodes binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed("jaccard", lists), "token long, node long")
 
 
 def fitting(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
@@ -289,8 +289,8 @@ def sieve(keys: DataFrame) -> DataFrame:
                 held[at] = held[at] | np.frombuffer(raw, np.uint8) if at in held else np.frombuffer(raw, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "bits"])
 
-    marked = keys.select(_bit(F.col(keys.columns[0])).alias("bit")).mapInArrow(mark, "at long, bits binary")
-    return written(marked.repartition("at").mapInArrow(join, "at long, bits binary"), "sieve")
+    marked = keys.select(_bit(F.col(keys.columns[0])).alias("bit")).mapInArrow(trimmed("jaccard", mark), "at long, bits binary")
+    return written(marked.repartition("at").mapInArrow(trimmed("jaccard", join), "at long, bits binary"), "sieve")
 
 
 def _bit(key: Column) -> Column:
@@ -350,7 +350,7 @@ def _compared(sets: DataFrame, column: str, width: type, percent: int, frequent:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     dealt = sets.select(F.explode("ats").alias("at"), F.col("node").alias("b"), F.col(column).alias("set")).select("at.*", "b", "set")
-    return dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a"), "b").mapInArrow(compare, "a long, b long")
+    return dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a"), "b").mapInArrow(trimmed("jaccard", compare), "a long, b long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int, turn: int) -> DataFrame:
@@ -363,14 +363,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np
     sets = sets_of(_nodes_with_partners(_from_leads(pairs, turn)), classes, docs, key, text, k)
     left = written(_compared(sets.select("node", "ats", "short"), "short", np.uint16, percent, frequent).distinct(), "left")
     both = _compared(sets.select("node", "full").join(_nodes_with_partners(left), "node"), "full", np.uint64, percent, frequent)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    discard(sets, left)
+    return links
 
 
 def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """The columns of `nodes`, and the sets of these classes as sorted 16-bit (`short`) and 64-bit (`full`) hashes."""
     wanted = written(nodes.join(classes.select("node", "doc"), "node"), "wanted")
     texts = docs.select(F.col(f"`{key}`").alias("its"), F.col(f"`{text}`").alias("t"))
-    texts = sifted(texts, "its", sieve(wanted.select("doc")))[0].join(wanted, F.col("its").eqNullSafe(F.col("doc")))
+    bitmap = sieve(wanted.select("doc"))
+    texts = sifted(texts, "its", bitmap)[0].join(wanted, F.col("its").eqNullSafe(F.col("doc")))
 
     def make():
         def work(texts: list) -> list[pa.Array]:
@@ -383,7 +386,9 @@ def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, tex
 
     fields = [T.StructField("made", T.LongType()), T.StructField("short", T.BinaryType()), T.StructField("full", T.BinaryType())]
     made = map_texts(texts, tuple(nodes.columns), "t", fields, make).where("made = node").drop("made")
-    return written(made.dropDuplicates(["node"]), "sets")
+    sets = written(made.dropDuplicates(["node"]), "sets")
+    discard(wanted, bitmap)
+    return sets
 
 
 def _forest(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
@@ -458,6 +463,7 @@ def heavy_links(heavy: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     blocks, met = cells(written(nodes, "clustered"), percent)
     sets = sets_of(blocks, classes, docs, key, text, k)
     dealt = sets.join(met, "block").select("i", "j", "node", "root", "full")
+    del nodes, blocks
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
@@ -474,7 +480,7 @@ def heavy_links(heavy: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
                 rows.append((node, root, np.frombuffer(raw, np.uint64)))
         yield done()
 
-    return dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(trimmed("jaccard", compare), "a long, b long").distinct()
 
 
 def _several(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -509,11 +515,15 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
         pairs = named.join(lead, "token").where("root <> lead.root").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "stars")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = written(verified(written(fitting(pairs, shared, percent), "fitting"), *args, turn), "links")
+        near = written(fitting(pairs, shared, percent), "fitting")
+        more = verified(near, *args, turn)
+        discard(near)
         if turn and more.isEmpty():
             break
         links = more if links is None else links.unionByName(more)
-        roots = written(components(links), "roots")
+        before, roots = roots, written(components(links), "roots")
+        if before is not None:
+            discard(before)
     named = written(_several(lists, roots), "named")
     long_ = named.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") > LIGHT).select("token")
     heavy = written(named.join(long_, "token", "left_semi"), "heavy")
@@ -528,7 +538,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     across = written(fitting(across.join(tested, ["a", "b"], "left_anti"), shared, percent), "across")
     final = roots
     if not across.isEmpty():
-        more = written(verified(across, *args, ROUNDS), "more")
+        more = verified(across, *args, ROUNDS)
         if not more.isEmpty():
             final = written(components(links.unionByName(more)), "roots")
     final = final.join(classes.select("node", "doc"), "node").select("node", "root", "doc")

@@ -12,7 +12,7 @@ import xxhash
 
 from veilframe.llm.common import held
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
