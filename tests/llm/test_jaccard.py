@@ -44,9 +44,9 @@ def rows(n=260):
     return made + [(900, None), (901, ""), (902, " \t\n"), (903, "one"), (904, "ONE"), (905, "a b c d"), (906, "A  b\nc d"), (907, "É b c d"), (908, "é b c d")]
 
 
-@pytest.mark.parametrize("light, cell, rounds", [(64, 256, 3), (2, 16, 1)])
-def test_components_equal_brute_force(frame, monkeypatch, light, cell, rounds):
-    for name, value in (("OFTEN", 4), ("LIGHT", light), ("CELL", cell), ("ROUNDS", rounds)):
+@pytest.mark.parametrize("split, rounds", [(4, ((0,), (1, 2))), (0, ((0,),))])
+def test_components_equal_brute_force(frame, monkeypatch, split, rounds):
+    for name, value in (("OFTEN", 4), ("SPLIT", split), ("ROUNDS", rounds)):
         monkeypatch.setattr(jaccard, name, value)
     given = rows()
     got = jaccard.components_of(frame([(*r, 1) for r in given], "doc_id long, text string, n long"))
@@ -98,30 +98,46 @@ def test_a_hot_group_with_small_parts_equals_brute_force(frame, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(given)
 
 
-def test_one_unlinked_class_does_not_send_a_joined_group_around(spark):
-    nodes = [(i, 1, 7, 100 + i % 5) for i in range(3000)] + [(3000, 2, 7, 101), (3001, 3, 7, 900)]
-    blocks, met = jaccard.cells(spark.createDataFrame(nodes, "node long, root long, cluster long, n long"), 80)
-    sent = blocks.join(met, "block").select("node", "root", "i", "j").collect()
-    assert len(sent) < 3100  # 12 blocks each before: 36,024
-    held = {}
-    for r in sent:
-        held.setdefault((r["i"], r["j"]), set()).add(r["node"])
-    # each class of the group meets the one it may link with; the other is too long for any
-    assert {n for c in held.values() if 3000 in c for n in c} >= set(range(3001))
-    assert all(len(c) == 1 for c in held.values() if 3001 in c)
-
-
-@pytest.mark.parametrize("percent", [80, 100, 33])
-def test_cells_hold_all_pairs_that_may_link(spark, monkeypatch, percent):
-    monkeypatch.setattr(jaccard, "CELL", 8)
-    rng = random.Random(percent)
-    nodes = [(i, rng.choice([1, 2, 2, 3, 100 + i]), rng.choice([7, 8]), rng.choice([1, 2, 4, 5, 10, 80, 99, 100, 125, 300])) for i in range(150)]
-    blocks, met = jaccard.cells(spark.createDataFrame(nodes, "node long, root long, cluster long, n long"), percent)
-    held = {}
-    for r in blocks.join(met, "block").collect():
-        held.setdefault((r["i"], r["j"]), set()).add(r["node"])
-    together = {(a, b) for c in held.values() for a in c for b in c}
-    for a, ra, ca, na in nodes:
-        for b, rb, cb, nb in nodes:
-            if ra != rb and ca == cb and 100 * min(na, nb) >= percent * max(na, nb):
-                assert (a, b) in together
+def pairs_of(df, percent=80):
+    """The pairs that lists make where every class is a component of its own, and those whose fronts fit."""
+    posted = jaccard.written(jaccard.posted(df, jaccard.frequent_keys(df, "text", 5, percent), "doc_id", "text", 5, percent), "posted")
+    lists = jaccard.written(jaccard.posting_lists(posted), "lists")
+    pairs = jaccard.written(jaccard.pairs_across(lists.selectExpr("*", "node AS root"), posted, percent), "pairs")
+    near = jaccard._compared(jaccard.fronts_of(jaccard._nodes_with_partners(pairs), posted), "front", jaccard._front, jaccard._fronts_fit, percent)
+    return posted, pairs, near
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_texts_of_one_common_line_and_own_words_make_no_pairs(frame, n):
+    line = "the quick brown fox jumps over the lazy dog and runs away"
+    df = frame([(i, f"{line} a{i} b{i}") for i in range(n)])
+    _, pairs, near = pairs_of(df)
+    assert pairs.count() == 0 and near.count() == 0
+    assert {(r["n_shingles"], r["component_id"] == r["doc_id"]) for r in jaccard.components_of(df).collect()} == {(10, True)}
+
+
+@pytest.mark.parametrize("percent, split", [(80, 0), (80, 4), (100, 0), (33, 0), (55, 1e9)])
+def test_pairs_hold_all_links(frame, monkeypatch, percent, split):
+    monkeypatch.setattr(jaccard, "OFTEN", 4)
+    monkeypatch.setattr(jaccard, "SPLIT", split)
+    given = rows(150)
+    posted, pairs, near = pairs_of(frame(given), percent)
+    node = {r["doc_id"]: r["node"] for r in posted.collect()}
+    made = {frozenset((r["a"], r["b"])) for r in pairs.collect()}
+    fit = {frozenset((r["a"], r["b"])) for r in near.collect()}
+    sets = {}
+    for key, text in given:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        sets[key] = {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+    links = {frozenset((node[i], node[j])) for i, a in sets.items() for j, b in sets.items()
+             if i < j and a and b and node[i] != node[j] and 100 * len(a & b) >= percent * len(a | b)}
+    assert links <= fit <= made
+
+
+def test_fronts_that_cannot_reach_the_similarity_are_told():
+    front = lambda n, *prefixes: (n, [np.array(sorted(x), np.uint32) for x in prefixes])
+    one = front(10, [1, 2, 3], [1, 2, 3], [1, 2, 3])
+    assert jaccard._fronts_fit(one, one, 80)
+    assert not jaccard._fronts_fit(one, front(10, [1, 2, 3], [4, 5, 6], [1, 2, 3]), 80)  # nothing in common under one order
+    assert not jaccard._fronts_fit(one, front(10, [1, 7, 8], [1, 2, 3], [1, 2, 3]), 80)  # 1 + 7 of the 9 that a link needs
+    assert not jaccard._fronts_fit(one, front(13, [1, 2, 3], [1, 2, 3], [1, 2, 3]), 80)  # sizes

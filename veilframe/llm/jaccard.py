@@ -8,14 +8,17 @@ share do not gather these texts; any order is exact, frequency only saves work.
 
 1. Count, over all texts, the shingles near the front of the first order; the `FREQUENT` most
    frequent ones (a bounded list) close every order.
-2. Equal sets become one class. Each class posts its prefix under the first order.
+2. Equal sets become one class, with its prefix under each order. Prefixes under the first order are posted,
+   each posting with the set's size and what of the set is left from its place on: two linked sets
+   meet at a shingle from which on both have as many left as they must have in common.
 3. Every posting list pairs its members with one of them, so that groups of near copies join at
-   linear cost; a few such rounds follow, with lists that still hold several components. A pair must have sizes that allow the link, enough common shingles in
-   the prefix, and common prefix shingles under all other orders; then the sets are compared.
-4. Short lists that still hold several components give the pairs across components, through the
-   same filters and the same check; the classes of long ones are compared in blocks of like size, which
-   return no more links than classes. Blocks of one large component never meet; smaller components
-   share blocks, and classes in blocks are compared by their sets alone, without the filters.
+   linear cost; lists that still hold several components do so again with two other members.
+4. Lists that still hold several components give the pairs across components, of sizes that allow a link.
+   Where that makes many more pairs than its members have shingles in their prefixes, a list is split by
+   the shingles of the second order, and these lists by those of the third: pairs that would share no prefix
+   under these orders are not made.
+5. Of each pair, prefixes under all orders meet first: they must have shingles in common under each, and enough
+   for the rest of the sets to make up what is missing. Only for pairs that pass, sets meet.
 
 All links between different components are thus tested; components are exact. Sets are compared
 as 64-bit hashes; classes are named by a 64-bit hash of their set. Postings are shuffled in
@@ -26,7 +29,7 @@ holds one bucket of them at a time. Pairs of one class are compared in parts.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +51,10 @@ BLOCK = 1_000_000
 BUCKETS = 4096
 #: Fixed odd factors; each gives another order.
 ORDERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)
-#: Rounds of pairing each list with one of its members, before pairs across components are made.
-ROUNDS = 3
-#: Longer lists than this are compared in blocks of about CELL classes, which share CELL_COLUMNS hashes at a time.
-LIGHT = 64
-CELL = 256
-CELL_COLUMNS = 4096
+#: The members, told by hashes of these numbers, that lists are paired with in each round before pairs across components are made.
+ROUNDS = ((0,), (1, 2))
+#: A list is split by the next order if it would make this many times more pairs than rows by splitting.
+SPLIT = 4
 #: Bits of the map of texts that are compared: a fixed size, sent to every task; if it fills, more texts are joined.
 SIEVE_BITS = 1 << 23
 SIEVE_ROW = 1 << 11
@@ -87,20 +88,23 @@ class Order:
             at = np.minimum(np.searchsorted(self.sorted, identity), len(self.sorted) - 1)
             found = self.sorted[at] == identity
             key = key.copy()
-            key[found] = _LAST + self.rank[at[found]].astype(np.uint64)
+            rank = self.rank[at[found]].astype(np.uint64)
+            # frequent ones of like counts change places from order to order too
+            key[found] = _LAST + (rank if factor == ORDERS[0] else rank ^ np.uint64(factor >> 7 & 63))
         return key
 
     def prefixes(self, values: np.ndarray, ends: np.ndarray, lengths: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first keys of each set under one order, and where each set's begin."""
-        n = np.diff(ends)
-        doc = np.repeat(np.arange(len(n)), n)
+        """The first keys of each set under one order, ascending, and where each set's begin."""
         key = self.keys(values, factor)
-        order = np.lexsort((key, doc))
-        place = np.arange(len(doc)) - np.repeat(ends[:-1], n)
-        return key[order][place < np.repeat(lengths, n)], np.concatenate(([0], np.cumsum(lengths)))
+        at = np.concatenate(([0], np.cumsum(lengths)))
+        made = np.empty(at[-1], np.uint64)
+        for i in np.flatnonzero(lengths).tolist():
+            own, n = key[ends[i]:ends[i + 1]], int(lengths[i])
+            made[at[i]:at[i + 1]] = np.sort(np.partition(own, n - 1)[:n] if n < len(own) else own)
+        return made, at
 
 
-def _dealt(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+def _dealt(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray | None = None) -> pa.RecordBatch:
     """Postings in packed form, a row for each bucket.
 
     The bucket is of the whole key, and of key and node where the key is frequent, so that its list is dealt out too.
@@ -114,8 +118,10 @@ def _dealt(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(cuts, len(keys))
     blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
-    columns = [pa.array(bucket[cuts], pa.int64()), blobs(keys), blobs(nodes[order])]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "nodes"])
+    columns = {"bucket": pa.array(bucket[cuts], pa.int64()), "keys": blobs(keys), "nodes": blobs(nodes[order])}
+    if sizes is not None:
+        columns["sizes"] = blobs(sizes[order])
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[np.ndarray]]:
@@ -181,14 +187,18 @@ def _names(values: np.ndarray, ends: np.ndarray) -> list[int | None]:
 
 
 def posted(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(key, n, node, prefix) of each row; the prefix is empty where the task has posted the same set before."""
-    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    """(key, n, node, prefix, front) of each row; prefix and front are left out where the task has posted the same set before.
+
+    The prefix is that under the first order; the front is n and the prefixes under all orders, in 32 bits each.
+    """
+    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("front", T.BinaryType())]
 
     def make():
         order, known = Order(frequent), set()
 
         def work(texts: list) -> list[pa.Array]:
             values, ends = shingle_sets(texts, k)
+            n = np.diff(ends)
             nodes = _names(values, ends)
             fresh = np.zeros(len(texts), bool)
             for i, node in enumerate(nodes):
@@ -197,8 +207,13 @@ def posted(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, p
                     known.add(node)
             if len(known) > KNOWN:
                 known.clear()
-            keys, at = order.prefixes(values, ends, np.where(fresh, prefix_length(np.diff(ends), percent), 0), ORDERS[0])
-            return [pa.array(np.diff(ends)), pa.array(nodes, pa.int64()), _lists(keys, at)]
+            lengths = np.where(fresh, prefix_length(n, percent), 0)
+            made = [order.prefixes(values, ends, lengths, f) for f in ORDERS]
+            short = [x.astype(np.uint32) for x, _ in made]
+            at = made[0][1].tolist()
+            fronts = [np.concatenate([np.array([size], np.uint32), *(np.sort(x[a:b]) for x in short)]).tobytes() if new else None
+                      for size, new, a, b in zip(n.tolist(), fresh.tolist(), at[:-1], at[1:])]
+            return [pa.array(n), pa.array(nodes, pa.int64()), _lists(*made[0]), pa.array(fronts, pa.binary())]
 
         return work
 
@@ -206,54 +221,115 @@ def posted(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, p
 
 
 def posting_lists(rows: DataFrame) -> DataFrame:
-    """(token, node) for each member of each list of several classes, and of each list of a frequent shingle."""
+    """(token, node, n, rest) for each member of each list of several classes, and of each list of a frequent shingle.
+
+    n is the size of the set; rest is how many of its shingles do not stand before the token in the order.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, nodes = batch.column("prefix"), batch.column("node").to_numpy(zero_copy_only=False)
+            lists, nodes, sizes = batch.column("prefix"), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
             for at in range(0, len(lists), 2048):
                 part = lists.slice(at, 2048)
                 lengths = np.diff(part.offsets.to_numpy())
-                yield _dealt(part.flatten().to_numpy().view(np.uint64), np.repeat(nodes[at:at + 2048], lengths))
+                n = np.repeat(sizes[at:at + 2048], lengths).astype(np.uint64)
+                place = np.arange(len(n)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                yield _dealt(part.flatten().to_numpy().view(np.uint64), np.repeat(nodes[at:at + 2048], lengths), n << np.uint64(32) | (n - place.astype(np.uint64)))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, nodes in _whole_buckets(batches, "keys", "nodes"):
+        for keys, nodes, sizes in _whole_buckets(batches, "keys", "nodes", "sizes"):
             nodes = nodes.view(np.int64)
             order = np.lexsort((nodes, keys))
-            keys, nodes = keys[order], nodes[order]
+            keys, nodes, sizes = keys[order], nodes[order], sizes[order]
             new = np.ones(len(keys), bool)
             new[1:] = keys[1:] != keys[:-1]
             kept = new.copy()
             kept[1:] |= nodes[1:] != nodes[:-1]  # a class posts once for each task that met it
-            keys, nodes, new = keys[kept], nodes[kept], new[kept]
+            keys, nodes, sizes, new = keys[kept], nodes[kept], sizes[kept], new[kept]
             group = np.cumsum(new) - 1
             size = np.bincount(group)
             several = (size[group] > 1) | (keys >= _LAST)
             for at in range(0, int(several.sum()), 100_000):
                 cut = np.flatnonzero(several)[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(nodes[cut])], names=["token", "node"])
+                n, rest = (sizes[cut] >> np.uint64(32)).astype(np.int64), (sizes[cut] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(nodes[cut]), pa.array(n), pa.array(rest)], names=["token", "node", "n", "rest"])
 
-    packed = rows.where(F.size("prefix") > 0).select("node", "prefix").mapInArrow(trimmed("jaccard", deal), "bucket long, keys binary, nodes binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed("jaccard", lists), "token long, node long")
+    packed = rows.where(F.size("prefix") > 0).select("node", "n", "prefix").mapInArrow(trimmed("jaccard", deal), "bucket long, keys binary, nodes binary, sizes binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed("jaccard", lists), "token long, node long, n long, rest long")
 
 
-def fitting(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and common prefix shingles allow the similarity.
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sizes allow two sets that meet at a shingle to link, if it is the first they have in common.
 
-    Of two prefixes, the one that ends first in the order holds all common shingles up to there; so
-    the sets have in common at most what the prefixes have, and what lies beyond one of them.
+    They have at most in common what both have left from there; linked sets must have percent / (100 + percent) of both sizes.
+    """
+    n = [F.col(f"{x}n") for x in (a, b)]
+    return (F.least(*n) * 100 >= percent * F.greatest(*n)) & (F.least(f"{a}rest", f"{b}rest") * (100 + percent) >= percent * (n[0] + n[1]))
+
+
+def star_pairs(named: DataFrame, turns: tuple[int, ...], percent: int) -> DataFrame:
+    """(a, b): each member b of a list (token, node, n, rest, root) with the leads a of the list, of which there is one for each turn."""
+    lead = [F.min(F.struct(_turned("node", t).alias("by"), "node", "root", "n", "rest")).alias(f"lead_{t}") for t in turns]
+    leads = named.groupBy("token").agg(*lead)
+    met = named.join(leads, "token").withColumn("l", F.explode(F.array(*(f"lead_{t}" for t in turns))))
+    return met.where((F.col("root") != F.col("l.root")) & may_link("", "l.", percent)).select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def pairs_across(named: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of lists (token, node, n, rest, root) across roots, of sizes that allow a link.
+
+    Lists are told apart by ranges of size as well: the lesser set of a link is in the range of the
+    greater or the one below. A list that would make more than SPLIT times as many pairs as its members' prefixes have
+    shingles is split by these, under the second order, then under the third.
     """
-    sides = [shared.select(*(F.col(c).alias(f"{side}_{c}" if c != "node" else side) for c in shared.columns)) for side in "ab"]
-    met = pairs.join(sides[0], "a").join(sides[1], "b")
-    met = met.where(F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n"))
-    beyond = F.greatest(*(F.floor(F.col(f"{s}_n") * percent / 100) for s in "ab"))
-    return met.where((F.size(F.array_intersect("a_tokens", "b_tokens")) + beyond) * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    step = math.log(100 / percent) * (1 + 1e-9)
+    band = F.floor(F.log("n") / step) if percent < 100 else F.col("n")
+    lists = named.withColumn("band", band).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
+    lists = lists.select(F.xxhash64("token", "at").alias("key"), (F.col("at") == F.col("band")).alias("home"), "node", "root", "n", "rest")
+    made = []
+    for order in range(1, len(ORDERS)):
+        members = lists.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum(F.col("n") * (100 - percent) / 100 + 1).alias("tokens"))
+        sums = members.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.sum("tokens").alias("tokens"))
+        split = (F.col("all") * F.col("all") - F.col("within")) / 2 > SPLIT * F.col("tokens")
+        costs = written(sums.where("roots > 1").select("key", split.alias("split")), "costs")
+        made.append(_met(lists.join(costs.where("NOT split"), "key", "left_semi"), percent))
+        if costs.where("split").isEmpty():
+            break
+        lists = written(_split(lists.join(costs.where("split"), "key", "left_semi"), rows, order), "split")
+    else:
+        made.append(_met(lists, percent))
+    pairs = made[0]
+    for more in made[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
+
 
+def _met(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs across roots of each list; the greater set must be in the size range of the list."""
+    one, other = (lists.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("home", "node", "root", "n", "rest"))) for x in "ab")
+    greater = F.struct("b_n", "b_node") < F.struct("a_n", "a_node")
+    met = one.where("a_home").join(other, (one["key"] == other["key"]) & greater & (F.col("a_root") != F.col("b_root")) & may_link("a_", "b_", percent))
+    swap = _turned("b_node", 0) < _turned("a_node", 0)
+    return met.select(F.when(swap, F.col("b_node")).otherwise(F.col("a_node")).alias("a"), F.when(swap, F.col("a_node")).otherwise(F.col("b_node")).alias("b"))
 
-def _from_leads(pairs: DataFrame, turn: int) -> DataFrame:
-    """The pairs with the class first that leads the lists of both in this turn."""
-    swap = F.struct(_turned("b", turn), "b") < F.struct(_turned("a", turn), "a")
-    return pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+def _split(lists: DataFrame, rows: DataFrame, order: int) -> DataFrame:
+    """The lists, split by the shingles that their members have in their prefixes under another order."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                tokens = [_front(x)[1][order] for x in part.column("front").to_pylist()]
+                again = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+                dealt = part.drop_columns(["front", "key"]).take(again)
+                keys = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)[again.to_numpy()]
+                keys = mixed(keys ^ mixed(np.concatenate(tokens).astype(np.uint64) + np.uint64(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *dealt.columns], names=["key", *dealt.schema.names])
+
+    fronts = fronts_of(lists.select("node").distinct(), rows)
+    met = lists.join(fronts, "node").select("key", "home", "node", "root", "n", "rest", "front")
+    return met.mapInArrow(trimmed("jaccard", split), lists.select("key", "home", "node", "root", "n", "rest").schema)
 
 
 def _turned(node: str, turn: int) -> Column:
@@ -310,66 +386,82 @@ def sifted(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, DataF
     return met.where(is_set).select(*df.columns), met.where(~is_set).select(*df.columns)
 
 
-def _compared(sets: DataFrame, column: str, width: type, percent: int, frequent: np.ndarray) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity; sets come sorted by a, that of a first.
+def _front(raw: bytes) -> tuple[int, list[np.ndarray]]:
+    """The size of a set, and its prefix under each order, sorted."""
+    whole = np.frombuffer(raw, np.uint32)
+    return int(whole[0]), np.split(whole[1:], len(ORDERS))
+
+
+def _fronts_fit(a: tuple[int, list[np.ndarray]], b: tuple[int, list[np.ndarray]], percent: int) -> bool:
+    """Whether two fronts allow the similarity.
 
-    Sets in full width must also share prefixes under all other orders. Truncated hashes can only have
-    more in common than the shingles, so what they reject is no link.
+    Of two prefixes, the one that ends first in the order holds all common shingles up to there; so
+    the sets have in common at most what the prefixes have, and what lies beyond one of them. Keys in 32 bits
+    can only have more in common than the shingles, so what is rejected is no link.
     """
-    full = width is np.uint64
+    (m, left), (n, right) = a, b
+    if min(m, n) * 100 < percent * max(m, n):
+        return False
+    beyond = max(m - len(left[0]), n - len(right[0]))
+    for x, y in zip(left, right):
+        at = np.minimum(x.searchsorted(y), len(x) - 1)
+        common = int(np.count_nonzero(x[at] == y))
+        if not common or (common + beyond) * (100 + percent) < percent * (m + n):
+            return False
+    return True
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, current, left, size, prefixes = Order(frequent), None, None, 0, []
 
-        def prefix(values: np.ndarray, factor: int) -> np.ndarray:
-            n = np.array([len(values)])
-            return order.prefixes(values, np.array([0, len(values)]), prefix_length(n, percent), factor)[0]
+def _sets_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    at = np.minimum(a.searchsorted(b), len(a) - 1)
+    return int(np.count_nonzero(a[at] == b)) * (100 + percent) >= percent * (len(a) + len(b))
 
+
+def _compared(dealt: DataFrame, column: str, read: Callable, test: Callable, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass a test of what `read` makes of their column; they come sorted by a, that of a itself first."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = left = None
         for batch in batches:
             found = []
             for a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set"))):
-                values = np.frombuffer(raw, width)
                 if a == b:
-                    if a != current:
-                        current, size = a, len(values)
-                        left = values if full else np.unique(values, return_counts=True)
-                        prefixes = [prefix(values, f) for f in ORDERS[1:]] if full else []
-                    continue
-                if current != a:
-                    raise ValueError("a class whose text is not there")
-                if full:
-                    if not all(np.isin(prefix(values, f), p, assume_unique=True).any() for f, p in zip(ORDERS[1:], prefixes)):
-                        continue
-                    common = len(np.intersect1d(left, values, assume_unique=True))
-                else:
-                    right = np.unique(values, return_counts=True)
-                    _, i, j = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
-                    common = int(np.minimum(left[1][i], right[1][j]).sum())
-                if common * (100 + percent) >= percent * (size + len(values)):
+                    current, left = a, read(raw)
+                elif current != a:
+                    raise ValueError("a class whose set is not there")
+                elif test(left, read(raw), percent):
                     found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    dealt = sets.select(F.explode("ats").alias("at"), F.col("node").alias("b"), F.col(column).alias("set")).select("at.*", "b", "set")
-    return dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a"), "b").mapInArrow(trimmed("jaccard", compare), "a long, b long")
+    each = dealt.select(F.explode("ats").alias("at"), F.col("node").alias("b"), F.col(column).alias("set")).select("at.*", "b", "set")
+    sorted_ = each.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a"), "b")
+    return sorted_.mapInArrow(trimmed("jaccard", compare), "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int, turn: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, those that share prefixes under the other orders and reach the similarity.
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those that share prefixes under all orders and reach the similarity.
 
-    One text of each class is cut into shingles again; a bitmap keeps other texts out of the join.
-    Sets go to each pair they are in, first as 16-bit hashes, then, for what these leave, in full; that
-    of a lead once for each part of its pairs.
+    Fronts go to each pair they are in first, then, for pairs that these leave, sets; those of an a
+    once for each part of its pairs.
     """
-    sets = sets_of(_nodes_with_partners(_from_leads(pairs, turn)), classes, docs, key, text, k)
-    left = written(_compared(sets.select("node", "ats", "short"), "short", np.uint16, percent, frequent).distinct(), "left")
-    both = _compared(sets.select("node", "full").join(_nodes_with_partners(left), "node"), "full", np.uint64, percent, frequent)
-    links = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    discard(sets, left)
+    fronts = fronts_of(_nodes_with_partners(pairs), rows)
+    near = written(_compared(fronts, "front", _front, _fronts_fit, percent), "near")
+    sets = sets_of(_nodes_with_partners(near), classes, docs, key, text, k)
+    both = _compared(sets, "full", lambda raw: np.frombuffer(raw, np.uint64), _sets_link, percent)
+    links = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
+    discard(near, sets)
     return links
 
 
+def fronts_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of `nodes`, and the front of each; a class has one for each task that met it."""
+    return rows.where("front IS NOT NULL").select("node", "front").join(nodes, "node").dropDuplicates(["node"])
+
+
 def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """The columns of `nodes`, and the sets of these classes as sorted 16-bit (`short`) and 64-bit (`full`) hashes."""
+    """The columns of `nodes`, and the sets of these classes as sorted hashes (`full`).
+
+    One text of each class is cut into shingles again; a bitmap keeps other texts out of the join.
+    """
     wanted = written(nodes.join(classes.select("node", "doc"), "node"), "wanted")
     texts = docs.select(F.col(f"`{key}`").alias("its"), F.col(f"`{text}`").alias("t"))
     bitmap = sieve(wanted.select("doc"))
@@ -378,114 +470,21 @@ def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, tex
     def make():
         def work(texts: list) -> list[pa.Array]:
             values, ends = shingle_sets(texts, k)
-            cut = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
-            short = (values >> np.uint64(48)).astype("<u2")
-            return [pa.array(_names(values, ends), pa.int64()), pa.array([short[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())]
+            cut = zip(ends[:-1].tolist(), ends[1:].tolist())
+            return [pa.array(_names(values, ends), pa.int64()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())]
 
         return work
 
-    fields = [T.StructField("made", T.LongType()), T.StructField("short", T.BinaryType()), T.StructField("full", T.BinaryType())]
+    fields = [T.StructField("made", T.LongType()), T.StructField("full", T.BinaryType())]
     made = map_texts(texts, tuple(nodes.columns), "t", fields, make).where("made = node").drop("made")
     sets = written(made.dropDuplicates(["node"]), "sets")
     discard(wanted, bitmap)
     return sets
 
 
-def _forest(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Of the classes (node, root, set) of one cell, links that join what linked pairs join."""
-    sizes = np.array([len(x) for _, _, x in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    _, column, count = np.unique(np.concatenate([x for _, _, x in rows]), return_inverse=True, return_counts=True)
-    owner, column = owner[count[column] > 1], column[count[column] > 1]
-    names, column = np.unique(column, return_inverse=True)
-    common = np.zeros((len(rows), len(rows)), np.float32)
-    for at in range(0, len(names), CELL_COLUMNS):
-        here = (column >= at) & (column < at + CELL_COLUMNS)
-        held = np.zeros((len(rows), CELL_COLUMNS), np.float32)
-        held[owner[here], column[here] - at] = 1
-        common += held @ held.T
-    roots = np.array([r for _, r, _ in rows])
-    linked = (common * (100 + percent) >= percent * (sizes[:, None] + sizes[None, :])) & (roots[:, None] != roots[None, :])
-    group = list(range(len(rows)))
-
-    def find(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    found = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
-        a, b = find(i), find(j)
-        if a != b:
-            group[a] = b
-            found.append((rows[i][0], rows[j][0]))
-    return found
-
-
-def cells(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The classes (node, root, cluster, n) with the block of each, and (block, i, j) for each cell that a block is in.
-
-    A block has about CELL classes of one cluster and one range of sizes. A root with so many has blocks of its
-    own; others share blocks. There are cells only for blocks whose sizes allow links, and none for
-    two blocks of one root.
-    """
-    # the sizes of linked sets are in one range or in neighbouring ones
-    step = math.log(100 / percent) * (1 + 1e-9)
-    banded = nodes.withColumn("band", F.floor(F.log("n") / step) if percent < 100 else F.col("n"))
-    members = banded.groupBy("cluster", "band", "root").agg(F.count("*").alias("members"))
-    owners = members.withColumn("alone", F.col("members") >= CELL).withColumn("owner", F.when(F.col("alone"), F.col("root")).otherwise(F.lit(0)))
-    groups = owners.groupBy("cluster", "band", "alone", "owner").agg(F.ceil(F.sum("members") / CELL).alias("parts"))
-    named = owners.select("cluster", "band", "root", "alone", "owner").join(groups, ["cluster", "band", "alone", "owner"])
-    part = F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts"))
-    block = F.struct("cluster", "band", "alone", "owner", "part")
-    dealt = banded.join(named, ["cluster", "band", "root"]).withColumn("part", part).select("node", "root", block.alias("block"))
-    all_ = groups.select("cluster", "band", "alone", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("cluster", "band", block.alias("block"))
-    near = all_.select("cluster", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("block").alias("i"))
-    met = near.join(all_.select("cluster", "band", F.col("block").alias("j")), ["cluster", "band"]).where("i <= j")
-    met = met.where(~(F.col("i.alone") & F.col("j.alone") & (F.col("i.owner") == F.col("j.owner")))).select("i", "j")
-    both = met.select(F.col("i").alias("block"), "i", "j").unionByName(met.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
-    return dealt, both
-
-
-def heavy_links(heavy: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that join all linked classes of long lists (token, node, root), without their pairs.
-
-    Lists that share members form a cluster, also where no texts link. A cluster's classes are dealt to blocks,
-    and a cell for each two blocks that may have links between roots compares their sets at once; it returns
-    fewer links than it has classes. A class goes to as many cells as there are such blocks: the many of one root
-    once for each block of others, but n classes that are not joined, and alike in size, send about n * n / CELL sets.
-    """
-    least = heavy.groupBy("token").agg(F.min("node").alias("first"))
-    tied = heavy.join(least, "token").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    clusters = written(components(tied).withColumnRenamed("root", "cluster"), "clusters")
-    nodes = heavy.select("node", "root").distinct().join(clusters, "node").join(classes.select("node", "n"), "node")
-    blocks, met = cells(written(nodes, "clustered"), percent)
-    sets = sets_of(blocks, classes, docs, key, text, k)
-    dealt = sets.join(met, "block").select("i", "j", "node", "root", "full")
-    del nodes, blocks
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows = None, []
-
-        def done() -> pa.RecordBatch:
-            found = _forest(rows, percent) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for *at, node, root, raw in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "node", "root", "full"))):
-                if at != cell:
-                    yield done()
-                    cell, rows = at, []
-                rows.append((node, root, np.frombuffer(raw, np.uint64)))
-        yield done()
-
-    return dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(trimmed("jaccard", compare), "a long, b long").distinct()
-
-
 def _several(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """(token, node, root) of the lists whose members are in several components."""
-    named = lists.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+    """The lists (token, node, n, rest) whose members are in several components, with the root of each member."""
+    named = lists.join(roots, "node", "left").select("token", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
     tokens = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     return named.join(tokens, "token", "left_semi")
 
@@ -505,40 +504,26 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     rows = written(posted(docs, frequent, key, text, k, percent), "posted").withColumnRenamed(key, "doc")
     classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n")), "classes")
     lists = written(posting_lists(rows), "lists")
-    # at most a prefix of tokens for each class
-    shared = written(lists.groupBy("node").agg(F.collect_list("token").alias("tokens")).join(classes.select("node", "n"), "node"), "shared")
-    args = (classes, docs, frequent, key, text, k, percent)
-    tested = links = roots = None
-    for turn in range(ROUNDS):
-        named = lists.select("token", "node", F.col("node").alias("root")) if roots is None else _several(lists, roots)
-        lead = named.groupBy("token").agg(F.min(F.struct(_turned("node", turn), "node", "root")).alias("lead"))
-        pairs = named.join(lead, "token").where("root <> lead.root").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "stars")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        near = written(fitting(pairs, shared, percent), "fitting")
-        more = verified(near, *args, turn)
-        discard(near)
-        if turn and more.isEmpty():
-            break
+    args = (rows, classes, docs, key, text, k, percent)
+    links = roots = None
+    for turns in ROUNDS:
+        named = lists.withColumn("root", F.col("node")) if roots is None else written(_several(lists, roots), "named")
+        stars = written(star_pairs(named, turns, percent), "stars")
+        more = verified(stars, *args)
+        discard(stars)
         links = more if links is None else links.unionByName(more)
-        before, roots = roots, written(components(links), "roots")
-        if before is not None:
-            discard(before)
+        if roots is not None:
+            discard(named)
+            if more.isEmpty():
+                break
+            discard(roots)
+        roots = written(components(links), "roots")
     named = written(_several(lists, roots), "named")
-    long_ = named.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") > LIGHT).select("token")
-    heavy = written(named.join(long_, "token", "left_semi"), "heavy")
-    if not heavy.isEmpty():
-        more = written(heavy_links(heavy, classes, docs, key, text, k, percent), "heavy_links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = written(components(links), "roots")
-    light = written(_several(named.select("token", "node").join(long_, "token", "left_anti"), roots), "light")
-    other = light.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "root")))
-    across = light.join(other, "token").where("node < node2 AND root <> root2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    across = written(fitting(across.join(tested, ["a", "b"], "left_anti"), shared, percent), "across")
+    discard(lists)
+    across = written(pairs_across(named, rows, percent), "across")
     final = roots
     if not across.isEmpty():
-        more = verified(across, *args, ROUNDS)
+        more = verified(across, *args)
         if not more.isEmpty():
             final = written(components(links.unionByName(more)), "roots")
     final = final.join(classes.select("node", "doc"), "node").select("node", "root", "doc")

@@ -70,8 +70,12 @@ def sets_of_hashes(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.n
             values.append(_sequence(hashes, begins[short], n))
             docs.append(short)
     value, doc = np.concatenate(values), np.concatenate(docs)
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
+    if len(docs) > 1:
+        order = np.argsort(doc, kind="stable")
+        value, doc = value[order], doc[order]
+    ends = np.searchsorted(doc, np.arange(len(counts) + 1)).tolist()
+    for at, end in zip(ends[:-1], ends[1:]):
+        value[at:end].sort()
     first = np.ones(len(value), bool)
     first[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     value, doc = value[first], doc[first]
