@@ -11,8 +11,8 @@ share do not gather these texts; any order is exact, frequency only saves work.
 2. Equal sets become one class, with its prefix under each order. Prefixes under the first order are posted,
    each posting with the set's size and what of the set is left from its place on: two linked sets
    meet at a shingle from which on both have as many left as they must have in common.
-3. Every posting list pairs its members with one of them, so that groups of near copies join at
-   linear cost; lists that still hold several components do so again with two other members.
+3. Every posting list pairs its members with a few of them, so that groups of near copies join at
+   linear cost (three leads of a list, told by hashes; further rounds may follow for lists that still hold several components).
 4. Lists that still hold several components give the pairs across components, of sizes that allow a link.
    Where that makes many more pairs than its members have shingles in their prefixes, a list is split by
    the shingles of the second order, and these lists by those of the third: pairs that would share no prefix
@@ -46,13 +46,15 @@ FREQUENT = 1 << 16
 OFTEN = 16
 #: The count covers this multiple of the prefix: what may move up when frequent shingles leave it.
 AHEAD = 1.5
+#: But at least so many shingles of each text, so that all of short texts are counted.
+COUNTED = 64
 #: Postings that a task holds before it passes them on, and the parts that keys are dealt to.
 BLOCK = 1_000_000
 BUCKETS = 4096
 #: Fixed odd factors; each gives another order.
 ORDERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)
-#: The members, told by hashes of these numbers, that lists are paired with in each round before pairs across components are made.
-ROUNDS = ((0,), (1, 2))
+#: The members, told by hashes of these numbers, that lists are paired with in each round, before pairs across components are made.
+ROUNDS = ((0, 1, 2),)
 #: A list is split by the next order if it would make this many times more pairs than rows by splitting.
 SPLIT = 4
 #: Bits of the map of texts that are compared: a fixed size, sent to every task; if it fills, more texts are joined.
@@ -154,7 +156,7 @@ def frequent_keys(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarra
             for part in slices(batch, "t"):
                 values, ends = shingle_sets(part.column("t").to_pylist(), k)
                 n = np.diff(ends)
-                lengths = np.minimum(n, np.ceil(prefix_length(n, percent) * AHEAD).astype(np.int64))
+                lengths = np.minimum(n, np.maximum(np.ceil(prefix_length(n, percent) * AHEAD).astype(np.int64), COUNTED))
                 held.append(order.prefixes(values, ends, lengths, ORDERS[0])[0])
                 size += len(held[-1])
                 if size > BLOCK:
