@@ -102,13 +102,16 @@ def map_texts(
         raise ValueError(f"key columns named like results: {sorted(clash)}")
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + list(fields))
     names = [f"k{i}" for i in range(len(keys))]
-    picked = df.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)), F.col(f"`{text}`").cast(kind).alias("t"))
+    # A text that is kept as well goes to Python once: batches hold thousands of texts, in the JVM and in the worker.
+    kept = text in keys and df.schema[text].dataType.simpleString() == kind
+    body = names[list(keys).index(text)] if kept else "t"
+    picked = df.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)), *([] if kept else [F.col(f"`{text}`").cast(kind).alias(body)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, "t", rows, chars):
-                made = list(work(part.column("t").to_pylist()))
+            for part in slices(batch, body, rows, chars):
+                made = list(work(part.column(body).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=schema.names)
 
     return picked.mapInArrow(trimmed(make.__module__.rpartition(".")[2], run), schema)
