@@ -46,7 +46,9 @@ def place_entities(entities: DataFrame, texts: DataFrame, key: Sequence[str],
     """
     def quoted(word):
         return F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    place = F.struct(F.col("first_pos").alias("pos"), F.col("text").alias("name"), F.col("words"))
+    place = F.struct(F.col("first_pos").alias("pos"), F.col("text").alias("name"), F.col("words"),
+                     F.get(F.array_compact("words"), F.lit(0)).alias("head"), F.array_join("words", " ").alias("spaced"),
+                     (~F.array_join("words", "\x01").rlike("(?:^|\\x01)(?:[\\s\\x01]|$)")).alias("plain"))
     rest = [c for c in entities.columns if c not in (*key, "text", "first_pos", "words")]
     gathered = entities.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
         place.alias("p"), F.struct(*rest).alias("rest")))).alias("_entities"))
@@ -54,30 +56,42 @@ def place_entities(entities: DataFrame, texts: DataFrame, key: Sequence[str],
         texts.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_body")), list(key))
     body = F.col("_body")
 
-    def found(at, e):
-        words = e["p"]["words"]
+    nowhere = F.struct(F.lit(None).cast("string").alias("hit"), F.lit(None).cast("int").alias("at"))
+
+    def sought(at, e):
         return let(F.regexp_substr(F.substring(body, at + 1, F.length(body)),
-                                   F.array_join(F.transform(words, quoted), r"\s*")),
+                                   F.array_join(F.transform(e["p"]["words"], quoted), r"\s*")),
                    lambda hit: F.struct(
                        hit.alias("hit"),
                        (F.instr(F.substring(body, at + 1, F.length(body)), hit) + at - 1).alias("at")))
 
-    def placed(at, e):
-        def chosen(f):
-            first = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), quoted(F.get(e["p"]["words"], F.lit(0))))
-            other = F.greatest(F.coalesce(F.instr(body, F.regexp_substr(body, first)), F.lit(0)) - 1, F.lit(0))
-            start = F.when(f["hit"].isNotNull(), f["at"]).otherwise(other)
-            length = F.length(F.coalesce(f["hit"], e["p"]["name"]))
-            return F.struct(start.alias("start"), (start + length).alias("end"), e.alias("e"))
-        return let(found(at, e), chosen)
-
-    def moved(at, e):
-        return let(found(at, e), lambda f: F.when(
-            f["hit"].isNotNull(), f["at"] + F.length(f["hit"])).otherwise(at))
+    def found(at, e):
+        """The first place behind the cursor: where its first word is next, if the others follow with one blank between.
+
+        Words that are empty or begin with a blank leave a choice of blanks, which is the pattern's to make.
+        """
+        p = e["p"]
+        return let(F.when(p["plain"], F.position(p["head"], body, at + 1)), lambda n: F.when(
+            n == 0, nowhere).when(F.substring(body, n, F.length(p["spaced"])) == p["spaced"],
+                                  F.struct(p["spaced"].alias("hit"), (n - 1).alias("at"))).otherwise(sought(at, e)))
+
+    def step(state, e):
+        """The cursor behind an entity, and what was found, so that it is looked for once."""
+        return let(found(state["at"], e), lambda f: F.struct(F.when(
+            f["hit"].isNotNull(), f["at"] + F.length(f["hit"])).otherwise(state["at"]).alias("at"), f.alias("found")))
+
+    def placed(state, e):
+        f = state["found"]
+        first = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), quoted(F.get(e["p"]["words"], F.lit(0))))
+        other = F.greatest(F.coalesce(F.instr(body, F.regexp_substr(body, first)), F.lit(0)) - 1, F.lit(0))
+        length = F.length(F.coalesce(f["hit"], e["p"]["name"]))
+        return let(F.when(f["hit"].isNotNull(), f["at"]).otherwise(other), lambda start: F.struct(
+            start.alias("start"), (start + length).alias("end"), e.alias("e")))
+    nothing = F.struct(F.lit(0).alias("at"), nowhere.alias("found"))
     spans = fold_in_blocks(
-        F.col("_entities"), F.lit(0), moved, placed,
+        F.col("_entities"), nothing, step, placed,
         F.transform(empty_like(F.col("_entities")), lambda e: F.struct(
-            F.lit(0).alias("start"), F.lit(0).alias("end"), e.alias("e"))))
+            F.lit(0).alias("start"), F.lit(0).alias("end"), e.alias("e"))), after=True)
     # The places are unpacked from a column of their own, so that they are found once.
     return (joined.withColumn("_spans", pinned(spans))
             .select(*key, "_body", F.explode("_spans").alias("_s"))
