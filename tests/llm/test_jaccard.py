@@ -141,3 +141,40 @@ def test_fronts_that_cannot_reach_the_similarity_are_told():
     assert not jaccard._fronts_fit(one, front(10, [1, 2, 3], [4, 5, 6], [1, 2, 3]), 80)  # nothing in common under one order
     assert not jaccard._fronts_fit(one, front(10, [1, 7, 8], [1, 2, 3], [1, 2, 3]), 80)  # 1 + 7 of the 9 that a link needs
     assert not jaccard._fronts_fit(one, front(13, [1, 2, 3], [1, 2, 3], [1, 2, 3]), 80)  # sizes
+
+
+def near_copies(n, seed=7):
+    """Texts of one stock with up to eight words of their own: near copies, many of which do not link."""
+    rng = random.Random(seed)
+    stock = [f"s{i}" for i in range(150)]
+    given = []
+    for i in range(n):
+        text = list(stock)
+        for j in range(rng.randrange(9)):
+            text[rng.randrange(150)] = f"x{i}_{j}"
+        given.append((i, " ".join(text)))
+    return given
+
+
+def test_all_shingles_of_near_copies_are_known_as_frequent(frame):
+    assert len(jaccard.frequent_keys(frame(near_copies(200)), "text", 5, 80)) == 146
+
+
+def test_near_copies_that_do_not_link_make_few_pairs(frame):
+    given = near_copies(200)
+    _, pairs, near = pairs_of(frame(given))
+    sets = sorted({jaccard.shingle_sets([x])[0].tobytes() for _, x in given})
+    sets = [np.frombuffer(x, np.uint64) for x in sets]
+    links = sum(jaccard._sets_link(a, b, 80) for i, a in enumerate(sets) for b in sets[:i])
+    assert links <= near.count() <= pairs.count() <= 1.5 * links
+    got = jaccard.components_of(frame(given))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(given)
+
+
+def test_signs_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (0, 1, 50, 300, 3000)]
+    marks = jaccard.signs(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for a, x in zip(sets, marks):
+        for b, y in zip(sets, marks):
+            assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))

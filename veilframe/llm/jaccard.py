@@ -6,8 +6,8 @@ their first n - ceil(percent * n / 100) + 1. The orders here are pseudo-random p
 which the most frequent shingles of the corpus come last, so that passages that many texts
 share do not gather these texts; any order is exact, frequency only saves work.
 
-1. Count, over all texts, the shingles near the front of the first order; the `FREQUENT` most
-   frequent ones (a bounded list) close every order.
+1. Count the shingles of all texts, in blocks of a task; those met once in a block only if near the front of the first order.
+   The `FREQUENT` most frequent ones (a bounded list) close every order.
 2. Equal sets become one class, with its prefix under each order. Prefixes under the first order are posted,
    each posting with the set's size and what of the set is left from its place on: two linked sets
    meet at a shingle from which on both have as many left as they must have in common.
@@ -15,8 +15,8 @@ share do not gather these texts; any order is exact, frequency only saves work.
    linear cost (three leads of a list, told by hashes; further rounds may follow for lists that still hold several components).
 4. Lists that still hold several components give the pairs across components, of sizes that allow a link.
    Where that makes many more pairs than its members have shingles in their prefixes, a list is split by
-   the shingles of the second order, and these lists by those of the third: pairs that would share no prefix
-   under these orders are not made.
+   the shingles of the second order, and these lists by those of the third, where that makes fewer pairs: pairs that would share no prefix
+   under these orders are not made. Nor are those whose signs (parities of hashed shingles) differ in more bits than linked sets can.
 5. Of each pair, prefixes under all orders meet first: they must have shingles in common under each, and enough
    for the rest of the sets to make up what is missing. Only for pairs that pass, sets meet.
 
@@ -44,9 +44,9 @@ from veilframe.llm.shingles import mixed, shingle_sets
 FREQUENT = 1 << 16
 #: Fewer texts than this do not make a shingle frequent.
 OFTEN = 16
-#: The count covers this multiple of the prefix: what may move up when frequent shingles leave it.
+#: The count covers this multiple of the prefix, and beyond it what is met twice in a block: all that may move up when frequent shingles leave it.
 AHEAD = 1.5
-#: But at least so many shingles of each text, so that all of short texts are counted.
+#: But at least so many shingles of each text, so that all of short texts are counted even if met once.
 COUNTED = 64
 #: Postings that a task holds before it passes them on, and the parts that keys are dealt to.
 BLOCK = 1_000_000
@@ -64,6 +64,8 @@ SIEVE_ROW = 1 << 11
 KNOWN = 200_000
 #: Pairs of one class that a task compares at a time; the set of that class is sent once for each such part.
 PARTNERS = 256
+#: Longs of the sign of a set: bit i is whether an odd number of its shingles have the hash i. Two sets differ in at least as many shingles as their signs in bits.
+SIGN = [f"sign{i}" for i in range(8)]
 _LAST = np.uint64(1 << 63)
 
 
@@ -145,25 +147,28 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[l
 def frequent_keys(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
     """At most FREQUENT keys of shingles that stand in many texts, rarest first."""
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(held: list[np.ndarray], fronts: list[np.ndarray]) -> pa.RecordBatch:
         # a key goes out once for a block, with its count; frequent keys have no place yet, and none reaches _LAST
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return _dealt(keys, n.astype(np.uint64))
+        sent = n > 1
+        sent[keys.searchsorted(np.concatenate(fronts))] = True
+        return _dealt(keys[sent], n[sent].astype(np.uint64))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, held, size = Order(np.zeros(0, np.uint64)), [], 0
+        order, held, fronts, size = Order(np.zeros(0, np.uint64)), [], [], 0
         for batch in batches:
             for part in slices(batch, "t"):
                 values, ends = shingle_sets(part.column("t").to_pylist(), k)
                 n = np.diff(ends)
                 lengths = np.minimum(n, np.maximum(np.ceil(prefix_length(n, percent) * AHEAD).astype(np.int64), COUNTED))
-                held.append(order.prefixes(values, ends, lengths, ORDERS[0])[0])
-                size += len(held[-1])
+                held.append(first_key(values))
+                fronts.append(order.prefixes(values, ends, lengths, ORDERS[0])[0])
+                size += len(values)
                 if size > BLOCK:
-                    yield counted(held)
-                    held, size = [], 0
+                    yield counted(held, fronts)
+                    held, fronts, size = [], [], 0
         if held:
-            yield counted(held)
+            yield counted(held, fronts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _whole_buckets(batches, "keys", "nodes"):
@@ -188,12 +193,21 @@ def _names(values: np.ndarray, ends: np.ndarray) -> list[int | None]:
     return [None if x is None else x - (1 << 64) if x >> 63 else x for x in names]
 
 
+def signs(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sign of each set, a row of longs each."""
+    bits, n = 64 * len(SIGN), len(ends) - 1
+    place = mixed(values ^ np.uint64(ORDERS[1])) % np.uint64(bits) + np.repeat(np.arange(n, dtype=np.uint64), np.diff(ends)) * np.uint64(bits)
+    odd = (np.bincount(place.astype(np.int64), minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(np.int64)
+
+
 def posted(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(key, n, node, prefix, front) of each row; prefix and front are left out where the task has posted the same set before.
+    """(key, n, node, prefix, front, sign) of each row; prefix and front are left out where the task has posted the same set before.
 
     The prefix is that under the first order; the front is n and the prefixes under all orders, in 32 bits each.
     """
     fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("front", T.BinaryType())]
+    fields += [T.StructField(s, T.LongType()) for s in SIGN]
 
     def make():
         order, known = Order(frequent), set()
@@ -215,7 +229,8 @@ def posted(docs: DataFrame, frequent: np.ndarray, key: str, text: str, k: int, p
             at = made[0][1].tolist()
             fronts = [np.concatenate([np.array([size], np.uint32), *(np.sort(x[a:b]) for x in short)]).tobytes() if new else None
                       for size, new, a, b in zip(n.tolist(), fresh.tolist(), at[:-1], at[1:])]
-            return [pa.array(n), pa.array(nodes, pa.int64()), _lists(*made[0]), pa.array(fronts, pa.binary())]
+            marks = signs(values, ends)
+            return [pa.array(n), pa.array(nodes, pa.int64()), _lists(*made[0]), pa.array(fronts, pa.binary()), *(pa.array(marks[:, i], mask=~fresh) for i in range(len(SIGN)))]
 
         return work
 
@@ -277,46 +292,79 @@ def star_pairs(named: DataFrame, turns: tuple[int, ...], percent: int) -> DataFr
     return met.where((F.col("root") != F.col("l.root")) & may_link("", "l.", percent)).select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _reach(percent: int) -> Column:
+    """`percent` times the size of the greatest set that a member of a list may link with, if they meet there first."""
+    return F.col("rest") * (100 + percent) - percent * F.col("n")
+
+
+def _early(percent: int) -> Column:
+    """Whether a member may link with a set as large as its own. Of two members that may link, the lesser is early."""
+    return _reach(percent) >= percent * F.col("n")
+
+
+def _hopeful(lists: DataFrame, percent: int) -> DataFrame:
+    """The lists without members that reach no early one."""
+    least = lists.groupBy("key").agg(F.min(F.when(_early(percent), F.col("n"))).alias("least"))
+    return lists.join(least, "key").where(_reach(percent) >= percent * F.col("least")).drop("least")
+
+
+def _costs(lists: DataFrame, percent: int, *more: str) -> DataFrame:
+    """(key, pairs, tokens) of lists of several roots: pairs across roots with an early member, and shingles in the prefixes of all members."""
+    late = F.when(_early(percent), 0).otherwise(1)
+    members = lists.groupBy("key", "root", *more).agg(F.count("*").alias("m"), F.sum(late).alias("late"), F.sum(F.col("n") * (100 - percent) / 100 + 1).alias("tokens"))
+    across = [(F.sum(c) * F.sum(c) - F.sum(F.col(c) * F.col(c))) / 2 for c in ("m", "late")]
+    sums = members.groupBy("key", *more).agg(F.count("*").alias("roots"), (across[0] - across[1]).alias("pairs"), F.sum("tokens").alias("tokens"))
+    return sums.where("roots > 1 AND pairs > 0").drop("roots")
+
+
 def pairs_across(named: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of lists (token, node, n, rest, root) across roots, of sizes that allow a link.
+    """(a, b): the pairs of lists (token, node, n, rest, root) across roots, of sizes, places and signs that allow a link.
 
     Lists are told apart by ranges of size as well: the lesser set of a link is in the range of the
     greater or the one below. A list that would make more than SPLIT times as many pairs as its members' prefixes have
-    shingles is split by these, under the second order, then under the third.
+    shingles is split by these, under the second order, then under the third, unless its parts would make as many pairs together.
     """
     step = math.log(100 / percent) * (1 + 1e-9)
     band = F.floor(F.log("n") / step) if percent < 100 else F.col("n")
     lists = named.withColumn("band", band).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
     lists = lists.select(F.xxhash64("token", "at").alias("key"), (F.col("at") == F.col("band")).alias("home"), "node", "root", "n", "rest")
+    lists = written(_hopeful(lists, percent), "hopeful")
+    marks = rows.where("front IS NOT NULL").select("node", *SIGN).dropDuplicates(["node"])
     made = []
     for order in range(1, len(ORDERS)):
-        members = lists.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum(F.col("n") * (100 - percent) / 100 + 1).alias("tokens"))
-        sums = members.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.sum("tokens").alias("tokens"))
-        split = (F.col("all") * F.col("all") - F.col("within")) / 2 > SPLIT * F.col("tokens")
-        costs = written(sums.where("roots > 1").select("key", split.alias("split")), "costs")
-        made.append(_met(lists.join(costs.where("NOT split"), "key", "left_semi"), percent))
+        costs = written(_costs(lists, percent).withColumn("split", F.col("pairs") > SPLIT * F.col("tokens")), "costs")
+        made.append(_met(lists.join(costs.where("NOT split"), "key", "left_semi"), marks, percent))
         if costs.where("split").isEmpty():
             break
-        lists = written(_split(lists.join(costs.where("split"), "key", "left_semi"), rows, order), "split")
+        wide = lists.join(costs.where("split"), "key", "left_semi")
+        parts = written(_hopeful(_split(wide, rows, order), percent), "split")
+        fewer = _costs(parts, percent, "whole").groupBy("whole").agg(F.sum("pairs").alias("then"))
+        kept = costs.where("split").join(fewer, costs["key"] == fewer["whole"], "left").where("then >= pairs").select("key")
+        kept = written(kept, "kept")
+        made.append(_met(wide.join(kept, "key", "left_semi"), marks, percent))
+        lists = parts.join(kept.select(F.col("key").alias("whole")), "whole", "left_anti").drop("whole")
     else:
-        made.append(_met(lists, percent))
+        made.append(_met(lists, marks, percent))
     pairs = made[0]
     for more in made[1:]:
         pairs = pairs.unionByName(more)
     return pairs.distinct()
 
 
-def _met(lists: DataFrame, percent: int) -> DataFrame:
+def _met(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs across roots of each list; the greater set must be in the size range of the list."""
-    one, other = (lists.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("home", "node", "root", "n", "rest"))) for x in "ab")
+    signed = lists.join(marks, "node")
+    one, other = (signed.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("home", "node", "root", "n", "rest", *SIGN))) for x in "ab")
     greater = F.struct("b_n", "b_node") < F.struct("a_n", "a_node")
-    met = one.where("a_home").join(other, (one["key"] == other["key"]) & greater & (F.col("a_root") != F.col("b_root")) & may_link("a_", "b_", percent))
+    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SIGN[1:]), F.bit_count(F.col(f"a_{SIGN[0]}").bitwiseXOR(F.col(f"b_{SIGN[0]}"))))
+    near = differ * (100 + percent) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    met = one.where("a_home").join(other, (one["key"] == other["key"]) & greater & (F.col("a_root") != F.col("b_root")) & may_link("a_", "b_", percent) & near)
     swap = _turned("b_node", 0) < _turned("a_node", 0)
     return met.select(F.when(swap, F.col("b_node")).otherwise(F.col("a_node")).alias("a"), F.when(swap, F.col("a_node")).otherwise(F.col("b_node")).alias("b"))
 
 
 def _split(lists: DataFrame, rows: DataFrame, order: int) -> DataFrame:
-    """The lists, split by the shingles that their members have in their prefixes under another order."""
+    """The lists, split by the shingles that their members have in their prefixes under another order; `whole` is the list a part comes from."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,13 +373,14 @@ def _split(lists: DataFrame, rows: DataFrame, order: int) -> DataFrame:
                 tokens = [_front(x)[1][order] for x in part.column("front").to_pylist()]
                 again = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
                 dealt = part.drop_columns(["front", "key"]).take(again)
+                whole = part.column("key").take(again)
                 keys = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)[again.to_numpy()]
                 keys = mixed(keys ^ mixed(np.concatenate(tokens).astype(np.uint64) + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *dealt.columns], names=["key", *dealt.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *dealt.columns, whole], names=["key", *dealt.schema.names, "whole"])
 
     fronts = fronts_of(lists.select("node").distinct(), rows)
     met = lists.join(fronts, "node").select("key", "home", "node", "root", "n", "rest", "front")
-    return met.mapInArrow(trimmed("jaccard", split), lists.select("key", "home", "node", "root", "n", "rest").schema)
+    return met.mapInArrow(trimmed("jaccard", split), lists.select("key", "home", "node", "root", "n", "rest", F.col("key").alias("whole")).schema)
 
 
 def _turned(node: str, turn: int) -> Column:
